@@ -57,20 +57,14 @@ def record_gaps(work: Column, projects: Column, years: Column, target: Column, p
 
 
 def all_gaps() -> Column:
-    """Every gap of a pair, in category order and posting order inside a category."""
+    """Every gap of a pair in report order: hard skills, soft skills, then the record as a whole."""
     info = F.col("basic_info")
     listed = F.transform(records.skill_names(F.col("skills")), F.lower)
 
-    def in_order(hard):
-        return F.concat(
-            F.filter(hard, lambda g: g["category"] == "skill_gap"),
-            F.filter(hard, lambda g: g["category"] == "skill_detail"),
-        )
-
     hard_and_soft = bind(
         records.history_text(F.col("work_experience"), F.col("projects")),
         lambda text: F.concat(
-            bind(hard_skill_gaps(F.col("hard_skills"), listed, text), in_order),
+            hard_skill_gaps(F.col("hard_skills"), listed, text),
             soft_skill_gaps(F.col("soft_skills"), text),
         ),
     )

@@ -191,7 +191,7 @@ def line_of(source_lines: Column, needle: Column) -> Column:
         equal = F.array_position(F.transform(source_lines, trimmed), needle)
         holds = F.array_position(F.transform(source_lines, lambda x: F.contains(x, needle)), F.lit(True))
         at = F.coalesce(F.nullif(equal, F.lit(0)), F.nullif(holds, F.lit(0)), F.lit(0)) - 1
-        return F.when(needle == "", F.lit(-1)).otherwise(at)
+        return F.when(needle == "", F.lit(-1)).otherwise(at).cast("int")
 
     return bind(trimmed(needle), search)
 

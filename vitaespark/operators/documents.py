@@ -66,7 +66,7 @@ def gap_clusters(df: DataFrame, keys: list[str], position: str, block_width: flo
     marked = ordered.join_null_safe(gaps, median, keys, "left").withColumn(
         "_break", F.coalesce(F.col("_gap") > limit, F.lit(False)).cast("bigint"))
     return ordered.running_sum(
-        marked, keys, [position], F.col("_break"), block, "cluster_id"
+        marked, keys, [position, F.col("_break").desc()], F.col("_break"), block, "cluster_id"
     ).drop("_gap", "_median", "_break")
 
 

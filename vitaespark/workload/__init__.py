@@ -1,0 +1,4 @@
+"""Queries over the given tables and their SQL twins."""
+
+from vitaespark.workload import extracts, texts  # noqa: F401
+from vitaespark.workload.registry import ORACLES, QUERIES  # noqa: F401
