@@ -166,8 +166,8 @@ def self_intro(personal: Column, experience: Column, technical: Column, lang: st
     texts, limit = fixed.INTRO_TEXT[lang], fixed.INTRO_LIMIT[lang]
     top = F.get(experience, 0)
 
-    def says(name, test=None, **values):
-        text = fill_template(texts[name], **values)
+    def says(part, test=None, **values):
+        text = fill_template(texts[part], **values)
         return text if test is None else F.when(test, text).otherwise(F.lit(""))
 
     whole = F.concat(

@@ -7,6 +7,7 @@ exactly the same rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NL = "chr(10)"
 
@@ -177,3 +178,67 @@ def posting_texts(spark, folder) -> DataFrame:
 
 RESUME_TEXT_SQL = as_sql({"doc_id": "doc_id", "text": RESUME_TEXT}, "documents")
 POSTING_TEXT_SQL = as_sql({"doc_id": "doc_id", "text": POSTING_TEXT}, "documents")
+
+
+def postings(spark, folder) -> DataFrame:
+    """One posting per part."""
+    rows = as_frame(load(spark, folder, "part"), POSTING)
+    return rows.selectExpr(
+        "jd_id", "position", "company", "years_required", "education_required",
+        "array(skill_1, skill_2, skill_3) AS hard_skills", "array(soft_1, soft_2) AS soft_skills",
+        "array(company) AS industry")
+
+
+def jobs(spark, folder) -> DataFrame:
+    return as_frame(load(spark, folder, "orders"), JOB)
+
+
+_NO_JOBS = (
+    "cast(array() AS array<struct<company:string,position:string,start_date:string,end_date:string,duties:string,"
+    "achievements:array<string>,source_index:array<int>>>)"
+)
+_NO_PROJECTS = (
+    "cast(array() AS array<struct<name:string,description:string,results:string,source_index:array<int>>>)"
+)
+
+
+def resumes(spark, folder) -> DataFrame:
+    """One résumé per customer, with the customer's orders as jobs and some of them as projects."""
+    history = jobs(spark, folder).groupBy("resume_id").agg(F.array_sort(F.collect_list(F.struct(
+        "started", "order_key", "company", "position", "start_date", "end_date", "duties", "is_project"))).alias("h"))
+    nested = history.selectExpr(
+        "resume_id",
+        "transform(h, j -> named_struct('company', j.company, 'position', j.position, 'start_date', j.start_date,"
+        " 'end_date', j.end_date, 'duties', j.duties, 'achievements', cast(array() AS array<string>),"
+        " 'source_index', cast(array() AS array<int>))) AS work",
+        "transform(filter(h, j -> j.is_project), j -> named_struct('name', 'Project ' || cast(j.order_key AS string),"
+        " 'description', j.duties, 'results', '', 'source_index', cast(array() AS array<int>))) AS made")
+    people = as_frame(load(spark, folder, "customer"), CANDIDATE)
+    return people.join(nested, "resume_id", "left").selectExpr(
+        "resume_id",
+        "named_struct('name', name, 'phone', phone, 'email', email, 'city', city, 'target_job', target_job,"
+        " 'expect_salary', expect_salary, 'onboard_time', cast(null AS string)) AS basic_info",
+        "array(named_struct('school', school, 'major', major, 'degree', degree, 'start_date', '2010.9', 'end_date',"
+        " '2014.6', 'awards', cast(array() AS array<string>), 'source_index', cast(array() AS array<int>))) AS education",
+        f"coalesce(work, {_NO_JOBS}) AS work_experience",
+        f"coalesce(made, {_NO_PROJECTS}) AS projects",
+        "array(named_struct('name', list_skill_1, 'category', '工具', 'source', 'resume'), named_struct('name', list_skill_2,"
+        " 'category', 'AI工具', 'source', 'resume'), named_struct('name', list_skill_3, 'category', '工具', 'source',"
+        " 'resume')) AS skills",
+        "array(named_struct('name', certificate)) AS certificates",
+        "array(named_struct('name', language)) AS languages")
+
+
+def applications(spark, folder) -> DataFrame:
+    """Distinct (posting, candidate) pairs: a candidate applies to the postings of the ordered parts."""
+    items = load(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("jd_id"))
+    orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("resume_id"))
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("jd_id", "resume_id").distinct()
+
+
+def calls(spark, folder) -> DataFrame:
+    return as_frame(load(spark, folder, "events"), CALL)
+
+
+def turns(spark, folder) -> DataFrame:
+    return as_frame(load(spark, folder, "conversations"), TURN)
