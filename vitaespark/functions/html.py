@@ -48,7 +48,8 @@ def _balance_one(html: Column, tag: str) -> Column:
         # Of the closers that end the text, the first ones stay.
         tail = F.regexp_extract(html, f"{closer_run}+{_BLANK}\\z", 0)
         stay = F.greatest(tag_closes(tail, tag) - excess, F.lit(0)).cast("string")
-        kept = F.regexp_extract(tail, F.concat(F.lit(f"^{closer_run}{{"), stay, F.lit("}")), F.lit(0))
+        first = F.concat(F.lit(f"^{closer_run}{{"), stay, F.lit("}"))
+        kept = F.call_function("regexp_extract", tail, first, F.lit(0))
         return F.concat(F.substring(html, F.lit(1), F.length(html) - F.length(tail)), kept)
 
     return bind(

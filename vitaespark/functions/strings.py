@@ -28,7 +28,7 @@ def unempty(text: Column) -> Column:
 
 def bind(value: Column, body) -> Column:
     """Compute ``value`` once and hand it to ``body``, also when used inside array functions."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
 
 
 def first_present(*values: Column) -> Column:

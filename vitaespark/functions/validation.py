@@ -65,25 +65,21 @@ def record_issues(info: Column, work: Column) -> Column:
 
 
 def _claims(text: Column, source: Column, kind, severity, rules) -> list[Column]:
-    found = []
-    for pattern, label in rules:
-        whole = regex_all(text, _unicode(pattern))
-        number = regex_all(text, _unicode(pattern), 1)
-        unseen = F.filter(
-            F.arrays_zip(whole.alias("whole"), number.alias("number")),
-            lambda x: ~F.contains(source, F.lower(x["number"])),
-        )
-        found.append(F.transform(
-            unseen, lambda x, label=label: issue(kind, severity, label=label, matched=x["whole"])))
-    return found
+    def unseen(pattern, label):
+        pairs = F.arrays_zip(
+            regex_all(text, _unicode(pattern)).alias("whole"), regex_all(text, _unicode(pattern), 1).alias("number"))
+        kept = F.filter(pairs, lambda x: ~F.contains(source, F.lower(x["number"])))
+        return F.transform(kept, lambda x: issue(kind, severity, label=label, matched=x["whole"]))
+
+    return [unseen(pattern, label) for pattern, label in rules]
 
 
 def _mentions(text: Column, kind, severity, rules) -> list[Column]:
-    return [
-        F.transform(regex_all(text, _unicode(pattern)),
-                    lambda x, label=label: issue(kind, severity, label=label, matched=x))
-        for pattern, label in rules
-    ]
+    def mentioned(pattern, label):
+        return F.transform(
+            regex_all(text, _unicode(pattern)), lambda x: issue(kind, severity, label=label, matched=x))
+
+    return [mentioned(pattern, label) for pattern, label in rules]
 
 
 def claim_issues(text: Column, source: Column, ungrouped: bool = False) -> Column:

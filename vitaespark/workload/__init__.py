@@ -1,4 +1,4 @@
 """Queries over the given tables and their SQL twins."""
 
-from vitaespark.workload import extracts, markup, pairs, quality, texts  # noqa: F401
+from vitaespark.workload import extracts, markup, pairs, quality, talks, texts  # noqa: F401
 from vitaespark.workload.registry import ORACLES, QUERIES  # noqa: F401
