@@ -170,10 +170,9 @@ def status_report(calls: DataFrame, keys: list[str], max_calls: int = fixed.MAX_
 
 def catalogue(spark, configured: list[str]) -> DataFrame:
     """U16: the model table with prices as text and whether a model has a key."""
-    rows = [(*m[:2], *m[4:], m[2], m[3]) for m in fixed.MODELS]
-    df = spark.createDataFrame(rows, "name string, id string, tier string, provider string, cin string, cout string")
-    four = lambda c: F.format_string("$%.4f", F.col(c).cast("double"))
-    return df.select(
-        "name", "id", "tier", "provider", F.col("name").isin(configured).alias("configured"),
-        F.concat(four("cin"), F.lit(" / "), four("cout")).alias("cost_per_1k"),
-    )
+    rows = [
+        (name, model_id, tier, provider, name in configured, f"${float(cost_in):.4f} / ${float(cost_out):.4f}")
+        for name, model_id, cost_in, cost_out, tier, provider in fixed.MODELS
+    ]
+    return spark.createDataFrame(
+        rows, "name string, id string, tier string, provider string, configured boolean, cost_per_1k string")
