@@ -30,15 +30,16 @@ def source_method(spark, d):
     return paths.select("doc_id", files.reading_method(F.col("path")).alias("method"))
 
 
-@query("source_read_files")
+@query("source_read_files", """
+    SELECT lang, 'text' AS method, cast(sum(length(text) + 1) AS bigint) AS chars FROM documents GROUP BY lang""")
 def source_read_files(spark, d):
     """S1 to S3 on real files: the texts are written per language and read back file by file."""
     folder = shared_folder(spark, "texts")
     derive.load(spark, d, "documents").select("text", "lang").write.option(
         "maxRecordsPerFile", 1000).partitionBy("lang").text(folder)
-    read = files.read_documents(spark, folder)
-    return read.select(
-        F.regexp_extract("path", "lang=(\\w+)", 1).alias("lang"), "method", "success", F.length("text").alias("chars"))
+    read = files.read_documents(spark, folder).filter("success")
+    return read.groupBy(F.regexp_extract("path", "lang=(\\w+)", 1).alias("lang"), "method").agg(
+        F.sum(F.length("text")).alias("chars"))
 
 
 @query("source_decode", """

@@ -60,9 +60,8 @@ def html_collapse_closers(spark, d):
     return fragments(spark, d).select("page_id", H.collapse_closers(F.col("html")).alias("html"))
 
 
-def _balance_sql():
+def _balance_sql(level):
     """H4 in SQL, one tag per level: cut at most the surplus off the end, else append."""
-    level = _PAGES
     for tag in fixed.BALANCED_TAGS:
         run = f"((?:{_BLANK}</{tag}>)+){_BLANK}$"
         level = f"""SELECT page_id, CASE WHEN excess < 0 THEN html || repeat('</{tag}>', -excess)
@@ -74,7 +73,7 @@ def _balance_sql():
     return level
 
 
-@query("html_balance", _balance_sql())
+@query("html_balance", _balance_sql(_PAGES))
 def html_balance(spark, d):
     """H4"""
     return fragments(spark, d).select("page_id", H.balance_tags(F.col("html")).alias("html"))
@@ -110,7 +109,8 @@ def html_escape(spark, d):
     return derive.load(spark, d, "pages").select("page_id", H.escape_html(value).alias("html"))
 
 
-@query("html_repair")
+@query("html_repair", f"""SELECT page_id, regexp_replace(html, '\\n{{3,}}', {NL} || {NL}, 'g') AS html FROM (
+    {_balance_sql(f"SELECT page_id, {_COLLAPSED} AS html FROM (SELECT page_id, {_STRIPPED} AS html FROM ({_PAGES}))")})""")
 def html_repair(spark, d):
-    """H2 to H5 in order: rows only, checked step by step above and on fixtures in the tests."""
+    """H2 to H5 in order"""
     return fragments(spark, d).select("page_id", H.repair_fragment(F.col("html")).alias("html"))

@@ -156,9 +156,20 @@ def _words(spark, d):
         (F.floor(F.col("at") / 11) * 13 + F.col("at") % 7 * 1.5).cast("double").alias("top"), "text")
 
 
-@query("layout_words_to_lines")
+@query("layout_words_to_lines", """
+    WITH RECURSIVE raw AS (SELECT doc_id AS page_id, unnest(string_split(text, ' ')) AS text,
+        generate_subscripts(string_split(text, ' '), 1) - 1 AS n FROM documents),
+    words AS MATERIALIZED (SELECT page_id, n % 11 * 40 + 0.5 AS x0, cast(n // 11 * 13 + n % 7 * 1.5 AS double) AS top, text FROM raw),
+    tops AS MATERIALIZED (SELECT DISTINCT page_id, top FROM words),
+    nexts AS MATERIALIZED (SELECT a.page_id, a.top, b.top AS next FROM tops a ASOF JOIN tops b
+        ON a.page_id = b.page_id AND a.top + 5 < b.top),
+    starts AS (SELECT page_id, min(top) AS top FROM tops GROUP BY page_id
+        UNION ALL SELECT n.page_id, n.next FROM starts s JOIN nexts n ON n.page_id = s.page_id AND n.top = s.top),
+    placed AS (SELECT w.*, s.top AS anchor FROM words w ASOF JOIN starts s ON w.page_id = s.page_id AND w.top >= s.top),
+    lines AS (SELECT page_id, anchor, string_agg(text, ' ' ORDER BY top, x0) AS line FROM placed GROUP BY ALL)
+    SELECT page_id, cast(row_number() OVER (PARTITION BY page_id ORDER BY anchor) - 1 AS integer) AS line_no, line FROM lines""")
 def layout_words_to_lines(spark, d):
-    """Rows only, an order-dependent fold; checked against plain Python in the tests."""
+    """T11"""
     return documents.words_to_lines(_words(spark, d), ["page_id"])
 
 
