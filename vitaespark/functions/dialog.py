@@ -98,12 +98,12 @@ def background_questions(education: Column, projects: Column, work: Column, lang
     )
 
 
-def competency_questions(hard_skills: Column, skill_names: Column, work: Column, lang: str) -> Column:
+def competency_questions(hard_skills: Column, names_lower: Column, work: Column, lang: str) -> Column:
     """I4: what the competency phase asks: posting skills, then results per employer."""
     text = fixed.INTERVIEW_TEXT[lang]
 
-    def skill(s, names):
-        known = F.exists(names, lambda n: F.contains(n, F.lower(s)))
+    def skill(s):
+        known = F.exists(names_lower, lambda n: F.contains(n, F.lower(s)))
         return F.when(known, fill_template(text["skill_known"], skill=s)).otherwise(
             fill_template(text["skill_unknown"], skill=s))
 
@@ -114,8 +114,7 @@ def competency_questions(hard_skills: Column, skill_names: Column, work: Column,
             fill_template(text["result_plain"], company=w["company"]))
 
     return F.concat(
-        bind(F.transform(skill_names, F.lower),
-             lambda names: F.transform(F.array_distinct(hard_skills), lambda s: skill(s, names))),
+        F.transform(F.array_distinct(hard_skills), skill),
         F.transform(_once(work, lambda w: or_empty(w["company"])), result),
     )
 

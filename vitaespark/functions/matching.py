@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
-from vitaespark.functions import records
 from vitaespark.functions.strings import bind, fill_template, first_present, or_empty, trimmed, unempty
 
 GAP = "struct<category:string,keyword:string,detail:string,source:string>"
@@ -41,14 +40,13 @@ def soft_skill_gaps(soft: Column, text: Column) -> Column:
     return F.transform(missing, lambda s: _gap("soft_skill_gap", s))
 
 
-def record_gaps(work: Column, projects: Column, years: Column, target: Column, position: Column) -> Column:
+def record_gaps(jobs: Column, projects: Column, measured: Column, years: Column, target: Column,
+                position: Column) -> Column:
     """Gaps that concern the record as a whole."""
-    jobs = F.size(work)
-    measured = F.exists(work, lambda w: or_empty(w["duties"]).rlike(fixed.QUANT_PATTERN.replace(r"\d", r"\p{Nd}")))
     wanted = F.coalesce(F.regexp_extract(or_empty(years), r"^(\p{Nd}+)", 1).try_cast("bigint"), F.lit(0))
     tests = [
         ((jobs > 0) & ~measured, _gap("quant_data")),
-        (F.size(projects) == 0, _gap("project_detail")),
+        (projects == 0, _gap("project_detail")),
         ((wanted > 0) & (jobs < F.greatest(F.lit(1), F.floor(wanted / 2))),
          _gap("experience_gap", years=years, count=jobs)),
         (unempty(target).isNull() & unempty(position).isNotNull(), _gap("job_target", position=position)),
@@ -58,20 +56,13 @@ def record_gaps(work: Column, projects: Column, years: Column, target: Column, p
 
 def all_gaps() -> Column:
     """Every gap of a pair in report order: hard skills, soft skills, then the record as a whole."""
-    info = F.col("basic_info")
-    listed = F.transform(records.skill_names(F.col("skills")), F.lower)
-
-    hard_and_soft = bind(
-        records.history_text(F.col("work_experience"), F.col("projects")),
-        lambda text: F.concat(
-            hard_skill_gaps(F.col("hard_skills"), listed, text),
-            soft_skill_gaps(F.col("soft_skills"), text),
-        ),
+    text = F.col("history_text")
+    return F.concat(
+        hard_skill_gaps(F.col("hard_skills"), F.col("skill_list_lower"), text),
+        soft_skill_gaps(F.col("soft_skills"), text),
+        record_gaps(F.col("job_count"), F.col("project_count"), F.col("measured"), F.col("years_required"),
+                    F.col("basic_info.target_job"), F.col("position")),
     )
-    return F.concat(hard_and_soft, record_gaps(
-        F.col("work_experience"), F.col("projects"), F.col("years_required"), info["target_job"],
-        F.col("position"),
-    ))
 
 
 def question_text(category: Column, keyword: Column, detail: Column, lang: str = "zh") -> Column:
@@ -87,56 +78,46 @@ def _in_some_name(skill: Column, names: Column) -> Column:
     return F.exists(names, lambda n: F.contains(n, F.lower(skill)))
 
 
-def skills_matched(hard: Column, names: Column) -> Column:
+def skills_matched(hard: Column, names_lower: Column) -> Column:
     """Posting skills that are part of some skill name."""
-    return bind(F.transform(names, F.lower), lambda low: F.filter(hard, lambda s: _in_some_name(s, low)))
+    return F.filter(hard, lambda s: _in_some_name(s, names_lower))
 
 
-def skills_missing(hard: Column, names: Column) -> Column:
+def skills_missing(hard: Column, names_lower: Column) -> Column:
     """R1."""
-    return bind(F.transform(names, F.lower), lambda low: F.filter(hard, lambda s: ~_in_some_name(s, low)))
+    return F.filter(hard, lambda s: ~_in_some_name(s, names_lower))
 
 
 def text_match_report(hard: Column, text: Column, lang: str = "zh") -> Column:
     """R2: posting skills found anywhere in the record, or a stand-in when there are none."""
-    def report(text):
-        found = F.filter(hard, lambda s: F.contains(text, F.lower(s)))
-        absent = F.filter(hard, lambda s: ~F.contains(text, F.lower(s)))
-        return F.struct(
-            F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fixed.NO_MATCH_TEXT[lang]))).alias("matched"),
-            F.when(F.size(absent) > 0, absent).otherwise(F.array(F.lit(fixed.NO_MISSING_TEXT[lang]))).alias("missing"),
-        )
+    found = F.filter(hard, lambda s: F.contains(text, F.lower(s)))
+    absent = F.filter(hard, lambda s: ~F.contains(text, F.lower(s)))
+
+    def or_note(skills, note):
+        return bind(skills, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(note))))
+
+    return F.struct(
+        or_note(found, fixed.NO_MATCH_TEXT[lang]).alias("matched"),
+        or_note(absent, fixed.NO_MISSING_TEXT[lang]).alias("missing"),
+    )
 
-    return bind(text, report)
 
+def relevance_scores(texts: Column, keywords: Column) -> Column:
+    """Number of keywords found per text; a keyword listed twice counts twice."""
+    def score(text, lowered):
+        return F.size(F.filter(lowered, lambda k: F.contains(text, k)))
 
-def by_relevance(entries: Column, keywords: Column, text_of) -> Column:
-    """Entries by number of keywords in their text, most first, ties in given order."""
-    def scored(lowered):
-        def score(entry):
-            return bind(
-                text_of(entry),
-                lambda text: F.size(F.filter(lowered, lambda k: F.contains(text, k))),
-            )
-
-        marked = F.transform(
-            entries, lambda e, i: F.struct((-score(e)).alias("rank"), i.alias("pos"), e.alias("entry")))
-        order = lambda a, b: (
-            F.when(a["rank"] != b["rank"], F.signum(a["rank"] - b["rank"]).cast("int"))
-            .otherwise(F.signum(a["pos"] - b["pos"]).cast("int"))
-        )
-        return F.transform(F.array_sort(marked, order), lambda m: m["entry"])
+    return bind(F.transform(keywords, F.lower), lambda low: F.transform(texts, lambda text: score(text, low)))
 
-    return bind(F.transform(keywords, F.lower), scored)
 
+def by_relevance(entries: Column, texts: Column, keywords: Column) -> Column:
+    """Entries by number of keywords in their text, most first, ties in given order."""
+    def ranked(scores):
+        keyed = F.transform(
+            entries, lambda e, i: F.struct((-F.get(scores, i)).alias("rank"), i.alias("pos"), e.alias("entry")))
+        return F.transform(F.array_sort(keyed), lambda x: x["entry"])
 
-def relevance_scores(entries: Column, keywords: Column, text_of) -> Column:
-    """Number of keywords found per entry; a keyword listed twice counts twice."""
-    return bind(
-        F.transform(keywords, F.lower),
-        lambda low: F.transform(entries, lambda e: bind(
-            text_of(e), lambda text: F.size(F.filter(low, lambda k: F.contains(text, k))))),
-    )
+    return bind(relevance_scores(texts, keywords), ranked)
 
 
 def preview_jobs(experience: Column, device: str = "desktop") -> Column:
@@ -152,11 +133,11 @@ def preview_schools(education: Column) -> Column:
     return F.slice(education, 1, fixed.PREVIEW_SCHOOLS)
 
 
-def summary_line(name: Column, work: Column, matched: Column, lang: str = "zh") -> Column:
+def summary_line(name: Column, job_count: Column, matched: Column, lang: str = "zh") -> Column:
     """The number of jobs stands where the text says years."""
     template, nobody, joiner = fixed.SUMMARY_TEXT[lang]
     return fill_template(
-        template, name=first_present(name, F.lit(nobody)), count=F.size(work),
+        template, name=first_present(name, F.lit(nobody)), count=job_count,
         skills=F.array_join(F.slice(matched, 1, 3), joiner),
     )
 

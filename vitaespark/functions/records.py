@@ -1,10 +1,10 @@
 """Record shapes and projections: merging extracted and model-made fields, section records."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
-from vitaespark.functions.strings import first_present, or_empty, trimmed, unempty
+from vitaespark.functions.strings import bind, first_present, or_empty, unempty
 
 INTS = "array<int>"
 STRINGS = "array<string>"
@@ -153,21 +153,23 @@ def period(start: Column, end: Column) -> Column:
     return F.concat_ws(" - ", unempty(start), unempty(end))
 
 
-def experience_section(work: Column, hard_skills: Column) -> Column:
-    """Jobs as sections with a relevance label."""
-    skills = F.transform(hard_skills, F.lower)
+def experience_section(work: Column, hard_skills: Column, duty_texts: Column) -> Column:
+    """Jobs as sections with a relevance label; ``duty_texts`` are the lower-case duties."""
 
-    def section(job):
-        hit = F.exists(skills, lambda s: F.contains(F.lower(or_empty(job["duties"])), s))
-        return F.struct(
-            or_empty(job["company"]).alias("company"), or_empty(job["position"]).alias("position"),
-            period(job["start_date"], job["end_date"]).alias("period"),
-            F.array_compact(F.array(unempty(job["duties"]))).alias("bullets"),
-            F.when(hit, fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM).alias("jd_relevance"),
-            or_no_items(job["source_index"], "int").alias("source_index"),
-        )
+    def sections(skills):
+        def section(job, at):
+            hit = F.exists(skills, lambda s: F.contains(F.get(duty_texts, at), s))
+            return F.struct(
+                or_empty(job["company"]).alias("company"), or_empty(job["position"]).alias("position"),
+                period(job["start_date"], job["end_date"]).alias("period"),
+                F.array_compact(F.array(unempty(job["duties"]))).alias("bullets"),
+                F.when(hit, fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM).alias("jd_relevance"),
+                or_no_items(job["source_index"], "int").alias("source_index"),
+            )
+
+        return F.transform(work, section)
 
-    return F.transform(work, section)
+    return bind(F.transform(hard_skills, F.lower), sections)
 
 
 def education_section(education: Column) -> Column:
@@ -201,10 +203,6 @@ def fill_arguments(template: Column, arguments: Column) -> Column:
     return F.when(F.coalesce(complete, F.lit(False)), filled).otherwise(template)
 
 
-def _present(*values: Column) -> Column:
-    return F.array_compact(F.array(*values))
-
-
 def job_text(job: Column) -> Column:
     """All values of a job, in lower case, one per line."""
     return F.lower(F.concat_ws(
@@ -215,16 +213,8 @@ def project_text(project: Column) -> Column:
     return F.lower(F.concat_ws("\n", project["name"], project["description"], project["results"]))
 
 
-def history_text(work: Column, projects: Column) -> Column:
-    """All values of jobs and projects, in lower case."""
-    return F.concat(
-        F.array_join(F.transform(work, job_text), "\n"), F.lit("\n"),
-        F.array_join(F.transform(projects, project_text), "\n"),
-    )
-
-
 def record_text() -> Column:
-    """All values of a whole résumé record, in lower case; reads the record's columns."""
+    """All values of a whole résumé record, in lower case; reads the record's columns and history text."""
     info = F.col("basic_info")
     education = F.transform(
         F.col("education"),
@@ -237,6 +227,27 @@ def record_text() -> Column:
     return F.lower(F.concat_ws(
         "\n", info["name"], info["phone"], info["email"], info["city"], info["target_job"],
         info["expect_salary"], F.array_join(education, "\n"),
-        history_text(F.col("work_experience"), F.col("projects")),
+        F.col("history_text"),
         names("skills"), names("certificates"), names("languages"),
     ))
+
+
+def with_features(resumes: DataFrame) -> DataFrame:
+    """Add what matching reads from a résumé, so that it is computed per résumé and not per pair.
+
+    All texts are in lower case; columns that a query does not use are pruned.
+    """
+    work, projects = F.col("work_experience"), F.col("projects")
+    return resumes.withColumns({
+        "skill_list": skill_names(F.col("skills")),
+        "job_texts": F.transform(work, job_text),
+        "duty_texts": F.transform(work, lambda w: F.lower(or_empty(w["duties"]))),
+        "project_texts": F.transform(projects, project_text),
+        "job_count": F.size(work), "project_count": F.size(projects),
+        "measured": F.exists(
+            work, lambda w: or_empty(w["duties"]).rlike(fixed.QUANT_PATTERN.replace(r"\d", r"\p{Nd}"))),
+    }).withColumns({
+        "skill_list_lower": F.transform("skill_list", F.lower),
+        "history_text": F.concat(
+            F.array_join("job_texts", "\n"), F.lit("\n"), F.array_join("project_texts", "\n")),
+    }).withColumn("whole_text", record_text())

@@ -8,19 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
-from vitaespark.functions.strings import SPACE, SPACE_NO_LF, WORD, bind, trimmed
+from vitaespark.functions.strings import SPACE, WORD, bind, trimmed
 
 _LINE = "(?md)"  # ^ and $ at line feeds only
 
 
+def _join_cut_words(text: Column) -> Column:
+    joined = F.regexp_replace(text, f"((?<![{WORD}])[{WORD}]++)-\n([{WORD}]+)", "$1$2")
+    return F.when(F.contains(text, F.lit("-\n")), joined).otherwise(text)
+
+
 def normalize_text(text: Column) -> Column:
     """Clean extracted text; the order of the steps matters."""
     text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     text = F.replace(text, F.lit("\f"), F.lit("\n"))
-    text = F.regexp_replace(text, f"[{SPACE_NO_LF}]{{2,}}", " ")
+    text = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f&&[^\n]]{2,}", " ")
     text = F.regexp_replace(text, r"\n{4,}", "\n\n\n")
     # Words cut at a line end are put together again.
-    text = F.regexp_replace(text, f"([{WORD}]+)-\n([{WORD}]+)", "$1$2")
+    text = bind(text, _join_cut_words)
     blank = f"[{SPACE}]*"
     for pattern in (
         rf"{_LINE}^{blank}\p{{Nd}}+{blank}$",

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vitaespark import fixed
 from vitaespark.functions import dialog as D
-from vitaespark.functions import records as R
 from vitaespark.operators import ordered
 
 TURNS_PER_BLOCK = 4096
@@ -28,7 +27,9 @@ def phases(turns: DataFrame, skip: Column) -> DataFrame:
     Only the first few turns of a conversation decide where its phases start, so one small
     row per conversation joins back to the turns.
     """
-    asked = numbered(turns.filter(F.col("role") == "user").withColumn("_skip", F.coalesce(skip, F.lit(False))))
+    spoken = turns.filter(F.col("role") == "user")
+    users = ordered.heavy_keys(spoken, "conv_id")
+    asked = numbered(spoken.withColumn("_skip", F.coalesce(skip, F.lit(False))))
     flags = F.transform(F.array_sort(F.collect_list(F.struct("question_no", "_skip"))), lambda x: x["_skip"])
     starts = (
         asked.filter(F.col("question_no") < D.DECIDING_TURNS).groupBy("conv_id")
@@ -37,7 +38,7 @@ def phases(turns: DataFrame, skip: Column) -> DataFrame:
     phase = D.phase_at(F.col("question_no"), F.col("_starts"))
     begun = F.when(F.col("phase") == 0, F.lit(0)).otherwise(F.get(F.col("_starts"), F.col("phase") - 1))
     return (
-        ordered.salted_join(asked, starts, "conv_id")
+        ordered.salted_join(asked, starts, "conv_id", heavy=users)
         .withColumn("phase", phase)
         .withColumns({"phase_key": D.phase_key(F.col("phase")), "round_no": F.col("question_no") - begun})
         .drop("_skip", "_starts")
@@ -51,12 +52,12 @@ def phase_rounds(phased: DataFrame) -> DataFrame:
 
 def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh") -> DataFrame:
     """I4: the question of every user turn; ``paired`` holds both records per conv_id."""
-    names = R.skill_names(F.col("skills"))
     topics = paired.select(
         "conv_id",
         D.background_questions(F.col("education"), F.col("projects"), F.col("work_experience"), lang)
         .alias("_background"),
-        D.competency_questions(F.col("hard_skills"), names, F.col("work_experience"), lang).alias("_competency"),
+        D.competency_questions(
+            F.col("hard_skills"), F.col("skill_list_lower"), F.col("work_experience"), lang).alias("_competency"),
         F.coalesce(F.nullif(F.col("basic_info.target_job"), F.lit("")), F.col("position")).alias("_target"),
     )
     question = D.question_for(*[F.col(c) for c in (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vitaespark import fixed
 from vitaespark.functions import matching as M
 from vitaespark.functions import records as R
-from vitaespark.operators.ordered import salted_join
+from vitaespark.operators.ordered import heavy_keys, salted_join
 
 POSTING_COLUMNS = [
     "jd_id", "position", "company", "years_required", "education_required", "hard_skills", "soft_skills",
@@ -14,13 +14,15 @@ POSTING_COLUMNS = [
 
 
 def pair_records(pairs: DataFrame, postings: DataFrame, resumes: DataFrame) -> DataFrame:
-    """Both records beside each (jd_id, resume_id) pair.
+    """Both records beside each (jd_id, resume_id) pair, with the texts that matching reads.
 
     Popular postings and busy candidates are salted.  The small posting joins first; a
     résumé is shuffled once and never copied per posting across the network.
     """
     slim = postings.select(*[c for c in POSTING_COLUMNS if c in postings.columns])
-    return salted_join(salted_join(pairs, slim, "jd_id"), resumes, "resume_id")
+    with_posting = salted_join(pairs, slim, "jd_id")
+    return salted_join(
+        with_posting, R.with_features(resumes), "resume_id", heavy=heavy_keys(pairs, "resume_id"), by=["jd_id"])
 
 
 def gaps(paired: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def enrich(paired: DataFrame, answers: DataFrame) -> DataFrame:
     joined = paired.join(given, keys, "left").withColumn("_answers", F.coalesce("_answers", none))
     new = M.enriched_resume(*[F.col(c) for c in (
         "_answers", "basic_info", "skills", "work_experience", "projects")])
-    return joined.withColumns(new).drop("_answers")
+    return R.with_features(joined.withColumns(new).drop("_answers"))
 
 
 def append_direct(paired: DataFrame, additions: DataFrame) -> DataFrame:
@@ -77,34 +79,28 @@ def append_direct(paired: DataFrame, additions: DataFrame) -> DataFrame:
     for name, extra in (("skills", "new_skills"), ("projects", "new_projects")):
         column = F.col(name)
         joined = joined.withColumn(name, F.when(F.col(extra).isNull(), column).otherwise(F.concat(column, extra)))
-    return joined.drop("new_skills", "new_projects")
+    return R.with_features(joined.drop("new_skills", "new_projects"))
 
 
 def tailor(paired: DataFrame, lang: str = "zh") -> DataFrame:
     """The tailored résumé of each pair: ranked, labelled, summarised and introduced."""
-    keywords = F.concat(F.col("hard_skills"), F.col("soft_skills"))
-    names = R.skill_names(F.col("skills"))
+    hard, names = F.col("hard_skills"), F.col("skill_list_lower")
+    keywords = F.concat(hard, F.col("soft_skills"))
+    sections = R.experience_section(F.col("work_experience"), hard, F.col("duty_texts"))
     ranked = paired.select(
-        "jd_id", "resume_id", "hard_skills", "skills", "certificates", "languages", "basic_info",
-        R.record_text().alias("_text"), F.col("work_experience").alias("_jobs"),
-        M.by_relevance(F.col("work_experience"), keywords, R.job_text).alias("_work"),
-        M.by_relevance(F.col("projects"), keywords, R.project_text).alias("projects"),
+        "jd_id", "resume_id", "job_count", R.personal_section(F.col("basic_info")).alias("personal"),
+        M.by_relevance(sections, F.col("job_texts"), keywords).alias("experience"),
+        M.by_relevance(F.col("projects"), F.col("project_texts"), keywords).alias("projects"),
         R.education_section(F.col("education")).alias("education"),
-        M.skills_matched(F.col("hard_skills"), names).alias("jd_matched"),
-        M.skills_missing(F.col("hard_skills"), names).alias("jd_missing"),
-        R.technical_skills(F.col("skills")).alias("technical"),
-    )
-    built = ranked.select(
-        "jd_id", "resume_id", R.personal_section(F.col("basic_info")).alias("personal"),
-        M.summary_line(F.col("basic_info.name"), F.col("_jobs"), F.col("jd_matched"), lang).alias("summary"),
-        R.experience_section(F.col("_work"), F.col("hard_skills")).alias("experience"),
-        "education", "projects",
         F.struct(
-            "technical", F.col("languages.name").alias("languages"),
-            F.col("certificates.name").alias("certificates"), "jd_matched", "jd_missing",
+            R.technical_skills(F.col("skills")).alias("technical"), F.col("languages.name").alias("languages"),
+            F.col("certificates.name").alias("certificates"),
+            M.skills_matched(hard, names).alias("jd_matched"), M.skills_missing(hard, names).alias("jd_missing"),
         ).alias("skills"),
-        M.text_match_report(F.col("hard_skills"), F.col("_text"), lang).alias("jd_gap"),
+        M.text_match_report(hard, F.col("whole_text"), lang).alias("jd_gap"),
     )
+    built = ranked.withColumn("summary", M.summary_line(
+        F.col("personal.name"), F.col("job_count"), F.col("skills.jd_matched"), lang))
     return built.withColumns({
         f"intro_{code}": M.self_intro(F.col("personal"), F.col("experience"), F.col("skills.technical"), code)
         for code in fixed.INTRO_TEXT

@@ -114,19 +114,29 @@ def trailing_count(
     )
 
 
-def salted_join(
-    facts: DataFrame, records: DataFrame, key: str, rows_per_task: int = 1_000_000, how: str = "inner"
-) -> DataFrame:
-    """Equi-join where a key may hold a large share of ``facts``.
+def heavy_keys(facts: DataFrame, key: str, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Keys with more facts than one task should take, with the number of salts to spread them over.
 
-    Keys with more than ``rows_per_task`` facts are spread over several salts, and their
-    record is copied once per salt; all other keys join as usual.  Every row is kept.
+    At most one row per ``rows_per_task`` facts; only the key column of the facts is read.
     """
-    heavy = (
+    return (
         facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
         .select(F.col(key).alias("_key"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
     )
-    rest = [F.col(c) for c in facts.columns if c != key]
+
+
+def salted_join(
+    facts: DataFrame, records: DataFrame, key: str, how: str = "inner", heavy: DataFrame | None = None,
+    by: list[str] | None = None,
+) -> DataFrame:
+    """Equi-join where a key may hold a large share of ``facts``.
+
+    Heavy keys are spread over several salts, and their record is copied once per salt; all
+    other keys join as usual.  Every row is kept.  ``heavy`` may come from a cheaper frame
+    with the same keys than ``facts``; ``by`` names the columns whose hash picks the salt.
+    """
+    heavy = heavy_keys(facts, key) if heavy is None else heavy
+    rest = [F.col(c) for c in by or facts.columns if c != key]
     spread = F.pmod(F.xxhash64(*rest), F.col("_salts")) if rest else F.lit(0)
     left = (
         facts.join(heavy, facts[key] == heavy["_key"], "left")

@@ -9,7 +9,10 @@ exactly the same rows.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitaespark.session import spread
+
 NL = "chr(10)"
+TEXT_TABLES = ("documents", "pages")  # much work per row
 
 
 def _pick(key: str, *values: str) -> str:
@@ -165,7 +168,8 @@ def as_frame(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(df) if table in TEXT_TABLES else df
 
 
 def resume_texts(spark, folder) -> DataFrame:

@@ -207,7 +207,7 @@ matched AS MATERIALIZED (SELECT jd_id, resume_id, coalesce(string_agg(skill, '|'
 @query("match_skills_matched", f"WITH {BASE}, {_MATCHED} SELECT jd_id, resume_id, jd_matched, jd_missing FROM matched")
 def match_skills_matched(spark, d):
     """R1"""
-    names = R.skill_names(F.col("skills"))
+    names = F.col("skill_list_lower")
     return paired(spark, d).select(
         "jd_id", "resume_id", F.array_join(M.skills_matched(F.col("hard_skills"), names), "|").alias("jd_matched"),
         F.array_join(M.skills_missing(F.col("hard_skills"), names), "|").alias("jd_missing"))
@@ -225,7 +225,7 @@ def match_skills_matched(spark, d):
 def match_text_report(spark, d):
     """R2"""
     report = paired(spark, d).select(
-        "jd_id", "resume_id", M.text_match_report(F.col("hard_skills"), R.record_text()).alias("r"))
+        "jd_id", "resume_id", M.text_match_report(F.col("hard_skills"), F.col("whole_text")).alias("r"))
     return report.select("jd_id", "resume_id", F.array_join("r.matched", "|").alias("matched"),
                          F.array_join("r.missing", "|").alias("missing"))
 
@@ -248,8 +248,8 @@ def match_relevance_rank(spark, d):
     """R3"""
     words = F.concat("hard_skills", "soft_skills")
     ranked = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", M.by_relevance(F.col("work_experience"), words, R.job_text).alias("w"),
-        F.array_max(M.relevance_scores(F.col("work_experience"), words, R.job_text)).alias("best"))
+        "jd_id", "resume_id", M.by_relevance(F.col("work_experience"), F.col("job_texts"), words).alias("w"),
+        F.array_max(M.relevance_scores(F.col("job_texts"), words)).alias("best"))
     return ranked.select("jd_id", "resume_id", F.array_join("w.company", "|").alias("companies"),
                          F.col("best").cast("bigint").alias("best"))
 
@@ -259,7 +259,7 @@ def match_relevance_rank(spark, d):
 def match_relevance_label(spark, d):
     """R4"""
     built = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", R.experience_section(F.col("work_experience"), F.col("hard_skills")).alias("e"))
+        "jd_id", "resume_id", R.experience_section(F.col("work_experience"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
     return built.select("jd_id", "resume_id", F.array_join("e.jd_relevance", "").alias("labels"))
 
 
@@ -457,7 +457,7 @@ def record_period(spark, d):
 def record_experience(spark, d):
     """M7"""
     rows = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", R.experience_section(F.col("work_experience"), F.col("hard_skills")).alias("e"))
+        "jd_id", "resume_id", R.experience_section(F.col("work_experience"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
     shown = F.transform("e", lambda j: F.concat_ws("/", j["company"], j["position"], j["period"], F.array_join(j["bullets"], ",")))
     return rows.select("jd_id", "resume_id", F.array_join(shown, "|").alias("experience"))
 

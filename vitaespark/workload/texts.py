@@ -71,7 +71,7 @@ def text_section_map(spark, d):
         F.array_sort(F.map_entries(F.col("m"))),
         lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "\n")))
     folded = normal_texts(spark, d).select("doc_id", T.section_map(T.section_runs(F.col("text"))).alias("m"))
-    return folded.filter(F.size("m") > 0).select("doc_id", F.array_join(entries, "\n").alias("sections"))
+    return folded.select("doc_id", F.array_join(entries, "\n").alias("sections"))
 
 
 _RULE = fixed.RULE_CHAR * fixed.RULE_WIDTH
@@ -90,8 +90,7 @@ _LABELS = " ".join(f"WHEN '{k}' THEN {q(f'{zh} / {en}')}" for k, (zh, en) in fix
     SELECT doc_id, string_agg(block, {NL} ORDER BY begins) AS formatted FROM blocks GROUP BY doc_id""")
 def text_section_format(spark, d):
     """T7"""
-    formatted = normal_texts(spark, d).select("doc_id", T.format_sections(F.col("text")).alias("formatted"))
-    return formatted.filter(F.col("formatted") != "")
+    return normal_texts(spark, d).select("doc_id", T.format_sections(F.col("text")).alias("formatted"))
 
 
 _NEEDLES = {
