@@ -1,0 +1,40 @@
+from pyspark.sql import functions as F
+
+from vitaespark.plans import jobs
+from vitaespark.workload import derive, pairs
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_parse_postings(spark):
+    docs = spark.createDataFrame([(1, "高级工程师 深圳 15k-25k Python"), (2, "x")], "doc_id bigint, text string")
+    model = spark.createDataFrame([(1, '{"position": "Lead", "hard_skills": ["Go"]}'), (2, "broken")], "doc_id bigint, content string")
+    rows = {r.jd_id: r for r in jobs.parse_postings(docs, model).collect()}
+    assert (rows[1].position, rows[1].location, rows[1].hard_skills) == ("Lead", "深圳", ["Go", "Python"])
+    assert rows[2].position is None and rows[2].hard_skills == []
+    assert {r.jd_id: r.position for r in jobs.parse_postings(docs).collect()}[1] == "高级"
+
+
+def test_parse_resumes(spark):
+    docs = spark.createDataFrame([(1, "姓名：李雷\n13800138000\n杭州")], "doc_id bigint, text string")
+    row = jobs.parse_resumes(docs).first()
+    assert (row.basic_info.name, row.basic_info.phone, row.basic_info.city) == ("李雷", "13800138000", "杭州")
+    assert [i.field for i in row.format_issues] == ["email"] and row.source_report.severity == "pass"
+
+
+def test_tables_to_exports(spark):
+    applied, postings, people = (f(spark, FOLDER) for f in (derive.applications, derive.postings, derive.resumes))
+    asked = jobs.gap_questions(applied, postings, people)
+    answers = asked.withColumn("answer", F.expr(pairs._ANSWER))
+    assert asked.filter("question IS NULL").count() == 0
+    exports = jobs.tailored_exports(applied, postings, people, answers)
+    assert exports.count() == 5 * applied.count()
+
+
+def test_interviews_and_calls(spark):
+    turns = derive.turns(spark, FOLDER)
+    report = jobs.interview_report(turns, F.lit(False))
+    assert report.count() == turns.select("conv_id").distinct().count()
+    calls = derive.calls(spark, FOLDER)
+    metered = jobs.metered_calls(calls, ["tenant"], 1, 0.1)
+    assert metered.count() == calls.count() and metered.filter("within_rate IS NULL OR within_budget IS NULL").count() == 0

@@ -86,8 +86,9 @@ def rolling_context(turns: DataFrame, size: int = fixed.CONTEXT_TURNS) -> DataFr
 
     Each block also gets the last few rows of the block before it.
     """
-    own = F.floor(F.col("_no") / TURNS_PER_BLOCK)
-    near_end = F.col("_no") >= (own + 1) * TURNS_PER_BLOCK - (size - 1)
+    rows = max(TURNS_PER_BLOCK, size)
+    own = F.floor(F.col("_no") / rows)
+    near_end = F.col("_no") >= (own + 1) * rows - (size - 1)
     copies = (
         numbered(turns, "_no").withColumn("_own", own)
         .withColumn("_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))

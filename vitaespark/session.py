@@ -16,6 +16,8 @@ def build_session(name: str = "vitaespark", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # work per row is high here, so small shuffles keep more tasks than the default allows
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         **conf,
     }
     for key, value in settings.items():
