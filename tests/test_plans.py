@@ -16,7 +16,7 @@ def test_parse_postings(spark):
 
 
 def test_parse_resumes(spark):
-    docs = spark.createDataFrame([(1, "姓名：李雷\n13800138000\n杭州")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "姓名：李雷\n电话 13800138000\n杭州")], "doc_id bigint, text string")
     row = jobs.parse_resumes(docs).first()
     assert (row.basic_info.name, row.basic_info.phone, row.basic_info.city) == ("李雷", "13800138000", "杭州")
     assert [i.field for i in row.format_issues] == ["email"] and row.source_report.severity == "pass"

@@ -112,12 +112,9 @@ def relevance_scores(texts: Column, keywords: Column) -> Column:
 
 def by_relevance(entries: Column, texts: Column, keywords: Column) -> Column:
     """Entries by number of keywords in their text, most first, ties in given order."""
-    def ranked(scores):
-        keyed = F.transform(
-            entries, lambda e, i: F.struct((-F.get(scores, i)).alias("rank"), i.alias("pos"), e.alias("entry")))
-        return F.transform(F.array_sort(keyed), lambda x: x["entry"])
-
-    return bind(relevance_scores(texts, keywords), ranked)
+    order = F.array_sort(F.transform(
+        relevance_scores(texts, keywords), lambda score, i: F.struct((-score).alias("rank"), i.alias("pos"))))
+    return bind(entries, lambda given: F.transform(order, lambda x: F.get(given, x["pos"])))
 
 
 def preview_jobs(experience: Column, device: str = "desktop") -> Column:

@@ -153,23 +153,32 @@ def period(start: Column, end: Column) -> Column:
     return F.concat_ws(" - ", unempty(start), unempty(end))
 
 
-def experience_section(work: Column, hard_skills: Column, duty_texts: Column) -> Column:
-    """Jobs as sections with a relevance label; ``duty_texts`` are the lower-case duties."""
+def job_sections(work: Column) -> Column:
+    """M7: jobs as sections, without what depends on a posting."""
+    return F.transform(
+        work,
+        lambda job: F.struct(
+            or_empty(job["company"]).alias("company"), or_empty(job["position"]).alias("position"),
+            period(job["start_date"], job["end_date"]).alias("period"),
+            F.array_compact(F.array(unempty(job["duties"]))).alias("bullets"),
+            or_no_items(job["source_index"], "int").alias("source_index"),
+        ),
+    )
+
+
+def experience_section(sections: Column, hard_skills: Column, duty_texts: Column) -> Column:
+    """Job sections with a relevance label; ``duty_texts`` are the lower-case duties."""
 
-    def sections(skills):
-        def section(job, at):
-            hit = F.exists(skills, lambda s: F.contains(F.get(duty_texts, at), s))
-            return F.struct(
-                or_empty(job["company"]).alias("company"), or_empty(job["position"]).alias("position"),
-                period(job["start_date"], job["end_date"]).alias("period"),
-                F.array_compact(F.array(unempty(job["duties"]))).alias("bullets"),
-                F.when(hit, fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM).alias("jd_relevance"),
-                or_no_items(job["source_index"], "int").alias("source_index"),
-            )
+    def label(skills, at):
+        hit = F.exists(skills, lambda s: F.contains(F.get(duty_texts, at), s))
+        return F.when(hit, fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM)
 
-        return F.transform(work, section)
+    def labelled(skills):
+        return F.transform(sections, lambda x, at: F.struct(
+            *[x[name] for name in ("company", "position", "period", "bullets")],
+            label(skills, at).alias("jd_relevance"), x["source_index"]))
 
-    return bind(F.transform(hard_skills, F.lower), sections)
+    return bind(F.transform(hard_skills, F.lower), labelled)
 
 
 def education_section(education: Column) -> Column:
@@ -243,6 +252,7 @@ def with_features(resumes: DataFrame) -> DataFrame:
         "job_texts": F.transform(work, job_text),
         "duty_texts": F.transform(work, lambda w: F.lower(or_empty(w["duties"]))),
         "project_texts": F.transform(projects, project_text),
+        "job_sections": job_sections(work),
         "job_count": F.size(work), "project_count": F.size(projects),
         "measured": F.exists(
             work, lambda w: or_empty(w["duties"]).rlike(fixed.QUANT_PATTERN.replace(r"\d", r"\p{Nd}"))),

@@ -67,18 +67,26 @@ def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh") -> Dat
 
 
 def opening_lines(sessions: DataFrame, openings: DataFrame) -> DataFrame:
-    """Opening by persona and language; unknown persona or language falls back to the defaults."""
-    default_lang, default_persona = fixed.DEFAULT_LANG, fixed.DEFAULT_PERSONA
-    known = openings.groupBy("persona").agg(F.map_from_entries(
-        F.collect_list(F.struct("lang", "text"))).alias("_texts"))
-    fallback = known.filter(F.col("persona") == default_persona).select(
-        F.col("_texts").alias("_default"), F.lit(1).alias("_one"))
+    """Opening by persona and language; unknown persona or language falls back to the defaults.
+
+    The fall-back text rides along on every row of the small table, so two equi-joins suffice.
+    """
+    is_default = (F.col("persona") == fixed.DEFAULT_PERSONA) & (F.col("lang") == fixed.DEFAULT_LANG)
+    whole = Window.partitionBy(F.lit(1))
+    known = (
+        openings.withColumn("_default", F.max(F.when(is_default, F.col("text"))).over(whole))
+        .groupBy(F.col("persona").alias("_persona")).agg(
+            F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("_texts"),
+            F.max("_default").alias("_default"))
+    )
+    named = known.select("_persona", F.lit(True).alias("_known"))
+    used = F.when(F.col("_known"), F.col("persona")).otherwise(fixed.DEFAULT_PERSONA)
     joined = (
-        sessions.withColumn("_one", F.lit(1)).join(known, "persona", "left").join(fallback, "_one", "left")
+        sessions.join(named, sessions["persona"] == named["_persona"], "left").drop("_persona")
+        .withColumn("_used", used).join(known, F.col("_used") == F.col("_persona"), "left")
     )
-    own = F.element_at(F.coalesce("_texts", "_default"), F.col("lang"))
-    line = F.coalesce(own, F.element_at("_default", F.lit(default_lang)))
-    return joined.withColumn("opening", line).drop("_texts", "_default", "_one")
+    line = F.coalesce(F.element_at("_texts", F.col("lang")), F.col("_default"))
+    return joined.withColumn("opening", line).drop("_texts", "_default", "_known", "_used", "_persona")
 
 
 def rolling_context(turns: DataFrame, size: int = fixed.CONTEXT_TURNS) -> DataFrame:

@@ -86,7 +86,7 @@ def tailor(paired: DataFrame, lang: str = "zh") -> DataFrame:
     """The tailored résumé of each pair: ranked, labelled, summarised and introduced."""
     hard, names = F.col("hard_skills"), F.col("skill_list_lower")
     keywords = F.concat(hard, F.col("soft_skills"))
-    sections = R.experience_section(F.col("work_experience"), hard, F.col("duty_texts"))
+    sections = R.experience_section(F.col("job_sections"), hard, F.col("duty_texts"))
     ranked = paired.select(
         "jd_id", "resume_id", "job_count", R.personal_section(F.col("basic_info")).alias("personal"),
         M.by_relevance(sections, F.col("job_texts"), keywords).alias("experience"),

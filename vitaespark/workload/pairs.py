@@ -259,7 +259,7 @@ def match_relevance_rank(spark, d):
 def match_relevance_label(spark, d):
     """R4"""
     built = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", R.experience_section(F.col("work_experience"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
+        "jd_id", "resume_id", R.experience_section(F.col("job_sections"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
     return built.select("jd_id", "resume_id", F.array_join("e.jd_relevance", "").alias("labels"))
 
 
@@ -457,7 +457,7 @@ def record_period(spark, d):
 def record_experience(spark, d):
     """M7"""
     rows = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", R.experience_section(F.col("work_experience"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
+        "jd_id", "resume_id", R.experience_section(F.col("job_sections"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
     shown = F.transform("e", lambda j: F.concat_ws("/", j["company"], j["position"], j["period"], F.array_join(j["bullets"], ",")))
     return rows.select("jd_id", "resume_id", F.array_join(shown, "|").alias("experience"))
 
