@@ -8,7 +8,7 @@ from vitaespark.operators import documents
 from vitaespark.workload import derive
 from vitaespark.workload.registry import query
 from vitaespark.workload.sqltext import (
-    LINES, NL, NORMAL, POSTINGS, RESUMES, SECTIONS, q, strip, sub,
+    LINES, NL, NORMAL, SECTIONS, q, strip, sub,
 )
 
 
