@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm import packing, secrets
+from vitaespark.llm import chunks, decontaminate, neighbours, packing, secrets, urltree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,57 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(of: int, rest: int):
+    """Whether crc32 of the id as text leaves a remainder."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == rest
+
+
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.scan(documents, table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0), lambda n, h: n + h.end - h.start).cast("long")
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+#: Fixed rules of the URL filter's query.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op3_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's label is that of the document whose number its path holds."""
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.min("quality").alias("good"))
+    _, path = urltree.host_and_path(F.col("url"))
+    pages = table(spark, folder, "pages").select(
+        "page_id", "url", F.regexp_extract(path, "/([0-9]{1,18})(?:[^0-9]|$)", 1).try_cast("long").alias("doc_id"))
+    return urltree.judge(pages.join(labels, "doc_id", "left"), RULES)
+
+
+#: Score from which a document counts as good.
+GOOD = 0.3
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    space = neighbours.fit(documents, table(spark, folder, "labels").where(~held_out(5, 0)))
+    scored = neighbours.score(documents, space)
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "score").select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
+
+
 @query
 def op7_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,3 +92,8 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeats(table(spark, folder, "documents"))
