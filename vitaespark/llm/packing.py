@@ -9,81 +9,87 @@ by counts.  Pieces then find their place by their rank among pieces of their len
 """
 
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitaespark.llm.arrays import small_batches, text_column, written
+from vitaespark.llm.secrets import vocabulary
 
 CAPACITY = 1024
-#: Tokens of one white-space delimited unit never depend on its neighbours, so units are encoded once.
-UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
-#: Units a Python worker remembers (some 150 bytes each) before it starts afresh.
-REMEMBERED = 600_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit values, remembered by unit."""
+    """Token ids of texts as little-endian unsigned 32-bit values.
+
+    ``ranks`` is the same vocabulary in tiktoken's form, whose library is several times faster.  Texts
+    that hold an added token's string are left to the tokenizer itself, and so is everything if there
+    are no ranks; the first texts of each worker are encoded both ways and must agree.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None, pattern: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = vocabulary(ranks, pattern).encode_ordinary if ranks else None
+        self.unchecked = 20
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or any(t in text for t in self.added):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = self.fast(text)
+        if self.unchecked:
+            self.unchecked -= 1
+            if found != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError("the ranks are not the tokenizer's vocabulary")
+        return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        units = [UNIT.findall(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({u for own in units for u in own if u not in self.known})
-        for unit, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[unit] = np.array(coded.ids, "<u4").tobytes()
-        look = self.known.__getitem__
-        return [b"".join(map(look, own)) for own in units]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.ids(text), "<u4").tobytes() if sys.byteorder == "big" else array("I", self.ids(text)).tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
+    key = (path, ranks, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY,
+           ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: of a longer document all but the first are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
+        coder, task, seen = encoder(tokenizer, ranks, pattern), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             out = []
-            for at in range(0, len(ids), 50):
-                coded = coder.encode(texts.slice(at, 50).to_pylist())
-                for doc_id, own in zip(ids[at:at + 50], coded):
-                    own += end
-                    n = len(own) // 4
-                    first = n - (n - 1) // capacity * capacity
-                    begin, k = 0, 0
-                    while begin < n:
-                        to = first if k == 0 else begin + capacity
-                        out.append((doc_id, k, begin, to - begin, zlib.crc32(own[4 * begin:4 * to]), task, seen[to - begin]))
-                        seen[to - begin] += 1
-                        begin, k = to, k + 1
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = coder.encode(text.as_py()) + end
+                n = len(own) // 4
+                first = n - (n - 1) // capacity * capacity
+                begin, k = 0, 0
+                while begin < n:
+                    to = first if k == 0 else begin + capacity
+                    out.append((doc_id, k, begin, to - begin, zlib.crc32(own[4 * begin:4 * to]), task, seen[to - begin]))
+                    seen[to - begin] += 1
+                    begin, k = to, k + 1
             columns = list(zip(*out)) if out else [()] * 7
             types = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays(
@@ -205,13 +211,14 @@ def slots(bins: Counter) -> dict[int, list[tuple[int, int, int, int]]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY,
+         ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Pieces of all documents with their sequence and offset.
 
     Null and empty texts are the end token alone.  Repeated rows are packed once each.  An empty table
     gives no rows; extra columns are ignored.  The tokens of one text may be as many as memory holds.
     """
-    cut = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = written(pieces(docs, tokenizer, end_id, capacity, ranks, pattern), "pieces")
     per_task = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     per_task = per_task.withColumn("before", F.coalesce(before, F.lit(0)))

@@ -74,7 +74,9 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 @query
