@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm import chunks, decontaminate, neighbours, packing, secrets, urltree, warc
+from vitaespark.llm import chunks, decontaminate, nearjoin, neighbours, oracles, packing, secrets, urltree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": oracles.decontaminated(decontaminate.WINDOW),
+    "op6_warc": oracles.archived(),
+    "op8_near_duplicates": oracles.near_duplicates(4, 80),
+}
 
 
 def query(fn):
@@ -96,6 +100,11 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
+
+
 @query
 def op9_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.repeats(table(spark, folder, "documents"))
