@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm import chunks, decontaminate, nearjoin, neighbours, oracles, packing, secrets, urltree, warc
+from vitaespark.llm import chunks, contexttree, decontaminate, nearjoin, neighbours, oracles, packing, secrets, urltree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -68,6 +68,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+@query
+def op5_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return contexttree.score(table(spark, folder, "documents"), held_out(7, 2))
+
+
 @query
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.round_trip(table(spark, folder, "pages"))
