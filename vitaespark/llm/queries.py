@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm import chunks, contexttree, decontaminate, nearjoin, neighbours, oracles, packing, secrets, urltree, warc
+from vitaespark.llm import chunks, contexttree, decontaminate, nearjoin, neighbours, oracles, orderhash, packing, secrets, urltree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -41,6 +41,11 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query
+def op2_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return orderhash.edited_fingerprints(table(spark, folder, "documents"))
+
+
 #: Fixed rules of the URL filter's query.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
