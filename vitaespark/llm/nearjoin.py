@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from math import floor, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from vitaespark.llm.arrays import (LOWER, SPACED, _splitmix, mix, shingle_hashes, small_batches, steps, text_column, utf8, word_hashes,
                                    words, written)
@@ -82,6 +84,11 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
+@F.pandas_udf(BinaryType())
+def lowest_bytes(signature: pd.Series) -> pd.Series:
+    return signature.map(lambda s: s[::4])
+
+
 def tokens_of(batch: pa.Array) -> np.ndarray:
     """Posting keys of a column of signatures: coordinate and value in one number each."""
     values = np.frombuffer(b"".join(batch.to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64)
@@ -113,73 +120,134 @@ def prefixes(batch_tokens: np.ndarray, cells: np.ndarray, length: int) -> np.nda
     return np.argsort((counts.astype(np.int64) << 6) + np.arange(COORDINATES), axis=1, kind="stable")[:, :length]
 
 
-def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that join the classes (id, n, signature) into their components."""
-    spark = docs.sparkSession
-    least = least_matches(percent)
-    length = COORDINATES - least + 1
-    cells = spark.sparkContext.broadcast(frequent_cells(classes))
+#: 64-bit words of the filter that says which documents' sets are wanted: 8 MB, whatever the input's size.
+FILTER_WORDS = 1 << 20
+#: Bytes of a shingle's hash that travel; two sets of 20,000 have a chance of 1 in 700,000 to clash anywhere.
+SHINGLE_BYTES = 6
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = tokens_of(batch.column(1))
-            first = prefixes(tokens, cells.value, length)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.take_along_axis(tokens, first, axis=1).ravel()),
-                pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), length))], ["token", "id"])
 
-    posted = classes.select("id", "signature").mapInArrow(post, "token long, id long")
-    drawn = F.xxhash64("id", "token")
-    lists = posted.groupBy("token").agg(
-        F.count("*").alias("n"), F.min("id").alias("hub"), F.min(drawn).alias("draw")).where("n > 1")
-    shared = written(posted.join(lists, "token").select("token", "id", "hub", "n", (drawn == F.col("draw")).alias("drawn")), "postings")
+def filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and masks of the two bits of each id."""
+    with np.errstate(over="ignore"):
+        hashed = mix(ids.view(np.uint64) + np.uint64(0x51ED270B))
+    word = np.concatenate([hashed % np.uint64(FILTER_WORDS), (hashed >> np.uint64(24)) % np.uint64(FILTER_WORDS)]).astype(np.int64)
+    return word, np.uint64(1) << np.concatenate([hashed >> np.uint64(58), (hashed >> np.uint64(52)) & np.uint64(63)])
 
-    members = shared.select("id").distinct()
-    texts = docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the documents in pairs (a, b).
+
+    Texts are not shuffled: tasks read them again and skip those that a filter of fixed size rules out.
+    With more ids than it can tell apart, more sets are made than needed, which later joins leave out.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
+            word, mask = filter_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-    sets = written(texts.select("doc_id", "text").mapInArrow(gather, "id long, shingles binary"), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    rows = ids.mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
+    wanted = np.zeros(FILTER_WORDS, np.uint64)
+    wanted[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            same = (tokens_of(batch.column(2)) == tokens_of(batch.column(3))).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(same))
+            word, mask = filter_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            both = ((bits[word] & mask) != 0).reshape(2, -1).all(axis=0)
+            asked = batch.filter(pa.array(both))
+            sets = [(s >> np.uint64(64 - 8 * SHINGLE_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes()
+                    for s in shingle_sets(asked.column(1), size)]
+            yield pa.RecordBatch.from_arrays([asked.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return written(docs.mapInArrow(gather, "id long, shingles binary"), "sets")
+
+
+def shingles_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SHINGLE_BYTES, 8), np.uint8)
+    out[:, :SHINGLE_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SHINGLE_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    x = table.select(F.col("id").alias("a"), F.col(column).alias("x"))
+    y = table.select(F.col("id").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
+def across(pairs: DataFrame, of_id: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components; an id without one is alone."""
+    x = of_id.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    y = of_id.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have ``percent`` of their union in common."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = shingles_of(x.as_py()), shingles_of(y.as_py())
                 x, y = (x, y) if len(x) < len(y) else (y, x)
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    def joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        x = table.select(F.col("id").alias("a"), F.col(column).alias("x"))
-        y = table.select(F.col("id").alias("b"), F.col(column).alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return written(joined(pairs, sets, "shingles").mapInArrow(confirm, "a long, b long"), "confirmed")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the classes (id, n, signature) into their components."""
+    least = least_matches(percent)
+    length = COORDINATES - least + 1
+    cells = docs.sparkSession.sparkContext.broadcast(frequent_cells(classes))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = tokens_of(batch.column(1))
+            first = prefixes(tokens, cells.value, length)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.take_along_axis(tokens, first, axis=1).ravel()),
+                pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), length))], ["token", "id"])
+
+    posted = classes.select("id", "signature").mapInArrow(post, "token long, id long")
+    lists = posted.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("token", "hub")
+    shared = written(posted.join(lists, "token").select("token", "id", "hub"), "postings")
+    # two hubs of each list: its smallest id, and one drawn by a hash, another one in each list
+    drawn = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", "token").alias("draw"), "id")).alias("first"))
+    drawn = shared.select("token", "id").join(drawn.select("token", F.col("first.id").alias("hub")), "token").select("id", "hub")
+    pairs = shared.select("id", "hub").union(drawn).where("id <> hub")
+    pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+            same = (x == y).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same)], ["a", "b", "same"]).filter(pa.array(same >= least))
 
-    def confirmed(pairs: DataFrame, purpose: str) -> DataFrame:
-        return written(joined(pairs, sets, "shingles").mapInArrow(confirm, "a long, b long"), purpose)
+    # the lowest byte of each coordinate: it agrees wherever the coordinate does, so no pair is lost
+    short = classes.select("id", F.col("brief"))
+    agreed = written(joined(pairs, short, "brief").mapInArrow(agreeing, "a long, b long, same long"), "agreed")
+    sets = full_sets(docs, agreed, size)
 
-    hubs = shared.where("drawn").groupBy("token").agg(F.min("id").alias("hub"))
-    pairs = shared.select("id", "hub").union(shared.drop("hub").join(hubs, "token").select("id", "hub"))
-    pairs = pairs.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    agreed = joined(pairs, classes, "signature").mapInArrow(agreeing, "a long, b long")
-    links = confirmed(agreed, "links")
+    # each class first meets the partner most like it, then those from which it is still apart
+    best = agreed.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("minus"))).alias("top"))
+    links = confirmed(best.select((-F.col("top.minus")).alias("a"), "b"), sets, percent)
+    of_id = components(links)
+    links = written(links.union(confirmed(across(agreed.select("a", "b"), of_id), sets, percent)), "links")
 
     # lists whose members lie in one component are done; the others compare what is still apart
-    of_id = components(links) if links.limit(1).count() else spark.createDataFrame([], "id long, component long")
-    known = shared.select("token", "id", "n").join(of_id, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_id = components(links)
+    known = shared.select("token", "id").join(of_id, "id", "left").withColumn("component", F.coalesce("component", "id"))
     known = written(known, "labelled")
     apart = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     apart = apart.where("low < high").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = known.drop("n").join(apart, "token").join(classes.select("id", F.col("n_shingles"), "signature"), "id")
+    open_ = known.join(apart, "token").join(classes.select("id", F.col("n_shingles"), "signature"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = open_.withColumn("own", own).withColumn("other", other).select(
@@ -230,8 +298,8 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
         if held:
             yield from whole(True)
 
-    crossed = dealt.mapInArrow(compare, "a long, b long").distinct()
-    return links.union(confirmed(crossed, "more"))
+    crossed = written(dealt.mapInArrow(compare, "a long, b long").distinct(), "crossed")
+    return links.union(confirmed(crossed, full_sets(docs, crossed, size), percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -248,7 +316,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = signed.where("set_key is not null")
     classes = full.groupBy("set_key").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("brief", lowest_bytes("signature")), "classes")
     # ids with several texts join those texts' classes
     several = full.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("two")).where("one <> two")
     multiple = classes.where("copies > 1").select("set_key", F.col("id").alias("class_id"))
