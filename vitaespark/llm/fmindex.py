@@ -16,7 +16,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(width):
         key <<= bits
-        key[:n - k] |= text[k:]
+        key[:max(0, n - k)] |= text[k:]
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
     tied = np.arange(n)
