@@ -17,7 +17,7 @@ from vitaespark.llm.joins import salted_left
 DEPTH = 3
 #: A literal segment has so many pages at least, and such a share of its parent's.
 LEAST_PAGES, LEAST_SHARE = 5, 0.01
-#: Siblings merge while their good labels are within so many standard errors of the pooled share.
+#: Siblings merge while their shares of good labels differ by at most so many standard errors.
 SIMILAR = 2.0
 PRIOR_WEIGHT = 5.0
 LEAST_PURITY = 0.6
@@ -62,6 +62,18 @@ def templates_of_pages(pages: DataFrame) -> DataFrame:
     return walk.withColumn("template", F.concat("template", deeper)).drop("parts")
 
 
+def _join_similar(state: Column, sibling: Column) -> Column:
+    """Siblings in order of their share: the next one joins the cluster before it unless they differ significantly."""
+    both = (state.g + sibling.g + 1) / (state.l + sibling.l + 2)
+    variance = both * (1 - both) * (1 / state.l + 1 / sibling.l)
+    apart = F.abs(state.g / state.l - sibling.g / sibling.l) > SIMILAR * F.sqrt(variance)
+    new = F.when((state.l > 0) & (sibling.l > 0), apart).otherwise(F.lit(False))
+    k = state.k + F.when(new, 1).otherwise(0)
+    return F.struct(
+        (F.when(new, 0).otherwise(state.l) + sibling.l).cast("long").alias("l"), (F.when(new, 0).otherwise(state.g) + sibling.g).cast("long").alias("g"),
+        k.cast("int").alias("k"), F.concat(state.out, F.array(F.struct(sibling.branch.alias("branch"), k.cast("int").alias("k")))).alias("out"))
+
+
 def judged_templates(pages: DataFrame, least_purity: float = LEAST_PURITY) -> DataFrame:
     """One row per host and template: pages, labels, the branch it was merged into, purity, verdict.
 
@@ -77,13 +89,18 @@ def judged_templates(pages: DataFrame, least_purity: float = LEAST_PURITY) -> Da
         others = F.concat_ws("/", F.transform(parts, lambda s, i: F.when(i == level, "").otherwise(s)))
         branches = table.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
         branches = branches.withColumn("others", others).withColumn("own", own)
-        siblings = Window.partitionBy("host", "others", F.col("own").isNull())
-        share = F.sum("g").over(siblings) / F.greatest(F.sum("l").over(siblings), F.lit(1))
-        branches = branches.withColumn("share", share)
-        spread = F.sqrt(F.col("l") * F.col("share") * (1 - F.col("share")) + 0.25)
-        alike = F.abs(F.col("g") - F.col("l") * F.col("share")) <= SIMILAR * spread
-        merged = F.concat(F.lit("/"), F.concat_ws("/", F.transform(parts, lambda s, i: F.when(i == level, MERGED).otherwise(s))))
-        branches = branches.withColumn("into", F.when(F.col("own").isNotNull() & alike, merged).otherwise(F.col("branch")))
+        rate = F.when(F.col("l") > 0, F.col("g") / F.col("l")).otherwise(F.lit(2.0))
+        # a parent has at most 1 / LEAST_SHARE literal children and a wildcard at each of its leaves
+        siblings = branches.where("own is not null").groupBy("host", "others").agg(
+            F.sort_array(F.collect_list(F.struct(rate.alias("rate"), "branch", "l", "g"))).alias("list"))
+        nobody = F.expr("cast(array() as array<struct<branch:string,k:int>>)")
+        start = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("k"), nobody.alias("out"))
+        grouped = siblings.select("host", "others", F.explode(F.aggregate("list", start, _join_similar, lambda s: s.out)).alias("x"))
+        merged = F.concat(F.lit("/"), F.concat_ws("/", F.transform(parts, lambda s, i: F.when(
+            i == level, F.concat(F.lit(MERGED), F.col("x.k"))).otherwise(s))))
+        merged = grouped.select("host", F.col("x.branch").alias("branch"), "x").withColumn("into", merged)
+        branches = branches.join(merged.select("host", "branch", "into"), ["host", "branch"], "left")
+        branches = branches.withColumn("into", F.coalesce("into", "branch"))
         table = table.join(branches.select("host", "branch", "into"), ["host", "branch"])
         table = table.withColumn("branch", F.col("into")).drop("into")
     whole = table.agg((F.sum("good") / F.greatest(F.sum("labelled"), F.lit(1))).alias("prior"))
