@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vitaespark.functions import dialog as D
 from vitaespark.operators import dialog
+from vitaespark.plans import jobs
 
 
 @pytest.mark.parametrize("said, lang, expected", [
@@ -62,8 +63,19 @@ def test_long_conversations_are_cut_into_blocks(spark, monkeypatch):
         assert row.context[-1].role == ("user" if row.turn % 2 == 0 else "assistant")
     assert dialog.numbered(turns).filter("question_no <> turn").count() == 0
     assert dialog.phases(turns, F.col("skip")).filter("conv_id = 0").agg(F.max("question_no")).first()[0] == 19
-    parts = dialog.transcripts(turns).filter("conv_id = 0").orderBy("part").collect()
-    assert "\n".join(p.transcript for p in parts).count("\n") == 39 and parts[0].transcript.startswith("候选人: x\nHR: y")
+    whole = dialog.transcripts(turns).filter("conv_id = 0").collect()
+    assert len(whole) == 1 and whole[0].transcript.count("\n") == 39 and whole[0].transcript.startswith("候选人: x\nHR: y")
+
+
+def test_very_long_conversation_is_one_transcript_and_one_report(spark):
+    turns = spark.createDataFrame(
+        [(7, t, "user" if t % 2 == 0 else "assistant", "w" * 400) for t in (0, 1, 2, 4095, 4096, 5000, 9001)],
+        "conv_id bigint, turn bigint, role string, text string")
+    report = jobs.interview_report(turns, F.lit(False)).collect()
+    assert len(report) == 1 and report[0].messages == 7 and len(report[0].transcript.split("\n")) == 7
+    assert report[0].transcript.count("w" * 400) == 7
+    cut = dialog.transcripts(turns, 300).first().transcript
+    assert "w" * 301 not in cut and dialog.transcript_lines(turns).count() == 7
 
 
 def test_summary_and_rounds(spark):

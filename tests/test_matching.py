@@ -151,9 +151,12 @@ def test_grounding_and_severity(spark):
 
 
 def test_fill_arguments(spark):
-    df = spark.createDataFrame([("{a} and {b}", {"a": "1", "b": "2"}), ("{a} and {c}", {"a": "1"}), ("plain", {})],
-                               "t string, m map<string,string>")
-    assert [r[0] for r in df.select(R.fill_arguments(F.col("t"), F.col("m"))).collect()] == ["1 and 2", "{a} and {c}", "plain"]
+    cases = [
+        ("{a} and {b}", {"a": "1", "b": "2"}, "1 and 2"), ("{a} and {c}", {"a": "1"}, "{a} and {c}"), ("plain", {}, "plain"),
+        ("{a}", {"a": "{b}", "b": "X"}, "{b}"), ("{{a}} {a}", {"a": "1"}, "{a} 1"), ("{a}!", {"a": None}, "None!"),
+        ("a } {a}", {"a": "1"}, "a } {a}"), ("", {}, ""), (None, {}, None), ("{}", {"": "e"}, "e")]
+    df = spark.createDataFrame([(t, m) for t, m, _ in cases], "t string, m map<string,string>")
+    assert [r[0] for r in df.select(R.fill_arguments(F.col("t"), F.col("m"))).collect()] == [want for _, _, want in cases]
 
 
 def test_localised(spark):

@@ -36,5 +36,24 @@ def test_interviews_and_calls(spark):
     report = jobs.interview_report(turns, F.lit(False))
     assert report.count() == turns.select("conv_id").distinct().count()
     calls = derive.calls(spark, FOLDER)
-    metered = jobs.metered_calls(calls, ["tenant"], 1, 0.1)
-    assert metered.count() == calls.count() and metered.filter("within_rate IS NULL OR within_budget IS NULL").count() == 0
+    metered = jobs.metered_calls(calls, ["tenant"], ["gpt", "claude"], 1, 0.1)
+    assert metered.count() == calls.count() and metered.filter("decision IS NULL").count() == 0
+    assert metered.filter("model NOT IN ('gpt', 'claude') AND decision <> 'API_KEY_MISSING'").count() == 0
+
+
+def test_raw_texts_to_exports(spark):
+    """Parse both sides, find the gaps, work answers in and export: every step takes the one before."""
+    model = '{"base_info": {"name": "李雷"}, "skill_certificate": {"software_skill": ["Python"], "ai_tool_mastered": ["Kafka"]}, ' \
+            '"work_experience_list": [{"company": "Acme", "position": "dev", "job_duty": "used redis"}]}'
+    resumes = jobs.parse_resumes(
+        spark.createDataFrame([(1, "姓名：李雷\n电话 13800138000\n杭州"), (2, "nothing")], "doc_id bigint, text string"),
+        spark.createDataFrame([(1, model)], "doc_id bigint, content string"))
+    postings = jobs.parse_postings(
+        spark.createDataFrame([(10, "高级工程师 深圳 15k-25k Docker Redis")], "doc_id bigint, text string"))
+    pairs = spark.createDataFrame([(10, 1), (10, 2)], "jd_id bigint, resume_id bigint")
+    asked = jobs.gap_questions(pairs, postings, resumes)
+    assert asked.filter("category = 'skill_gap' AND keyword = 'Docker' AND resume_id = 1").count() == 1
+    answers = asked.withColumn("answer", F.lit("I used it for three years in production"))
+    exports = jobs.tailored_exports(pairs, postings, resumes, answers)
+    assert exports.count() == 10 and exports.filter("self_intro IS NULL OR jd_analysis IS NULL").count() == 0
+    assert exports.filter("resume_id = 1").filter(F.col("content").cast("string").contains("Docker")).count() > 0

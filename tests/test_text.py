@@ -54,12 +54,26 @@ def test_format_sections(value):
     assert value(T.format_sections, "Skills\nPython\nPython") == (
         f"\n{rule}\n【专业技能 / Skills】\n{rule}\n[0] Skills\n[1] Python\n[1] Python")
     assert value(lambda c: T.format_sections(c, "en"), "Skills\nGo").count("【Skills】") == 1
+    # without a heading the text is numbered as it is
+    assert value(T.format_sections, " one\n\n two ") == "[0] one\n[1] \n[2]  two"
+    assert value(T.format_sections, "") == "[0] " and value(T.format_sections, None) is None
 
 
 def test_line_of(spark):
     df = spark.createDataFrame([("b",), ("cc",), ("zz",), ("  ",), (" a b ",)], "n string")
     lines = F.array(*map(F.lit, ["a b", "xcc", " b ", "cc"]))
-    assert [r[0] for r in df.select(T.line_of(lines, F.col("n"))).collect()] == [2, 3, -1, -1, 0]
+    bare = F.transform(lines, T.trimmed)
+    assert [r[0] for r in df.select(T.line_of(lines, bare, F.col("n"))).collect()] == [2, 3, -1, -1, 0]
+
+
+def test_locate_lines_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b\nxcc\n b \ncc"), (2, "q")], "d int, text string")
+    needles = spark.createDataFrame([(1, k, n) for k, n in enumerate(["b", "cc", "zz", "  ", " a b ", "b"])] + [(2, 9, "q")], "d int, k int, needle string")
+    for most in (10_000, 2):
+        monkeypatch.setattr(documents, "NEEDLES_PER_TASK", most)
+        rows = documents.locate_lines(needles, docs, "d")
+        assert rows.columns == ["d", "k", "needle", "line_no"]
+        assert sorted((r.k, r.line_no) for r in rows.collect()) == [(0, 2), (1, 3), (2, -1), (3, -1), (4, 0), (5, 2), (9, 0)]
 
 
 def test_gap_clusters(spark):

@@ -152,10 +152,10 @@ def date_ranges(text: Column) -> Column:
     return regex_all(text, "(?iu)" + _unicode(pattern))
 
 
-def resume_skills(text: Column, limit: int = fixed.RESUME_SKILL_LIMIT) -> Column:
-    """Distinct spellings, sorted, the first ``limit`` of them."""
-    found = regex_all(text, "(?iu)" + "|".join(fixed.RESUME_SKILL_WORDS))
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, limit)
+def resume_skills(text: Column, limit: int | None = None) -> Column:
+    """Distinct spellings, sorted; only the first ``limit`` of them if that is given."""
+    found = F.array_sort(F.array_distinct(regex_all(text, "(?iu)" + "|".join(fixed.RESUME_SKILL_WORDS))))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def year_of(value: Column) -> Column:

@@ -217,11 +217,16 @@ def answered_skill(keyword: Column) -> Column:
     )
 
 
-def enriched_resume(answers: Column, info: Column, skills: Column, work: Column, projects: Column) -> dict[str, Column]:
+def enriched_resume(answers: Column, info: Column, skills: Column, work: Column, projects: Column,
+                    cuts: dict[str, int] | None = None) -> dict[str, Column]:
     """A résumé with the answers of one pair worked in.
 
-    ``answers`` is ``array<struct<category, keyword, answer>>`` in question order.
+    ``answers`` is ``array<struct<category, keyword, answer>>`` in question order.  Answers are taken whole;
+    ``cuts`` (such as ``fixed.ENRICH_CUTS``) shortens them where a prompt has to be sized.
     """
+    def cut(text, part):
+        return text if not cuts or part not in cuts else F.substring(text, 1, cuts[part])
+
     clean = F.filter(
         F.transform(answers, lambda a: F.struct(
             a["category"], or_empty(a["keyword"]).alias("keyword"), trimmed(or_empty(a["answer"])).alias("answer"))),
@@ -240,9 +245,9 @@ def enriched_resume(answers: Column, info: Column, skills: Column, work: Column,
     def project(a):
         line = F.get(F.filter(F.split(a["answer"], "\n"), lambda x: trimmed(x) != ""), 0)
         name = F.coalesce(
-            F.substring(F.btrim(line, F.lit(fixed.ENRICH_BULLET_CHARS)), 1, 60), F.lit(fixed.ENRICH_PROJECT_NAME))
+            cut(F.btrim(line, F.lit(fixed.ENRICH_BULLET_CHARS)), "title"), F.lit(fixed.ENRICH_PROJECT_NAME))
         return F.struct(
-            name.alias("name"), F.substring(a["answer"], 1, 500).alias("description"),
+            name.alias("name"), cut(a["answer"], "project").alias("description"),
             F.lit("").alias("results"), F.array().cast("array<int>").alias("source_index"),
         )
 
@@ -252,20 +257,20 @@ def enriched_resume(answers: Column, info: Column, skills: Column, work: Column,
         return F.transform(jobs, lambda job, i: F.when(
             i < F.size(quant),
             job.withField("duties", F.concat(
-                or_empty(job["duties"]), F.lit(fixed.ENRICH_QUANT_JOINER), F.substring(F.get(quant, i), 1, 200))),
+                or_empty(job["duties"]), F.lit(fixed.ENRICH_QUANT_JOINER), cut(F.get(quant, i), "quant"))),
         ).otherwise(job))
 
     def extra_job(a):
         return F.struct(
             F.lit(fixed.ENRICH_COMPANY).alias("company"), F.lit("").alias("position"),
             F.lit("").alias("start_date"), F.lit("").alias("end_date"),
-            F.substring(a["answer"], 1, 300).alias("duties"),
+            cut(a["answer"], "job").alias("duties"),
             F.array().cast("array<string>").alias("achievements"),
             F.array().cast("array<int>").alias("source_index"),
         )
 
     target = F.get(F.transform(of("job_target"), lambda a: F.when(
-        a["keyword"] != "", a["keyword"]).otherwise(F.substring(a["answer"], 1, 60))), 0)
+        a["keyword"] != "", a["keyword"]).otherwise(cut(a["answer"], "title"))), 0)
     return {
         "basic_info": info.withField("target_job", F.coalesce(unempty(info["target_job"]), target, info["target_job"])),
         "skills": F.concat(skills, new_skills),

@@ -69,7 +69,7 @@ def merged_resume(raw: Column, hard: Column) -> list[Column]:
         return _renamed(
             items,
             "struct<name:string" + "".join(f",{k}:string" for k in fixed_fields) + ">",
-            lambda x: F.struct(x.alias("name"), *[F.lit(v).alias(k) for k, v in fixed_fields.items()]),
+            lambda x: F.struct(x.alias("name"), *[F.lit(v).cast("string").alias(k) for k, v in fixed_fields.items()]),
         )
 
     return [
@@ -109,8 +109,8 @@ def merged_resume(raw: Column, hard: Column) -> list[Column]:
             ),
         ).alias("projects"),
         F.concat(
-            named(skills["software_skill"], category=fixed.SKILL_CATEGORY_TOOL),
-            named(skills["ai_tool_mastered"], category=fixed.SKILL_CATEGORY_AI),
+            named(skills["software_skill"], category=fixed.SKILL_CATEGORY_TOOL, source=None),
+            named(skills["ai_tool_mastered"], category=fixed.SKILL_CATEGORY_AI, source=None),
         ).alias("skills"),
         named(skills["other_cert"]).alias("certificates"),
         named(skills["language_cert"]).alias("languages"),
@@ -202,14 +202,25 @@ def technical_skills(skills: Column) -> Column:
 
 
 def fill_arguments(template: Column, arguments: Column) -> Column:
-    """Replace ``{name}`` marks from a map; keep the template when an argument is missing."""
-    filled = F.aggregate(
-        F.map_entries(arguments), template,
-        lambda text, entry: F.replace(text, F.concat(F.lit("{"), entry["key"], F.lit("}")), entry["value"]),
-    )
-    needed = F.regexp_extract_all(template, F.lit(r"\{([^{}]*)\}"), F.lit(1))
-    complete = F.forall(needed, lambda name: F.array_contains(F.map_keys(arguments), name))
-    return F.when(F.coalesce(complete, F.lit(False)), filled).otherwise(template)
+    """Replace ``{name}`` marks from a map; keep the template when an argument is missing.
+
+    The template is taken apart once, so braces inside values stay as they are.  Doubled braces stand for
+    single ones, and a null value for the word None.  A template with a stray brace is kept, too.
+    """
+    parts = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0))
+
+    def filled(part):
+        name = F.substring(part, F.lit(2), F.length(part) - 2)
+        value = F.coalesce(F.element_at(arguments, name), F.lit("None"))
+        return F.when(part.isin("{{", "}}"), F.substring(part, 1, 1)).when(part.startswith("{"), value).otherwise(part)
+
+    def usable(part):
+        name = F.substring(part, F.lit(2), F.length(part) - 2)
+        is_mark = part.startswith("{") & part.endswith("}")
+        return F.when(is_mark, F.map_contains_key(arguments, name)).otherwise(~part.isin("{", "}"))
+
+    whole = bind(parts, lambda p: F.when(F.forall(p, usable), F.array_join(F.transform(p, filled), "")).otherwise(template))
+    return F.when(template.isNotNull() & arguments.isNotNull(), whole).otherwise(template)
 
 
 def job_text(job: Column) -> Column:

@@ -163,7 +163,10 @@ def section_label(key: Column, lang: str = "zh") -> Column:
 
 
 def format_sections(text: Column, lang: str = "zh", merge_header: bool = True) -> Column:
-    """Titled sections with source line numbers; a line points at its first equal line."""
+    """Titled sections with source line numbers; a line points at its first equal line.
+
+    A text without headings is numbered line by line instead.
+    """
     rule = fixed.RULE_CHAR * fixed.RULE_WIDTH
 
     def block(key, lines, source):
@@ -182,18 +185,22 @@ def format_sections(text: Column, lang: str = "zh", merge_header: bool = True) -
             "\n",
         )
 
+    def titled(sections, source):
+        headed = F.exists(F.map_keys(sections), lambda key: key != "header")
+        return F.when(headed, body(sections, source)).otherwise(numbered_lines(trimmed(text)))
+
     return bind(
         F.transform(line_array(trimmed(text)), trimmed),
         lambda source: bind(
-            section_map(section_runs(text, merge_header)), lambda sections: body(sections, source)
+            section_map(section_runs(text, merge_header)), lambda sections: titled(sections, source)
         ),
     )
 
 
-def line_of(source_lines: Column, needle: Column) -> Column:
-    """Number of the first trimmed line equal to the needle, else first holding it, else -1."""
+def line_of(source_lines: Column, trimmed_lines: Column, needle: Column) -> Column:
+    """Number of the first trimmed line equal to the needle, else first line holding it, else -1."""
     def search(needle):
-        equal = F.array_position(F.transform(source_lines, trimmed), needle)
+        equal = F.array_position(trimmed_lines, needle)
         holds = F.array_position(F.transform(source_lines, lambda x: F.contains(x, needle)), F.lit(True))
         at = F.coalesce(F.nullif(equal, F.lit(0)), F.nullif(holds, F.lit(0)), F.lit(0)) - 1
         return F.when(needle == "", F.lit(-1)).otherwise(at).cast("int")

@@ -69,15 +69,14 @@ def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh") -> Dat
 def opening_lines(sessions: DataFrame, openings: DataFrame) -> DataFrame:
     """Opening by persona and language; unknown persona or language falls back to the defaults.
 
-    The fall-back text rides along on every row of the small table, so two equi-joins suffice.
+    The fall-back text is one row and rides along on the table of openings, so two equi-joins suffice.
     """
     is_default = (F.col("persona") == fixed.DEFAULT_PERSONA) & (F.col("lang") == fixed.DEFAULT_LANG)
-    whole = Window.partitionBy(F.lit(1))
+    default = openings.agg(F.max(F.when(is_default, F.col("text"))).alias("_default"))  # one row
     known = (
-        openings.withColumn("_default", F.max(F.when(is_default, F.col("text"))).over(whole))
-        .groupBy(F.col("persona").alias("_persona")).agg(
-            F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("_texts"),
-            F.max("_default").alias("_default"))
+        openings.groupBy(F.col("persona").alias("_persona"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "text"))).alias("_texts"))
+        .crossJoin(F.broadcast(default))
     )
     named = known.select("_persona", F.lit(True).alias("_known"))
     used = F.when(F.col("_known"), F.col("persona")).otherwise(fixed.DEFAULT_PERSONA)
@@ -109,13 +108,21 @@ def rolling_context(turns: DataFrame, size: int = fixed.CONTEXT_TURNS) -> DataFr
     )
 
 
-def transcripts(turns: DataFrame) -> DataFrame:
-    """Transcript text per conversation; a very long one comes in numbered parts."""
+def transcript_lines(turns: DataFrame, chars: int | None = None) -> DataFrame:
+    """I7 by turn: the line of each turn, of at most ``chars`` characters of text if that is given.
+
+    No shuffle; the form for conversations of any length.
+    """
     speaker = F.when(F.col("role") == "assistant", fixed.TRANSCRIPT_NAMES["assistant"]).otherwise(
         fixed.TRANSCRIPT_NAMES["other"])
-    line = F.concat(speaker, F.lit(": "), F.substring("text", 1, fixed.TRANSCRIPT_CHARS))
-    lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return turns.groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_BLOCK).alias("part")).agg(
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    return turns.select("conv_id", "turn", F.concat(speaker, F.lit(": "), text).alias("line"))
+
+
+def transcripts(turns: DataFrame, chars: int | None = None) -> DataFrame:
+    """One transcript per conversation, which is one value and so has to fit in a task."""
+    lines = F.array_sort(F.collect_list(F.struct("turn", "line")))
+    return transcript_lines(turns, chars).groupBy("conv_id").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 

@@ -9,6 +9,10 @@ from vitaespark.functions.strings import bind, trimmed, unempty
 from vitaespark.operators import ordered
 
 
+#: Needles of one document that are looked up together.
+NEEDLES_PER_TASK = 10_000
+
+
 def normalize(df: DataFrame, text: str = "text") -> DataFrame:
     """T1 on a column."""
     return df.withColumn(text, T.normalize_text(F.col(text)))
@@ -34,10 +38,23 @@ def explode_sections(df: DataFrame, keys: list[str], text: str = "text", merge_h
 
 def locate_lines(needles: DataFrame, documents: DataFrame, key: str, needle: str = "needle",
                  text: str = "text") -> DataFrame:
-    """Number of the source line for every needle, -1 when there is none."""
-    joined = ordered.salted_join(needles, documents.select(key, F.col(text).alias("_text")), key)
-    at = T.line_of(T.line_array(trimmed(F.col("_text"))), F.col(needle))
-    return joined.withColumn("line_no", at).drop("_text")
+    """Number of the source line for every needle, -1 when there is none.
+
+    The needles of a document (in parts of about ``NEEDLES_PER_TASK``) meet its text once, which is
+    cut into lines once for all of them.
+    """
+    heavy = ordered.heavy_keys(needles, key, NEEDLES_PER_TASK)
+    part = F.coalesce(F.pmod(F.xxhash64(F.col(needle)), F.col("_salts")), F.lit(0))
+    parted = needles.join(heavy, needles[key] == heavy["_key"], "left").withColumn("_part", part)
+    gathered = parted.groupBy(key, "_part").agg(F.collect_list(F.struct(*needles.columns)).alias("_needles"))
+    joined = gathered.join(documents.select(key, F.col(text).alias("_text")), key)
+
+    def located(lines):
+        return F.transform("_needles", lambda n: F.struct(n.alias("n"), T.line_of(lines["raw"], lines["line"], n[needle]).alias("line_no")))
+
+    raw = T.line_array(trimmed(F.col("_text")))
+    lines = bind(raw, lambda x: F.struct(x.alias("raw"), F.transform(x, trimmed).alias("line")))
+    return joined.select(F.explode(bind(lines, located)).alias("x")).select("x.n.*", "x.line_no")
 
 
 def blank_page_warning(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -87,8 +104,9 @@ def words_to_lines(words: DataFrame, keys: list[str], tolerance: float = 5) -> D
         tops = F.transform(boxes, lambda b, i: F.struct(b["top"].alias("top"), i.alias("at")))
         empty = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("starts"))
         starts = F.aggregate(tops, empty, step, lambda state: state["starts"])
-        return bind(starts, lambda at: F.transform(at, lambda start, i: F.array_join(
-            F.slice(boxes["text"], start + 1, F.coalesce(F.get(at, i + 1), F.size(boxes)) - start), " ")))
+        whole = F.struct(starts.alias("at"), boxes["text"].alias("text"))
+        return bind(whole, lambda w: F.transform(w["at"], lambda start, i: F.array_join(
+            F.slice(w["text"], start + 1, F.coalesce(F.get(w["at"], i + 1), F.size(w["text"])) - start), " ")))
 
     return pages.select(*keys, F.posexplode(line_texts(F.col("boxes"))).alias("line_no", "line"))
 

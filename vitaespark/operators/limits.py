@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from vitaespark import fixed
 from vitaespark.operators import ordered
-from vitaespark.operators.metering import micros
+from vitaespark.operators.metering import budget_admission, is_recorded, micros
 
 
 def _replay(df: DataFrame, keys: list[str], new_state, step) -> DataFrame:
@@ -81,14 +81,13 @@ def sliding_limiter(calls: DataFrame, keys: list[str], max_calls: int = fixed.MA
 
 def fixed_window_limiter(calls: DataFrame, keys: list[str], max_calls: int = fixed.MAX_RPM,
                          window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:
-    """A window opens at the first call after the last one ended; only successful calls count.
+    """A window opens at the first call after the last one ended; only successful calls that report usage count.
 
     Stretches in which no window can reach the limit are admitted without a replay.
     """
     window = window_seconds * 1_000_000
-    helper = {"_micros": micros(), "_counts": F.coalesce(F.col("success"), F.lit(False))}
-    recent = ordered.trailing_count(
-        calls.withColumns(helper), keys, "_micros", window, "_recent", F.coalesce(F.col("success"), F.lit(False)))
+    helper = {"_micros": micros(), "_counts": is_recorded()}
+    recent = ordered.trailing_count(calls.withColumns(helper), keys, "_micros", window, "_recent", is_recorded())
     numbered = _stretches(recent, keys, window)
     group = [*keys, "_stretch"]
     full = numbered.groupBy(*group).agg((F.max("_recent") >= max_calls).alias("_tight"))
@@ -105,3 +104,19 @@ def fixed_window_limiter(calls: DataFrame, keys: list[str], max_calls: int = fix
 
     done = _replay(flagged.filter("_tight").drop("_tight"), keys, dict, step)
     return calm.unionByName(done).drop("_micros", "_counts", "_stretch")
+
+
+def call_gate(calls: DataFrame, keys: list[str], configured: list[str], max_calls: int = fixed.MAX_RPM,
+              window_seconds: int = fixed.RATE_WINDOW_SECONDS, limit: float = fixed.HARD_LIMIT_USD) -> DataFrame:
+    """Why each call is refused, or ``OK``: no key for its model, then the rate, then the budget.
+
+    A call without a key takes no place in the window.  The budget is what calls that passed and were
+    recorded have cost; a call that the budget refuses has used its place.
+    """
+    keyed = F.coalesce(F.col("model").isin(configured), F.lit(False))
+    bare = calls.filter(~keyed).withColumn("decision", F.lit(fixed.HARD_ERRORS[0]))
+    rated = sliding_limiter(calls.filter(keyed), keys, max_calls, window_seconds)
+    slow = rated.filter(~F.col("admitted")).drop("admitted").withColumn("decision", F.lit(fixed.HARD_ERRORS[2]))
+    paid = budget_admission(rated.filter("admitted").drop("admitted"), keys, limit)
+    decision = F.when(F.col("admitted"), "OK").otherwise(fixed.BUDGET_ERROR)
+    return bare.unionByName(slow).unionByName(paid.withColumn("decision", decision).drop("admitted", "spent_before"))

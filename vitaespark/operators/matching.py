@@ -57,8 +57,8 @@ def route_answers(answers: DataFrame) -> DataFrame:
         "skill", F.when(F.col("route") == "skills", M.answered_skill(F.col("keyword"))))
 
 
-def enrich(paired: DataFrame, answers: DataFrame) -> DataFrame:
-    """The résumé of each pair with the answers to its questions worked in.
+def enrich(paired: DataFrame, answers: DataFrame, cuts: dict[str, int] | None = None) -> DataFrame:
+    """The résumé of each pair with the answers to its questions worked in, whole unless ``cuts`` are given.
 
     Answers of a pair are few (one per gap) and collected in question order.
     """
@@ -69,7 +69,7 @@ def enrich(paired: DataFrame, answers: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<category:string,keyword:string,answer:string>>")
     joined = paired.join(given, keys, "left").withColumn("_answers", F.coalesce("_answers", none))
     new = M.enriched_resume(*[F.col(c) for c in (
-        "_answers", "basic_info", "skills", "work_experience", "projects")])
+        "_answers", "basic_info", "skills", "work_experience", "projects")], cuts)
     return R.with_features(joined.withColumns(new).drop("_answers"))
 
 

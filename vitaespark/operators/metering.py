@@ -26,6 +26,17 @@ def priced(calls: DataFrame) -> DataFrame:
         "cost", P.call_cost(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens")))
 
 
+def is_recorded() -> Column:
+    """Whether a call counts for usage, cost and latency: it succeeded and reports its tokens."""
+    told = F.col("prompt_tokens").isNotNull() & F.col("completion_tokens").isNotNull()
+    return F.coalesce(F.col("success"), F.lit(False)) & told
+
+
+def recorded(calls: DataFrame) -> DataFrame:
+    """The calls that U5 to U9 and U15 measure; load and limits look at all calls."""
+    return calls.filter(is_recorded())
+
+
 def _usage() -> list[Column]:
     tokens = F.sum("prompt_tokens") + F.sum("completion_tokens")
     return [
@@ -37,7 +48,7 @@ def _usage() -> list[Column]:
 
 def usage_by_model(calls: DataFrame) -> DataFrame:
     """U5."""
-    return calls.groupBy("model").agg(*_usage()).withColumns({
+    return recorded(calls).groupBy("model").agg(*_usage()).withColumns({
         "avg_latency_ms": F.bround(F.col("latency_total") / F.col("calls"), 1),
         "cost_display": P.usd(F.col("cost")),
     })
@@ -45,12 +56,13 @@ def usage_by_model(calls: DataFrame) -> DataFrame:
 
 def usage_with_totals(calls: DataFrame) -> DataFrame:
     """The per-model rows and a total row marked ``ALL``."""
-    rolled = calls.rollup("model").agg(*_usage(), F.grouping("model").alias("_all"))
+    rolled = recorded(calls).rollup("model").agg(*_usage(), F.grouping("model").alias("_all"))
     return rolled.withColumn("model", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("model"))).drop("_all")
 
 
 def latency_stats(calls: DataFrame, keys: list[str], width: float = 10.0) -> DataFrame:
     """Average, extremes, count and the 95 % latency (nearest rank from 20 calls up, else the maximum)."""
+    calls = recorded(calls)
     basic = calls.groupBy(*keys).agg(
         F.bround(F.avg("latency_ms"), 1).alias("avg"), F.min("latency_ms").alias("min"),
         F.max("latency_ms").alias("max"), F.count(F.lit(1)).alias("count"),
@@ -65,10 +77,16 @@ def latency_stats(calls: DataFrame, keys: list[str], width: float = 10.0) -> Dat
 
 def balance_alerts(calls: DataFrame, threshold: float = fixed.ALERT_USD) -> DataFrame:
     """U8: models whose summed cost has reached the threshold."""
-    spent = calls.groupBy("model").agg(F.sum("cost").alias("cost"))
+    spent = recorded(calls).groupBy("model").agg(F.sum("cost").alias("cost"))
     return spent.filter(F.col("cost") >= F.lit(str(threshold)).cast(P.MONEY))
 
 
+def total_alert(calls: DataFrame, threshold: float = fixed.ALERT_USD) -> DataFrame:
+    """U8 over all models: one row with the total cost and whether it is above the threshold."""
+    total = recorded(calls).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("cost"), F.lit(0)).cast(P.MONEY).alias("cost"))
+    return total.withColumn("alert", F.col("cost") > _usd(threshold))
+
+
 def _day_block() -> Column:
     return F.floor(micros() / DAY_MICROS)
 
@@ -79,9 +97,9 @@ def _usd(amount: float) -> Column:
 
 def budget_status(calls: DataFrame, keys: list[str], alert: float = fixed.ALERT_USD,
                   limit: float = fixed.HARD_LIMIT_USD, block: Column | None = None) -> DataFrame:
-    """Cost so far after each call, whether it is below the limit and whether it raises an alert."""
+    """Cost so far after each recorded call, whether it is below the limit and whether it raises an alert."""
     spent = ordered.running_sum(
-        calls, keys, ["ts", "call_id"], F.col("cost"), block if block is not None else _day_block(), "spent")
+        recorded(calls), keys, ["ts", "call_id"], F.col("cost"), block if block is not None else _day_block(), "spent")
     return spent.withColumns({
         "ok": F.col("spent") < _usd(limit), "alert": F.col("spent") >= _usd(min(alert, limit)),
     })
@@ -89,11 +107,18 @@ def budget_status(calls: DataFrame, keys: list[str], alert: float = fixed.ALERT_
 
 def budget_admission(calls: DataFrame, keys: list[str], limit: float = fixed.HARD_LIMIT_USD,
                      block: Column | None = None) -> DataFrame:
-    """A call passes while the cost before it is below the limit; costs are not negative."""
+    """A call passes while what passed before it has cost less than the limit; costs are not negative.
+
+    Only recorded calls cost anything.  Costs never fall, so from the first refused call of a key on all are
+    refused, and the cost stays what it was there.
+    """
+    cost = F.when(is_recorded(), F.col("cost")).otherwise(F.lit(0).cast(P.MONEY))
     before = ordered.running_sum(
-        calls, keys, ["ts", "call_id"], F.col("cost"), block if block is not None else _day_block(),
-        "spent_before", inclusive=False)
-    return before.withColumn("admitted", F.col("spent_before") < _usd(limit))
+        calls, keys, ["ts", "call_id"], cost, block if block is not None else _day_block(),
+        "spent_before", inclusive=False).withColumn("admitted", F.col("spent_before") < _usd(limit))
+    final = before.filter(~F.col("admitted")).groupBy(*keys).agg(F.min("spent_before").alias("_final"))
+    spent = F.when(F.col("admitted"), F.col("spent_before")).otherwise(F.col("_final"))
+    return ordered.join_null_safe(before, final, keys, "left").withColumn("spent_before", spent).drop("_final")
 
 
 def offered_load(calls: DataFrame, keys: list[str], max_calls: int = fixed.MAX_RPM,
@@ -152,20 +177,38 @@ def retry_schedule(failures: DataFrame, tries: Column, base: float = fixed.RETRY
 
 
 def status_report(calls: DataFrame, keys: list[str], max_calls: int = fixed.MAX_RPM,
-                  window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:
-    """Usage, latency, current load and spending per key at its latest call."""
-    usage = calls.groupBy(*keys).agg(*_usage(), F.max(micros()).alias("_now"))
-    recent = (
-        ordered.join_null_safe(calls, usage.select(*keys, "_now"), keys)
-        .filter(micros() > F.col("_now") - window_seconds * 1_000_000)
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("current"))
+                  window_seconds: int = fixed.RATE_WINDOW_SECONDS, configured: list[str] | None = None) -> DataFrame:
+    """Usage, latency, current load, spending, models and default model per key at its latest call.
+
+    Load counts all calls, everything else the recorded ones.  Per key and second the calls are counted
+    first; only the second in which the window begins is looked at call by call.
+    """
+    window, second = window_seconds * 1_000_000, 1_000_000
+    usage = recorded(calls).groupBy(*keys).agg(*_usage())
+    timed = calls.select(*keys, micros().alias("_at"))
+    seconds = timed.groupBy(*keys, F.floor(F.col("_at") / second).alias("_second")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_at").alias("_last"))
+    now = seconds.groupBy(*keys).agg(F.max("_last").alias("_now"))
+    edge = F.floor((F.col("_now") - window) / second)
+    whole = ordered.join_null_safe(seconds, now, keys).groupBy(*keys, "_now").agg(
+        F.coalesce(F.sum(F.when(F.col("_second") > edge, F.col("_n"))), F.lit(0)).alias("_whole"))
+    part = (
+        ordered.join_null_safe(
+            timed.withColumn("_second", F.floor(F.col("_at") / second)), now.withColumn("_second", edge), [*keys, "_second"])
+        .filter(F.col("_at") > F.col("_now") - window).groupBy(*keys).agg(F.count(F.lit(1)).alias("_part"))
     )
+    recent = ordered.join_null_safe(whole, part, keys, "left").select(
+        *keys, (F.col("_whole") + F.coalesce("_part", F.lit(0))).alias("current"))
     latency = latency_stats(calls, keys).select(*keys, "avg", "max", "p95")
-    joined = ordered.join_null_safe(ordered.join_null_safe(usage, recent, keys), latency, keys)
+    joined = ordered.join_null_safe(ordered.join_null_safe(recent, usage, keys, "left"), latency, keys, "left")
+    spent = F.coalesce(F.col("cost"), F.lit(0).cast(P.MONEY))
     return joined.withColumns({
         "remaining": F.greatest(F.lit(0), F.lit(max_calls) - F.col("current")),
-        "total_spent": F.bround("cost", 4),
-    }).drop("_now")
+        "total_spent": F.bround(spent, 4),
+        "budget_ok": spent < _usd(fixed.HARD_LIMIT_USD), "budget_alert": spent >= _usd(fixed.ALERT_USD),
+        "models_available": F.array(*[F.lit(m[0]) for m in fixed.MODELS if configured is None or m[0] in configured]),
+        "default_model": F.lit(fixed.DEFAULT_MODEL),
+    })
 
 
 def catalogue(spark, configured: list[str]) -> DataFrame:

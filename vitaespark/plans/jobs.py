@@ -59,9 +59,6 @@ def interview_report(turns: DataFrame, skip: Column) -> DataFrame:
     return summary.join(dialog.transcripts(turns), "conv_id", "left")
 
 
-def metered_calls(calls: DataFrame, keys: list[str], max_calls: int, limit: float) -> DataFrame:
-    """Every call with its cost, its budget decision and its rate decision."""
-    admitted = metering.budget_admission(metering.priced(calls), keys, limit)
-    rated = limits.sliding_limiter(
-        admitted.withColumnRenamed("admitted", "within_budget"), keys, max_calls)
-    return rated.withColumnRenamed("admitted", "within_rate")
+def metered_calls(calls: DataFrame, keys: list[str], configured: list[str], max_calls: int, limit: float) -> DataFrame:
+    """Every call with its cost and the gate's decision: key, then rate, then budget."""
+    return limits.call_gate(metering.priced(calls), keys, configured, max_calls, limit=limit)

@@ -37,12 +37,3 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all task slots for a scan with fewer splits than that.
-
-    A large table has many more splits than slots and is left as it is, so this never
-    shuffles one; a table in a single small file would otherwise keep one task busy.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * slots) if df.rdd.getNumPartitions() < 2 * slots else df

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vitaespark import fixed
-from vitaespark.operators.metering import micros
+from vitaespark.operators.metering import is_recorded, micros
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -106,7 +106,7 @@ _ADMITTED = "tenant bigint, call_id bigint, admitted boolean, late boolean"
 
 
 def _limited(calls: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    rows = calls.select("tenant", "call_id", "success", micros().alias("micros"))
+    rows = calls.select("tenant", "call_id", is_recorded().alias("success"), micros().alias("micros"))
     return rows.groupBy("tenant").transformWithState(
         statefulProcessor=processor, outputStructType=_ADMITTED, outputMode="append", timeMode="none")
 

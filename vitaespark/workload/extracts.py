@@ -102,8 +102,7 @@ def extract_date_ranges(spark, d):
 
 
 @query("extract_resume_skills", f"""
-    SELECT doc_id, {joined('list_slice(list_sort(list_distinct(' + every('text', _ANY + '|'.join(fixed.RESUME_SKILL_WORDS))
-                           + ')), 1, 20)')} AS found FROM ({RESUMES})""")
+    SELECT doc_id, {joined('list_sort(list_distinct(' + every('text', _ANY + '|'.join(fixed.RESUME_SKILL_WORDS)) + '))')} AS found FROM ({RESUMES})""")
 def extract_resume_skills(spark, d):
     """E17"""
     return derive.resume_texts(spark, d).select("doc_id", F.array_join(X.resume_skills(F.col("text")), "|").alias("found"))

@@ -118,7 +118,8 @@ def match_question_choice(spark, d):
 
 _ANSWER = ("CASE (pos + resume_id) % 5 WHEN 0 THEN 'no' WHEN 1 THEN '  did it ' WHEN 2 THEN "
            "'I led the work on it for years and cut cost by 12%' WHEN 3 THEN NULL ELSE "
-           "'① Big ' || category || ' - ' || chr(10) || 'it was about moving all of it' END")
+           "'① Big ' || category || repeat(' and then some', CASE WHEN resume_id % 3 = 0 THEN 45 ELSE 0 END) || ' - ' || chr(10)"
+           " || 'it was about moving all of it' END")
 
 
 def answers(spark, d):
@@ -162,7 +163,7 @@ _TRIMMED = "trim(coalesce(answer, ''), ' ' || chr(10) || chr(9))"
         concat_ws('|', c.list_skill_1, c.list_skill_2, c.list_skill_3, skill.names) AS skills,
         concat_ws('|', own.names, proj.names) AS projects,
         md5(concat_ws('|', work.duties, extra.duties)) AS duties_md5,
-        CASE WHEN c.target_job <> '' THEN c.target_job ELSE coalesce(substring(target.answer, 1, 60), c.target_job) END AS target_job
+        CASE WHEN c.target_job <> '' THEN c.target_job ELSE coalesce(target.answer, c.target_job) END AS target_job
     FROM apps a JOIN people c USING (resume_id) LEFT JOIN skill USING (jd_id, resume_id) LEFT JOIN proj USING (jd_id, resume_id)
         LEFT JOIN extra USING (jd_id, resume_id) LEFT JOIN work USING (jd_id, resume_id) LEFT JOIN own USING (resume_id)
         LEFT JOIN target USING (jd_id, resume_id)""")
@@ -484,16 +485,20 @@ def record_localise(spark, d):
     return matching.localised(keys, dictionary, "en")
 
 
-_TEMPLATE = ("CASE o_orderstatus WHEN 'F' THEN 'Order {order} for {who}, {who}!' WHEN 'O' THEN 'Open {order} {missing}'"
+_TEMPLATE = ("CASE WHEN o_orderkey % 11 = 0 THEN 'code {{order}} of {order}: {who}' WHEN o_orderkey % 11 = 1 THEN 'stray } {order}'"
+             " WHEN o_orderstatus = 'F' THEN 'Order {order} for {who}, {who}!' WHEN o_orderstatus = 'O' THEN 'Open {order} {missing}'"
              " ELSE 'plain ' || o_orderpriority END")
+_WHO = "CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN '{order}' ELSE 'C' || cast(o_custkey AS string) END"
 
 
 @query("record_fill_arguments", f"""WITH t AS (SELECT o_orderkey, o_custkey, o_orderstatus, {_TEMPLATE} AS template FROM orders)
-    SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN template ELSE replace(replace(template, '{{order}}',
-        cast(o_orderkey AS string)), '{{who}}', 'C' || o_custkey) END AS text FROM t""")
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'code {{order}} of ' || o_orderkey || ': ' || coalesce({_WHO}, 'None')
+        WHEN o_orderkey % 11 = 1 OR o_orderstatus = 'O' THEN template
+        WHEN o_orderstatus = 'F' THEN 'Order ' || o_orderkey || ' for ' || coalesce({_WHO}, 'None') || ', ' || coalesce({_WHO}, 'None') || '!'
+        ELSE template END AS text FROM t""")
 def record_fill_arguments(spark, d):
     """M10"""
     arguments = F.create_map(
-        F.lit("order"), F.col("o_orderkey").cast("string"), F.lit("who"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
+        F.lit("order"), F.col("o_orderkey").cast("string"), F.lit("who"), F.expr(_WHO))
     return derive.load(spark, d, "orders").select(
         "o_orderkey", R.fill_arguments(F.expr(_TEMPLATE), arguments).alias("text"))

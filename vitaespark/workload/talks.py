@@ -138,14 +138,22 @@ def dialog_context(spark, d):
     return dialog.rolling_context(talk).select("conv_id", "turn", F.array_join(lines, "\n").alias("context"))
 
 
+_LINE = "CASE role WHEN 'assistant' THEN 'HR' ELSE '候选人' END || ': ' || "
+
+
 @query("dialog_transcripts", f"""
-    SELECT conv_id, turn // 4096 AS part, string_agg(CASE role WHEN 'assistant' THEN 'HR' ELSE '候选人' END || ': ' || left(text, 300),
-        {NL} ORDER BY turn) AS transcript FROM ({_TALK}) GROUP BY ALL""")
+    SELECT conv_id, string_agg({_LINE} text, {NL} ORDER BY turn) AS transcript FROM ({_TALK}) GROUP BY ALL""")
 def dialog_transcripts(spark, d):
     """I7"""
     return dialog.transcripts(derive.turns(spark, d).filter("role <> 'system'"))
 
 
+@query("dialog_transcript_lines", f"SELECT conv_id, turn, {_LINE} left(text, 300) AS line FROM ({_TALK})")
+def dialog_transcript_lines(spark, d):
+    """I7 line by line, with the length that sizes a prompt"""
+    return dialog.transcript_lines(derive.turns(spark, d).filter("role <> 'system'"), fixed.TRANSCRIPT_CHARS)
+
+
 @query("dialog_summary", f"""WITH RECURSIVE {_PHASES}
     SELECT conv_id, count(*) AS messages, coalesce(any_value(n), 0) AS question_count,
         'opening|background|competency|closing' AS phases,

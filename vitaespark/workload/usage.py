@@ -14,7 +14,8 @@ _PRICE = {
 }
 _COST = (f"cast((cast(prompt_tokens AS decimal(15,0)) * {_PRICE['in']} + cast(completion_tokens AS decimal(15,0))"
          f" * {_PRICE['out']}) * cast(0.001 AS decimal(4,3)) AS decimal(24,9))")
-CALLS = f"calls AS MATERIALIZED (SELECT *, {_COST} AS cost FROM ({derive.as_sql(derive.CALL, 'events')}))"
+CALLS = (f"calls AS MATERIALIZED (SELECT *, {_COST} AS cost FROM ({derive.as_sql(derive.CALL, 'events')})),"
+         " recorded AS MATERIALIZED (SELECT * FROM calls WHERE success AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL)")
 
 
 def priced(spark, d):
@@ -93,7 +94,7 @@ _USAGE = """count(*) AS calls, cast(sum(prompt_tokens) + sum(completion_tokens)
 
 @query("usage_by_model", f"""WITH {CALLS}
     SELECT model, {_USAGE}, round_even(sum(latency_ms) / count(*), 1) AS avg_latency_ms,
-        '$' || cast(cast(sum(cost) AS decimal(24,4)) AS string) AS cost_display FROM calls GROUP BY model""")
+        '$' || cast(cast(sum(cost) AS decimal(24,4)) AS string) AS cost_display FROM recorded GROUP BY model""")
 def usage_by_model(spark, d):
     """U5"""
     return metering.usage_by_model(priced(spark, d)).withColumns({
@@ -101,7 +102,7 @@ def usage_by_model(spark, d):
 
 
 @query("usage_with_totals", f"""WITH {CALLS}
-    SELECT CASE WHEN grouping(model) = 1 THEN 'ALL' ELSE model END AS model, {_USAGE} FROM calls GROUP BY ROLLUP (model)""")
+    SELECT CASE WHEN grouping(model) = 1 THEN 'ALL' ELSE model END AS model, {_USAGE} FROM recorded GROUP BY ROLLUP (model)""")
 def usage_with_totals(spark, d):
     """U6"""
     return metering.usage_with_totals(priced(spark, d)).withColumns({
@@ -109,7 +110,7 @@ def usage_with_totals(spark, d):
 
 
 def _latency_sql(key):
-    return f"""s AS (SELECT {key} AS k, list_sort(list(latency_ms)) AS l FROM calls GROUP BY 1),
+    return f"""s AS (SELECT {key} AS k, list_sort(list(latency_ms)) AS l FROM recorded GROUP BY 1),
     latency AS (SELECT k, round_even(list_avg(l), 1) AS avg, l[1] AS min, l[-1] AS max, len(l)::bigint AS count,
         CASE WHEN len(l) >= 20 THEN l[(len(l) * 95 // 100) + 1] ELSE l[-1] END AS p95 FROM s)"""
 
@@ -127,16 +128,23 @@ def usage_latency_by_tenant(spark, d):
 
 
 @query("usage_balance_alerts", f"""WITH {CALLS}
-    SELECT model, cast(sum(cost) AS double) AS cost FROM calls GROUP BY model HAVING sum(cost) >= 1.0""")
+    SELECT model, cast(sum(cost) AS double) AS cost FROM recorded GROUP BY model HAVING sum(cost) >= 1.0""")
 def usage_balance_alerts(spark, d):
     """U8"""
     return metering.balance_alerts(priced(spark, d)).select("model", _double("cost"))
 
 
+@query("usage_total_alert", f"""WITH {CALLS}
+    SELECT count(*) AS calls, cast(sum(cost) AS double) AS cost, sum(cost) > 1.0 AS alert FROM recorded""")
+def usage_total_alert(spark, d):
+    """U8 over all models"""
+    return metering.total_alert(priced(spark, d)).select("calls", _double("cost"), "alert")
+
+
 _RUNNING = "sum(cost) OVER ({0}ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND {1})"
 
 
-@query("budget_status", f"""WITH {CALLS}, r AS (SELECT call_id, {_RUNNING.format('', 'CURRENT ROW')} AS spent FROM calls)
+@query("budget_status", f"""WITH {CALLS}, r AS (SELECT call_id, {_RUNNING.format('', 'CURRENT ROW')} AS spent FROM recorded)
     SELECT call_id, cast(spent AS double) AS spent, spent < 10.0 AS ok, spent >= 1.0 AS alert FROM r""")
 def budget_status(spark, d):
     """U9, one budget for all calls"""
@@ -144,7 +152,7 @@ def budget_status(spark, d):
 
 
 @query("budget_status_by_tenant", f"""WITH {CALLS},
-    r AS (SELECT call_id, {_RUNNING.format('PARTITION BY tenant ', 'CURRENT ROW')} AS spent FROM calls)
+    r AS (SELECT call_id, {_RUNNING.format('PARTITION BY tenant ', 'CURRENT ROW')} AS spent FROM recorded)
     SELECT call_id, cast(spent AS double) AS spent, spent < 0.2 AS ok, spent >= 0.05 AS alert FROM r""")
 def budget_status_by_tenant(spark, d):
     """U9, one budget per tenant"""
@@ -153,8 +161,11 @@ def budget_status_by_tenant(spark, d):
 
 
 @query("budget_admission", f"""WITH {CALLS},
-    r AS (SELECT call_id, coalesce({_RUNNING.format('PARTITION BY tenant ', '1 PRECEDING')}, 0) AS spent_before FROM calls)
-    SELECT call_id, cast(spent_before AS double) AS spent_before, spent_before < 0.2 AS admitted FROM r""")
+    b AS (SELECT call_id, tenant, ts, CASE WHEN call_id IN (SELECT call_id FROM recorded) THEN cost ELSE 0 END AS cost FROM calls),
+    r AS (SELECT call_id, tenant, coalesce({_RUNNING.format('PARTITION BY tenant ', '1 PRECEDING')}, 0) AS before FROM b),
+    f AS (SELECT tenant, min(before) AS final FROM r WHERE before >= 0.2 GROUP BY tenant)
+    SELECT call_id, cast(least(before, coalesce(final, before)) AS double) AS spent_before, before < 0.2 AS admitted
+    FROM r LEFT JOIN f USING (tenant)""")
 def budget_admission(spark, d):
     """U10"""
     return metering.budget_admission(priced(spark, d), ["tenant"], limit=0.2).select(
@@ -162,7 +173,8 @@ def budget_admission(spark, d):
 
 
 DAY = 86_400
-_ORDERED = """o AS MATERIALIZED (SELECT call_id, tenant, success, epoch_us(ts) AS us,
+_ORDERED = """o AS MATERIALIZED (SELECT call_id, tenant, success AND prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL AS success,
+    epoch_us(ts) AS us,
     row_number() OVER (PARTITION BY tenant ORDER BY ts, call_id) AS n FROM calls)"""
 
 
@@ -193,6 +205,26 @@ def limit_fixed_window(spark, d):
     return limits.fixed_window_limiter(derive.calls(spark, d), ["tenant"], 2, DAY).select("call_id", "tenant", "admitted")
 
 
+@query("call_gate", f"""WITH RECURSIVE {CALLS},
+    o AS MATERIALIZED (SELECT call_id, tenant, ts, cost, epoch_us(ts) AS us, row_number() OVER (PARTITION BY tenant ORDER BY ts, call_id) AS n
+        FROM calls WHERE model IN ('gpt', 'claude', 'doubao')),
+    s(call_id, tenant, n, admitted, kept) AS (
+        SELECT call_id, tenant, n, true, [us] FROM o WHERE n = 1
+        UNION ALL
+        SELECT call_id, tenant, n, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, us) ELSE live END
+        FROM (SELECT o.*, list_filter(s.kept, lambda x: o.us - x < {DAY}000000) AS live FROM s JOIN o
+            ON o.tenant = s.tenant AND o.n = s.n + 1)),
+    p AS (SELECT o.call_id, o.tenant, o.ts, CASE WHEN r.call_id IS NULL THEN 0 ELSE o.cost END AS cost FROM s JOIN o USING (call_id)
+        LEFT JOIN recorded r USING (call_id) WHERE admitted),
+    b AS (SELECT call_id, coalesce({_RUNNING.format('PARTITION BY tenant ', '1 PRECEDING')}, 0) < 0.1 AS ok FROM p)
+    SELECT c.call_id, c.tenant, CASE WHEN s.call_id IS NULL THEN 'API_KEY_MISSING' WHEN NOT s.admitted THEN 'RATE_LIMITED'
+        WHEN NOT b.ok THEN 'BUDGET_EXCEEDED' ELSE 'OK' END AS decision
+    FROM calls c LEFT JOIN s USING (call_id) LEFT JOIN b USING (call_id)""")
+def call_gate(spark, d):
+    """The gate in front of the models: key, rate (two calls a day per tenant), budget."""
+    return limits.call_gate(priced(spark, d), ["tenant"], ["gpt", "claude", "doubao"], 2, DAY, 0.1).select("call_id", "tenant", "decision")
+
+
 @query("limit_offered_load", f"""WITH {CALLS}, u AS (SELECT *, epoch_us(ts) AS us FROM calls),
     c AS (SELECT call_id, count(*) OVER (ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS current FROM u)
     SELECT call_id, current, greatest(0, 30 - current) AS remaining FROM c""")
@@ -222,14 +254,18 @@ def _windows(df):
 
 
 @query("usage_status", f"""WITH {CALLS}, {_latency_sql('tenant')}, u AS (SELECT *, epoch_us(ts) AS us FROM calls),
-    t AS (SELECT tenant, {_USAGE}, max(us) AS now FROM u GROUP BY tenant),
-    r AS (SELECT tenant, count(*) AS current FROM u JOIN t USING (tenant) WHERE u.us > t.now - 86400000000 GROUP BY tenant)
-    SELECT t.tenant, t.calls, tokens, latency.avg, latency.max, p95, current, greatest(0, 3 - current) AS remaining,
-        round_even(cost, 4) AS total_spent FROM t JOIN r USING (tenant) JOIN latency ON latency.k = t.tenant""")
+    t AS (SELECT tenant, {_USAGE}, sum(cost) AS spent FROM recorded GROUP BY tenant), n AS (SELECT tenant, max(us) AS now FROM u GROUP BY tenant),
+    r AS (SELECT tenant, count(*) AS current FROM u JOIN n USING (tenant) WHERE u.us > n.now - 86400000000 GROUP BY tenant)
+    SELECT r.tenant, t.calls, tokens, latency.avg, latency.max, p95, current, greatest(0, 3 - current) AS remaining,
+        round_even(coalesce(cost, 0), 4) AS total_spent, coalesce(spent, 0) < 10 AS budget_ok, coalesce(spent, 0) >= 1 AS budget_alert,
+        'claude|gpt' AS models_available, 'deepseek_lite' AS default_model
+    FROM r LEFT JOIN t USING (tenant) LEFT JOIN latency ON latency.k = r.tenant""")
 def usage_status(spark, d):
     """U15"""
-    report = metering.status_report(priced(spark, d), ["tenant"], 3, 86_400)
-    return report.select("tenant", "calls", "tokens", "avg", "max", "p95", "current", "remaining", _double("total_spent"))
+    report = metering.status_report(priced(spark, d), ["tenant"], 3, 86_400, ["gpt", "claude"])
+    return report.select(
+        "tenant", "calls", "tokens", "avg", "max", "p95", "current", "remaining", _double("total_spent"), "budget_ok", "budget_alert",
+        F.array_join("models_available", "|").alias("models_available"), "default_model")
 
 
 @query("usage_catalogue", f"""WITH {CALLS}, m(name, id, tier, provider, cost_per_1k) AS (VALUES {', '.join(
