@@ -27,31 +27,35 @@ def packed(hashed: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.lit(~PLACE)).bitwiseOR(place)
 
 
+def _occurrence(gram: Column, i: Column) -> Column:
+    """How many equal k-mers stand before place ``i`` of the sorted column ``g``."""
+    count = i - F.array_position("g", gram).cast("int") + 1
+    for k in (3, 2, 1):
+        count = F.when(F.get("g", i - k) != gram, k - 1).when(i < k, k - 1).otherwise(count)
+    return count
+
+
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (keys) with ``fingerprint``: 8 hexadecimal digits for each tuple.
 
     ``texts`` has ``text`` and the keys, which tell rows apart; if it is partitioned by one of the
     keys, nothing is shuffled.  A text without words has no elements, and all such texts are alike.
     """
-    spaced = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    listed = texts.select(*keys, spaced.alias("w"))
+    bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    listed = texts.select(*keys, F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).alias("w"))
     count = F.greatest(F.size("w") - (SIZE - 1), F.least(F.size("w"), F.lit(1)))
     grams = F.transform(F.sequence(F.lit(1), count), lambda i: packed(
         F.xxhash64(*[F.get("w", i + k) for k in range(-1, SIZE - 1)]), i.cast("long")))
-    # sorted inside the row, so the sort that the windows need finds its rows in order
-    some = listed.withColumn("grams", F.when(F.size("w") > 0, F.sort_array(grams)))
-    rows = some.select(*keys, F.explode_outer("grams").alias("x"))
-    in_order = Window.partitionBy(*keys).orderBy("x")
-    gram = F.col("x").bitwiseAND(F.lit(~PLACE))
-    rows = rows.withColumn("nth", F.row_number().over(in_order)).withColumn("same", F.lag(gram).over(in_order) == gram)
-    begun = F.max(F.when(F.coalesce("same", F.lit(False)), None).otherwise(F.col("nth"))).over(
-        in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    element = F.when(F.col("x").isNotNull(), F.xxhash64(gram, F.col("nth") - begun))
-    rows = rows.select(*keys, F.col("x").bitwiseAND(F.lit(PLACE)).alias("place"), element.alias("element"))
-    hashed = [packed(F.xxhash64("element", F.lit(j)), F.col("place")) for j in range(TUPLES)]
-    hashed = [F.when(F.col("element").isNotNull(), h) for h in hashed]
+    ordered = listed.select(*keys, F.when(F.col("w").isNotNull(), F.sort_array(grams)).alias("s"))
+    ordered = ordered.withColumn("g", F.transform("s", lambda x: x.bitwiseAND(F.lit(~PLACE))))
+    # equal k-mers are neighbours now, in text order: the number of those before is the occurrence
+    elements = F.transform("g", lambda g, i: packed(
+        F.xxhash64(g, _occurrence(g, i)), F.get("s", i).bitwiseAND(F.lit(PLACE))))
+    rows = ordered.select(*keys, F.explode_outer(elements).alias("x"))
+    element, place = F.col("x").bitwiseAND(F.lit(~PLACE)), F.col("x").bitwiseAND(F.lit(PLACE))
+    hashed = [F.when(F.col("x").isNotNull(), packed(F.xxhash64(element, F.lit(j)), place)) for j in range(TUPLES)]
     whole = Window.partitionBy(*keys)
-    rows = rows.select(*keys, "place", "element", *[F.min(h).over(whole).alias(f"a{j}") for j, h in enumerate(hashed)])
+    rows = rows.select(*keys, "x", *[F.min(h).over(whole).alias(f"a{j}") for j, h in enumerate(hashed)])
     two = rows.groupBy(*keys).agg(
         *[F.min(f"a{j}").alias(f"a{j}") for j in range(TUPLES)],
         *[F.min(F.when(h > F.col(f"a{j}"), h)).alias(f"b{j}") for j, h in enumerate(hashed)])
