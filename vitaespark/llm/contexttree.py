@@ -24,7 +24,7 @@ from vitaespark.llm.arrays import LOWER, SPACED, small_batches, steps, text_colu
 
 DEPTH = 5
 #: Characters of text in one chunk: what is scored together, with the entries it needs.
-CHUNK_CHARS = 48_000_000
+CHUNK_CHARS = 32_000_000
 END, SPACE = 0x0A, 0x20
 #: The end of a text counts as a token; its key in place of a word's hash.
 END_KEY = 0x5EED
