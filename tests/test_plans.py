@@ -57,3 +57,29 @@ def test_raw_texts_to_exports(spark):
     exports = jobs.tailored_exports(pairs, postings, resumes, answers)
     assert exports.count() == 10 and exports.filter("self_intro IS NULL OR jd_analysis IS NULL").count() == 0
     assert exports.filter("resume_id = 1").filter(F.col("content").cast("string").contains("Docker")).count() > 0
+
+
+def scans(df):
+    """Parquet scans of a plan, those that feed a reused exchange counted once."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("FileScan parquet")
+
+
+def test_pairs_are_planned_once(spark, monkeypatch):
+    from vitaespark.operators import matching, ordered
+
+    applied, postings, people = (f(spark, FOLDER) for f in (derive.applications, derive.postings, derive.resumes))
+    plain = matching.gaps(matching.pair_records(applied, postings, people))
+    assert scans(plain) <= 6
+    rows = sorted(map(str, plain.collect()))
+    # with popular keys the facts get their salt before any exchange
+    monkeypatch.setattr(ordered.heavy_keys, "__defaults__", (20,))
+    salted = matching.gaps(matching.pair_records(applied, postings, people))
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and "hashpartitioning(jd_id#" in plan
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning(jd_id" in line:
+            assert "_salt" in line, line
+    assert sorted(map(str, salted.collect())) == rows
+    crowd = spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN 1 ELSE id END AS jd_id", "id % 150 AS resume_id").distinct()
+    joined = matching.pair_records(crowd, postings, people)
+    assert joined.count() == crowd.join(postings, "jd_id").join(people, "resume_id").count()

@@ -1,12 +1,13 @@
 """Posting and résumé pairs: gaps, questions, answers, tailored résumés."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
 from vitaespark.functions import matching as M
 from vitaespark.functions import records as R
 from vitaespark.operators.ordered import heavy_keys, salted_join
+from vitaespark.session import shared_folder
 
 POSTING_COLUMNS = [
     "jd_id", "position", "company", "years_required", "education_required", "hard_skills", "soft_skills",
@@ -17,8 +18,12 @@ def pair_records(pairs: DataFrame, postings: DataFrame, resumes: DataFrame) -> D
     """Both records beside each (jd_id, resume_id) pair, with the texts that matching reads.
 
     Popular postings and busy candidates are salted.  The small posting joins first; a
-    résumé is shuffled once and never copied per posting across the network.
+    résumé is shuffled once and never copied per posting across the network.  The pairs are written
+    once, so that finding the popular keys and joining do not work them out again.
     """
+    spark, folder = pairs.sparkSession, shared_folder(pairs.sparkSession, "pairs")
+    pairs.write.parquet(folder)
+    pairs = spark.read.schema(pairs.schema).parquet(folder)
     slim = postings.select(*[c for c in POSTING_COLUMNS if c in postings.columns])
     with_posting = salted_join(pairs, slim, "jd_id")
     return salted_join(
@@ -41,13 +46,12 @@ def choose_questions(templates: DataFrame, model_made: DataFrame) -> DataFrame:
     """Per pair the model-made questions when there are at least as many as gaps, else the templates."""
     keys = ["jd_id", "resume_id"]
     columns = [*keys, "pos", "category", "keyword", "question"]
-    wanted = templates.groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"))
-    made = model_made.groupBy(*keys).agg(F.count(F.lit(1)).alias("made"))
-    by_model = wanted.join(made, keys).filter(F.col("made") >= F.col("gaps")).select(*keys)
-    return (
-        model_made.join(by_model, keys, "left_semi").select(*columns, F.lit("model").alias("origin"))
-        .unionByName(templates.join(by_model, keys, "left_anti").select(*columns, F.lit("template").alias("origin")))
-    )
+    both = model_made.select(*columns, F.lit("model").alias("origin")).unionByName(
+        templates.select(*columns, F.lit("template").alias("origin")))
+    pair = Window.partitionBy(*keys)  # the questions of one pair, a few per gap
+    gaps, made = (F.count_if(F.col("origin") == name).over(pair) for name in ("template", "model"))
+    chosen = F.when((gaps > 0) & (made >= gaps), "model").otherwise("template")
+    return both.withColumn("_chosen", chosen).filter(F.col("origin") == F.col("_chosen")).drop("_chosen")
 
 
 def route_answers(answers: DataFrame) -> DataFrame:
@@ -123,9 +127,9 @@ def localised(keys: DataFrame, dictionary: DataFrame, lang: str = "zh", fallback
 
     Entries are unique per key and language; an empty text counts as present.
     """
-    def entries(code, name):
-        return dictionary.filter(F.col("lang") == code).select("key", F.col("text").alias(name))
+    def entry(code, name):
+        return F.max(F.when(F.col("lang") == code, F.col("text"))).alias(name)
 
-    both = entries(fallback, "_fallback").join(entries(lang, "_own"), "key", "full")
+    both = dictionary.groupBy("key").agg(entry(fallback, "_fallback"), entry(lang, "_own"))
     joined = keys.join(both, "key", "left")
     return joined.withColumn("text", F.coalesce("_own", "_fallback", "key")).drop("_own", "_fallback")

@@ -114,6 +114,10 @@ def trailing_count(
     )
 
 
+#: Heavy keys that are broadcast, at most: a few hundred kilobytes.
+MOST_HEAVY = 10_000
+
+
 def heavy_keys(facts: DataFrame, key: str, rows_per_task: int = 1_000_000) -> DataFrame:
     """Keys with more facts than one task should take, with the number of salts to spread them over.
 
@@ -134,8 +138,17 @@ def salted_join(
     Heavy keys are spread over several salts, and their record is copied once per salt; all
     other keys join as usual.  Every row is kept.  ``heavy`` may come from a cheaper frame
     with the same keys than ``facts``; ``by`` names the columns whose hash picks the salt.
+
+    Which keys are heavy is found first, by a job that reads the key column only.  Without any,
+    this is a plain join.  Up to ``MOST_HEAVY`` of them are broadcast, so that facts get their salt
+    before they are shuffled; more of them are joined.
     """
     heavy = heavy_keys(facts, key) if heavy is None else heavy
+    found = heavy.limit(MOST_HEAVY + 1).collect()
+    if not found:
+        return facts.join(records, key, how)
+    if len(found) <= MOST_HEAVY:
+        heavy = F.broadcast(facts.sparkSession.createDataFrame(found, heavy.schema))
     rest = [F.col(c) for c in by or facts.columns if c != key]
     spread = F.pmod(F.xxhash64(*rest), F.col("_salts")) if rest else F.lit(0)
     left = (
