@@ -70,8 +70,12 @@ class Space:
     """Weights and axes of the latent space, and the labelled vectors in it."""
 
     def __init__(self, counts: np.ndarray, good: np.ndarray, priors: tuple[float, float], rank: int = RANK):
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-        weighted = self.weigh(counts)
+        blocks = range(0, len(counts), BLOCK)  # the sample's matrix is weighed in blocks: only one full copy of it
+        having = sum((counts[k:k + BLOCK] > 0).sum(axis=0) for k in blocks)
+        self.idf = np.log((1 + len(counts)) / (1 + having)).astype(np.float32) + 1
+        weighted = np.empty(counts.shape, np.float32)
+        for k in blocks:
+            weighted[k:k + BLOCK] = self.weigh(counts[k:k + BLOCK])
         rng = np.random.default_rng(0)
         rank = min(rank, *weighted.shape)
         basis = rng.standard_normal((weighted.shape[1], rank + 8)).astype(np.float32)
@@ -87,7 +91,7 @@ class Space:
         self.prior = priors[1]
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
+        weighted = np.log1p(counts.astype(np.float32)) * self.idf
         for part in (slice(0, TRIGRAMS), slice(TRIGRAMS, TERMS)):
             weighted[:, part] /= np.maximum(np.linalg.norm(weighted[:, part], axis=1, keepdims=True), 1e-9)
         return weighted
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     rows = texts.mapInArrow(run, "doc_id long, counts binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not rows:
         return None
-    counts = np.frombuffer(b"".join(r.counts for r in rows), "<u2").reshape(len(rows), TERMS).astype(np.float32)
+    counts = np.frombuffer(b"".join(r.counts for r in rows), "<u2").reshape(len(rows), TERMS)
     total = sum(sizes.values())
     return Space(counts, np.array([picked[r.doc_id] for r in rows]), (sizes.get(0, 0) / total, sizes.get(1, 0) / total))
 
