@@ -20,7 +20,7 @@ from vitaespark.llm.arrays import ALNUM, LOWER, small_batches, steps, text_colum
 from vitaespark.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 5_000_000
+SHARD_BYTES = 3_000_000
 #: Bytes of benchmark text that one pass takes: what a broadcast may cost a task.
 BLOCK_BYTES = 16_000_000
 
