@@ -32,45 +32,69 @@ def test_json_round_trip(spark, tmp_path):
     assert files.read_record_files(spark, str(tmp_path / "one.json"), "id int").first().id == 5
 
 
-def write_calls(spark, folder):
-    """Three files in time order, so that the stream takes several batches."""
+DAY = 86_400
+
+
+def make_calls(spark):
     rng, now, rows = random.Random(2), 0, []
     for i in range(240):
         now += rng.choice([0, 1, 5, 20, 90])
-        rows.append((i, rng.randint(0, 2), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=now), rng.random() < 0.8, 10))
-    df = spark.createDataFrame(rows, "call_id bigint, tenant bigint, ts timestamp, success boolean, prompt_tokens bigint")
-    for part in range(3):
-        df.filter((F.col("call_id") >= part * 80) & (F.col("call_id") < part * 80 + 80)).coalesce(1).write.mode(
-            "append").parquet(str(folder))
-    return df
-
-
-def test_streams_equal_batches(spark, tmp_path):
-    calls = write_calls(spark, tmp_path / "calls")
-    stream = lambda: run.stream_table(spark, str(tmp_path / "calls"), max_files=1)
-
-    def decisions(df):
-        return sorted((r.call_id, r.admitted) for r in df.collect())
-
-    sliding = run.run_appending(state.limit_sliding(stream(), 2), "t")
-    assert sliding.filter("late").count() == 0
-    assert decisions(sliding) == decisions(limits.sliding_limiter(calls, ["tenant"], 2))
-    fixed = run.run_appending(state.limit_fixed_window(stream(), 2), "t")
-    assert decisions(fixed) == decisions(limits.fixed_window_limiter(calls, ["tenant"], 2))
-    load = run.run_updating(run.load_stream(stream()), ["window_start", "window_end"], "t")
+        rows.append((i, rng.randint(0, 2), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=now), rng.random() < 0.8, 10, 5))
+    return spark.createDataFrame(
+        rows, "call_id bigint, tenant bigint, ts timestamp, success boolean, prompt_tokens bigint, completion_tokens bigint")
+
+
+def deal(df, folder, parts):
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def decisions(df):
+    return sorted((r.call_id, r.admitted) for r in df.collect())
+
+
+def far():
+    return F.timestamp_seconds(F.lit(250_000_000_000))
+
+
+def test_shuffled_streams_equal_batches(spark, tmp_path):
+    """Five files in no order of time, one per batch: nothing is lost, nothing left undecided."""
+    calls = make_calls(spark)
+    mixed = [F.pmod(F.xxhash64("call_id"), F.lit(5)) == k for k in range(5)]
+    for limiter, batch in ((state.limit_sliding, limits.sliding_limiter), (state.limit_fixed_window, limits.fixed_window_limiter)):
+        folder = tmp_path / limiter.__name__
+        deal(calls, folder, mixed)
+        got = run.run_closed(spark, str(folder), lambda s: limiter(s, 2, delay_seconds=DAY), "tenant", {"ts": far()}, "t", 1)
+        assert got.filter("late OR admitted IS NULL").count() == 0
+        assert decisions(got) == decisions(batch(calls, ["tenant"], 2))
+    deal(calls, tmp_path / "load", mixed)
+    stream = run.stream_table(spark, str(tmp_path / "load"), max_files=1)
+    load = run.run_summing(stream, metering.load_per_window, ["window_start", "window_end"], "t")
     batch = metering.load_per_window(calls)
-    assert sorted(map(tuple, load.collect())) == sorted(map(tuple, batch.select(load.columns).collect()))
+    assert sorted(map(tuple, load.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_rows_come_out_marked(spark, tmp_path):
+    """Files in falling order of time with a short delay: late rows are told, and kept + late = input."""
+    calls = make_calls(spark)
+    deal(calls, tmp_path / "calls", [F.col("call_id").between(80 * k, 80 * k + 79) for k in (2, 1, 0)])
+    got = run.run_closed(
+        spark, str(tmp_path / "calls"), lambda s: state.limit_sliding(s, 2, delay_seconds=60), "tenant", {"ts": far()}, "t", 1)
+    assert got.count() == calls.count() == got.select("call_id").distinct().count()
+    late = got.filter("late")
+    assert 0 < late.count() < calls.count() and late.filter("admitted IS NOT NULL").count() == 0
+    kept = got.filter("not late")
+    assert kept.filter("admitted IS NULL").count() == 0
+    assert decisions(kept) == decisions(limits.sliding_limiter(calls.join(late, "call_id", "left_anti"), ["tenant"], 2))
 
 
 def test_phase_stream(spark, tmp_path):
     rng = random.Random(4)
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", rng.random() < 0.3) for c in range(12) for t in range(20)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, skip boolean")
-    for low in (0, 7, 14):
-        turns.filter((F.col("turn") >= low) & (F.col("turn") < low + 7)).coalesce(1).write.mode("append").parquet(
-            str(tmp_path / "turns"))
-    stream = run.stream_table(spark, str(tmp_path / "turns"), max_files=1)
-    got = run.run_appending(state.track_phases(stream, F.col("skip")), "t")
+    deal(turns, tmp_path / "turns", [F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == k for k in range(5)])
+    got = run.run_closed(
+        spark, str(tmp_path / "turns"), lambda s: state.track_phases(s, F.col("skip")), "conv_id", {"turn": F.lit(10 ** 9)}, "t", 1)
     want = dialog.phases(turns, F.col("skip"))
     pick = lambda df: sorted((r.conv_id, r.turn, r.question_no, r.phase) for r in df.collect())
-    assert pick(got) == pick(want)
+    assert got.filter("late").count() == 0 and pick(got) == pick(want)

@@ -1,6 +1,8 @@
 """Running streams over what is there now, and windowed load on a stream."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaespark.operators.metering import load_per_window
@@ -18,15 +20,21 @@ def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", m
 
 def load_stream(calls: DataFrame, width: str = "1 minute", slide: str | None = None,
                 delay: str = "10 minutes") -> DataFrame:
-    """U14 on a stream; the watermark drops windows from state once they are ``delay`` old."""
+    """U14 as one endless aggregate: windows leave the state ``delay`` after the latest call, with what they have.
+
+    Where no call may be lost, however late, use ``run_summing``.
+    """
     stamped = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return load_per_window(stamped, width, slide)
 
 
-def run_appending(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run over all present input with a file sink in the shared folder and read the result."""
+def run_appending(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+    """Run over all present input with a file sink in the shared folder and read the result.
+
+    With the ``folder`` of an earlier run it goes on where that one stopped.
+    """
     spark = stream.sparkSession
-    folder = shared_folder(spark, purpose)
+    folder = folder or shared_folder(spark, purpose)
     running = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -35,20 +43,36 @@ def run_appending(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
-def run_updating(stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
-    """Run an updating aggregate: each batch is written as a version, the newest per key is the result."""
+def run_closed(spark: SparkSession, source: str, build: Callable[[DataFrame], DataFrame], key: str, closing: dict[str, Column],
+               purpose: str, max_files: int = 100) -> DataFrame:
+    """Run a held-back stream over a folder, then close every key with a heartbeat and run on.
+
+    ``closing`` gives the columns of a heartbeat; all others are null.  The folder belongs to the caller.
+    """
+    folder = shared_folder(spark, purpose)
+    run_appending(build(stream_table(spark, source, max_files=max_files)), purpose, folder)
+    table = spark.read.parquet(source)
+    beats = table.select(key).distinct().select(*[
+        (F.col(key) if f.name == key else closing.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in table.schema])
+    beats.write.mode("append").parquet(source)
+    return run_appending(build(stream_table(spark, source, max_files=max_files)), purpose, folder)
+
+
+def run_summing(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], keys: list[str], purpose: str) -> DataFrame:
+    """Run an additive aggregate batch by batch: each batch's sums are written, and added up when read.
+
+    There is no state and no watermark, so rows count whenever they come.  A batch that is run again
+    overwrites its own sums.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark, purpose)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+        aggregate(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     running = (
-        stream.writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    versions = spark.read.parquet(f"{folder}/out").drop("part")
-    values = [c for c in versions.columns if c not in (*keys, "_batch")]
-    newest = F.max_by(F.struct(*values), F.col("_batch")).alias("v")
-    return versions.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    parts = spark.read.parquet(f"{folder}/out").drop("batch")
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])

@@ -1,8 +1,9 @@
 """Keyed state for streams of calls and turns.
 
-State per key is small and bounded: at most ``max_calls`` times, or one phase record.
-Rows of a micro-batch are taken in order per key.  A row older than what its key has
-already seen cannot be replayed; it is passed on marked ``late`` instead of being lost.
+Rows may come in any order.  Each key holds rows back until it has seen one that lies ``delay`` further on,
+and then decides them in order; what is decided is never changed.  A row that is older than what its
+key has decided is passed on marked ``late``, so every row comes out once.  A row without an id is a
+heartbeat: it moves the time of its key on and does not come out.
 """
 
 from collections.abc import Iterator
@@ -20,109 +21,141 @@ STATE_STORE = {
 }
 
 
-class SlidingLimiter(StatefulProcessor):
-    """U11 on a stream: admitted times of the last window per key."""
+class InOrder(StatefulProcessor):
+    """Hold back, sort, decide: subclasses say what a decision is.
 
-    def __init__(self, max_calls: int, window_micros: int):
-        self.max_calls, self.window = max_calls, window_micros
+    What a key holds in memory is what came within ``delay``, and one micro-batch.
+    """
+
+    #: Fields of a subclass's own state, and their first values.
+    FIELDS, FIRST = "", ()
+
+    def __init__(self, delay: int):
+        self.delay = delay
+
+    def decide(self, own: tuple, at: int, flag: bool) -> tuple[tuple, dict]:
+        """New own state, and the decided columns."""
+        raise NotImplementedError
+
+    def row(self, key, at: int, name: int, late: bool, decided: dict) -> Row:
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("limiter", "times array<bigint>, seen bigint")
+        self.place = handle.getValueState("place", f"seen bigint, done bigint, {self.FIELDS}")
+        self.held = handle.getListState("held", "at bigint, name bigint, flag boolean")
+
+    def load(self) -> tuple:
+        return tuple(self.place.get()) if self.place.exists() else (None, None, *self.FIRST)
+
+    def settle(self, key, rows: list, own: tuple) -> Iterator[Row]:
+        for at, name, flag in sorted(rows):
+            own, decided = self.decide(own, at, flag)
+            yield self.row(key, at, name, False, decided)
+        self.own = own
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        times, seen = (list(self.state.get()[0]), self.state.get()[1]) if self.state.exists() else ([], None)
-        for row in sorted(rows, key=lambda r: (r.micros, r.call_id)):
-            late = seen is not None and row.micros < seen
-            admitted = None
-            if not late:
-                seen = row.micros
-                times = [t for t in times if seen - t < self.window]
-                admitted = len(times) < self.max_calls
-                if admitted:
-                    times.append(seen)
-            yield Row(tenant=key[0], call_id=row.call_id, admitted=admitted, late=late)
-        self.state.update((times, seen))
+        seen, done, *own = self.load()
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        for r in rows:
+            seen = r.at if seen is None else max(seen, r.at)
+            if r.name is None:
+                continue
+            if done is not None and r.at < done:
+                yield self.row(key, r.at, r.name, True, {})
+            else:
+                held.append((r.at, r.name, bool(r.flag)))
+        until = seen - self.delay
+        done = until if done is None else max(done, until)
+        yield from self.settle(key, [h for h in held if h[0] < done], tuple(own))
+        rest = [h for h in held if h[0] >= done]
+        self.held.put(rest) if rest else self.held.clear()
+        self.place.update((seen, done, *self.own))
 
     def close(self) -> None:
         pass
 
 
-class FixedWindowLimiter(StatefulProcessor):
-    """U12 on a stream: end and use of the open window per key."""
+class SlidingLimiter(InOrder):
+    """U11 on a stream: admitted times of the last window per key."""
+
+    FIELDS, FIRST = "times array<bigint>", ([],)
 
-    def __init__(self, max_calls: int, window_micros: int):
+    def __init__(self, max_calls: int, window_micros: int, delay: int):
+        super().__init__(delay)
         self.max_calls, self.window = max_calls, window_micros
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "until bigint, used int, seen bigint")
+    def decide(self, own, at, flag):
+        times = [t for t in own[0] if at - t < self.window]
+        admitted = len(times) < self.max_calls
+        return (times + [at] * admitted,), {"admitted": admitted}
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        until, used, seen = tuple(self.state.get()) if self.state.exists() else (None, 0, None)
-        for row in sorted(rows, key=lambda r: (r.micros, r.call_id)):
-            late = seen is not None and row.micros < seen
-            admitted = None
-            if not late:
-                seen = row.micros
-                if until is None or seen >= until:
-                    until, used = seen + self.window, 0
-                admitted = used < self.max_calls
-                used += int(admitted and bool(row.success))
-            yield Row(tenant=key[0], call_id=row.call_id, admitted=admitted, late=late)
-        self.state.update((until, used, seen))
+    def row(self, key, at, name, late, decided):
+        return Row(tenant=key[0], call_id=name, admitted=decided.get("admitted"), late=late)
 
-    def close(self) -> None:
-        pass
 
+class FixedWindowLimiter(SlidingLimiter):
+    """U12 on a stream: end and use of the open window per key."""
 
-class PhaseTracker(StatefulProcessor):
-    """I2 on a stream: phase, round and question number per conversation."""
+    FIELDS, FIRST = "until bigint, used int", (None, 0)
 
-    LIMITS = [limit for _, limit in fixed.PHASES]
+    def decide(self, own, at, flag):
+        until, used = own
+        if until is None or at >= until:
+            until, used = at + self.window, 0
+        admitted = used < self.max_calls
+        return (until, used + int(admitted and flag)), {"admitted": admitted}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("phase", "phase int, rounds int, asked int, seen bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+class PhaseTracker(InOrder):
+    """I2 on a stream: phase, round and question number per conversation; the order is that of turns."""
+
+    LIMITS = [limit for _, limit in fixed.PHASES]
+    FIELDS, FIRST = "phase int, rounds int, asked int", (0, 0, 0)
+
+    def decide(self, own, at, flag):
         last = len(self.LIMITS) - 1
-        phase, rounds, asked, seen = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, None)
-        for row in sorted(rows, key=lambda r: r.turn):
-            if seen is not None and row.turn <= seen:  # a repeat, or a turn that came too late
-                yield Row(conv_id=key[0], turn=row.turn, question_no=None, phase=None, late=True)
-                continue
-            seen = row.turn
-            if row.skip and asked > 0 and phase < last:
-                phase, rounds = phase + 1, 0
-            if rounds >= self.LIMITS[phase] and phase < last:
-                phase, rounds = phase + 1, 0
-            yield Row(conv_id=key[0], turn=row.turn, question_no=asked, phase=phase, late=False)
-            rounds, asked = rounds + 1, asked + 1
-        self.state.update((phase, rounds, asked, seen))
+        phase, rounds, asked = own
+        if flag and asked > 0 and phase < last:
+            phase, rounds = phase + 1, 0
+        if rounds >= self.LIMITS[phase] and phase < last:
+            phase, rounds = phase + 1, 0
+        return (phase, rounds + 1, asked + 1), {"question_no": asked, "phase": phase}
 
-    def close(self) -> None:
-        pass
+    def row(self, key, at, name, late, decided):
+        return Row(conv_id=key[0], turn=name, question_no=decided.get("question_no"), phase=decided.get("phase"), late=late)
 
 
 _ADMITTED = "tenant bigint, call_id bigint, admitted boolean, late boolean"
 
 
-def _limited(calls: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    rows = calls.select("tenant", "call_id", is_recorded().alias("success"), micros().alias("micros"))
-    return rows.groupBy("tenant").transformWithState(
-        statefulProcessor=processor, outputStructType=_ADMITTED, outputMode="append", timeMode="none")
+def _in_order(rows: DataFrame, key: str, processor: InOrder, schema: str) -> DataFrame:
+    return rows.groupBy(key).transformWithState(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none")
+
+
+def _calls(calls: DataFrame) -> DataFrame:
+    return calls.select("tenant", micros().alias("at"), F.col("call_id").alias("name"), is_recorded().alias("flag"))
+
 
+def limit_sliding(calls: DataFrame, max_calls: int = fixed.MAX_RPM, window_seconds: int = fixed.RATE_WINDOW_SECONDS,
+                  delay_seconds: int = 600) -> DataFrame:
+    processor = SlidingLimiter(max_calls, window_seconds * 1_000_000, delay_seconds * 1_000_000)
+    return _in_order(_calls(calls), "tenant", processor, _ADMITTED)
 
-def limit_sliding(calls: DataFrame, max_calls: int = fixed.MAX_RPM,
-                  window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:
-    return _limited(calls, SlidingLimiter(max_calls, window_seconds * 1_000_000))
 
+def limit_fixed_window(calls: DataFrame, max_calls: int = fixed.MAX_RPM, window_seconds: int = fixed.RATE_WINDOW_SECONDS,
+                       delay_seconds: int = 600) -> DataFrame:
+    processor = FixedWindowLimiter(max_calls, window_seconds * 1_000_000, delay_seconds * 1_000_000)
+    return _in_order(_calls(calls), "tenant", processor, _ADMITTED)
 
-def limit_fixed_window(calls: DataFrame, max_calls: int = fixed.MAX_RPM,
-                       window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:
-    return _limited(calls, FixedWindowLimiter(max_calls, window_seconds * 1_000_000))
 
+def track_phases(turns: DataFrame, skip, delay_turns: int = 20) -> DataFrame:
+    """I2; a conversation decides a turn once it has seen one ``delay_turns`` further on, or a heartbeat.
 
-def track_phases(turns: DataFrame, skip) -> DataFrame:
-    rows = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.coalesce(skip, F.lit(False)).alias("skip"))
-    return rows.groupBy("conv_id").transformWithState(
-        statefulProcessor=PhaseTracker(), outputStructType="conv_id bigint, turn bigint, question_no int, phase int, late boolean",
-        outputMode="append", timeMode="none")
+    A heartbeat has a null role; its turn is the time that it moves on to.
+    """
+    beat = F.col("role").isNull()
+    rows = turns.filter((F.col("role") == "user") | beat).select(
+        "conv_id", F.col("turn").alias("at"), F.when(~beat, F.col("turn")).alias("name"), F.coalesce(skip, F.lit(False)).alias("flag"))
+    schema = "conv_id bigint, turn bigint, question_no int, phase int, late boolean"
+    return _in_order(rows, "conv_id", PhaseTracker(delay_turns), schema)

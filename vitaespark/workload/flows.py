@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitaespark.functions import dialog as D
 from vitaespark.functions import records as R
-from vitaespark.operators import documents, matching
+from vitaespark.operators import documents, matching, metering
 from vitaespark.session import shared_folder
 from vitaespark.sources import files
 from vitaespark.streaming import run, state
@@ -97,21 +97,38 @@ def sink_export(spark, d):
 
 # --- streams: each must equal its batch form ----------------------------------------------------
 
+#: Files that a stream's table is dealt over, in no order of time.
+FILES = 5
+def far():
+    return F.timestamp_seconds(F.lit(250_000_000_000))
+
+
+def _shuffled(spark, d, table, key):
+    """A given table in several files of the shared folder, rows dealt by a hash: old and new ones come together."""
+    folder = shared_folder(spark, table)
+    df = derive.load(spark, d, table)
+    df.withColumn("_file", F.pmod(F.xxhash64(*key), F.lit(FILES))).repartition(FILES, "_file").drop("_file").write.parquet(folder)
+    return folder
+
+
 def _call_stream(spark, d):
-    return derive.as_frame(run.stream_table(spark, d, "events.parquet"), derive.CALL)
+    return derive.as_frame(run.stream_table(spark, _shuffled(spark, d, "events", ["event_id"]), max_files=1), derive.CALL)
+
+
+def _load(slide=None):
+    return lambda calls: metering.load_per_window(calls, slide=slide)
 
 
 @query("stream_load_tumbling", ORACLES["load_tumbling"])
 def stream_load_tumbling(spark, d):
-    """U14 as a stream"""
-    return _windows(run.run_updating(run.load_stream(_call_stream(spark, d)), ["window_start", "window_end"], "load"))
+    """U14 as a stream of shuffled files"""
+    return _windows(run.run_summing(_call_stream(spark, d), _load(), ["window_start", "window_end"], "load"))
 
 
 @query("stream_load_sliding", ORACLES["load_sliding"])
 def stream_load_sliding(spark, d):
-    """U14 as a stream"""
-    stream = run.load_stream(_call_stream(spark, d), slide="10 seconds")
-    return _windows(run.run_updating(stream, ["window_start", "window_end"], "load"))
+    """U14 as a stream of shuffled files"""
+    return _windows(run.run_summing(_call_stream(spark, d), _load("10 seconds"), ["window_start", "window_end"], "load"))
 
 
 def _with_state_store(spark):
@@ -119,26 +136,32 @@ def _with_state_store(spark):
         spark.conf.set(key, value)
 
 
+def _limited(spark, d, limiter, purpose):
+    """The log spans a month, and its files are shuffled over all of it: rows are held back that long."""
+    _with_state_store(spark)
+    build = lambda rows: limiter(derive.as_frame(rows, derive.CALL), 2, DAY, delay_seconds=400 * DAY)
+    out = run.run_closed(spark, _shuffled(spark, d, "events", ["event_id"]), build, "user_id", {"ts": far()}, purpose, max_files=1)
+    return out.filter("not late").select("call_id", "tenant", "admitted")
+
+
 @query("stream_limit_sliding", ORACLES["limit_sliding"])
 def stream_limit_sliding(spark, d):
-    """U11 as a stream"""
-    _with_state_store(spark)
-    limited = run.run_appending(state.limit_sliding(_call_stream(spark, d), 2, DAY), "sliding")
-    return limited.select("call_id", "tenant", "admitted")
+    """U11 as a stream of shuffled files"""
+    return _limited(spark, d, state.limit_sliding, "sliding")
 
 
 @query("stream_limit_fixed_window", ORACLES["limit_fixed_window"])
 def stream_limit_fixed_window(spark, d):
-    """U12 as a stream"""
-    _with_state_store(spark)
-    limited = run.run_appending(state.limit_fixed_window(_call_stream(spark, d), 2, DAY), "fixed")
-    return limited.select("call_id", "tenant", "admitted")
+    """U12 as a stream of shuffled files"""
+    return _limited(spark, d, state.limit_fixed_window, "fixed")
 
 
 @query("stream_phases", ORACLES["dialog_phases"].replace("SELECT * FROM phased", "SELECT conv_id, turn, question_no, phase FROM phased"))
 def stream_phases(spark, d):
-    """I2 as a stream"""
+    """I2 as a stream of shuffled files"""
     _with_state_store(spark)
-    turns = derive.as_frame(run.stream_table(spark, d, "conversations.parquet"), derive.TURN)
-    phases = run.run_appending(state.track_phases(turns, D.is_skip(F.col("said"), F.col("lang"))), "phases")
-    return phases.select("conv_id", "turn", "question_no", "phase")
+    build = lambda rows: state.track_phases(
+        derive.as_frame(rows, derive.TURN), D.is_skip(F.col("said"), F.col("lang")), delay_turns=1 << 30)
+    folder = _shuffled(spark, d, "conversations", ["conv_id", "turn"])
+    phases = run.run_closed(spark, folder, build, "conv_id", {"turn": F.lit(1 << 40)}, "phases", max_files=1)
+    return phases.filter("not late").select("conv_id", "turn", "question_no", "phase")
