@@ -8,7 +8,7 @@ Lists are merged in two steps, so no list is expanded into all its pairs.  First
 hubs of each of its lists, unless a few bytes of both signatures rule the pair out: agreeing coordinates
 are counted, and links confirmed on the full sets.
 Then lists whose members are already in one component are skipped; in the others, members of
-different components are counted against each other, in blocks.  ``t`` lies 4.75 standard deviations
+different components are counted against each other, in blocks, and by a finer sketch before the sets.  ``t`` lies 4.75 standard deviations
 below the expected count of a pair at the threshold, so fewer than one such pair in 100,000 is missed.
 """
 
@@ -37,12 +37,15 @@ MINI_LEAST = 3
 #: Stands for a missing id while ids are compared.
 NO_ID = -(1 << 62)
 
+#: Coordinates of the finer sketch that members of open lists get.
+FINE = 512
+FINE_FACTORS, FINE_SHIFTS = _splitmix(FINE, 15) | np.uint64(1), _splitmix(FINE, 16)
 FACTORS, SHIFTS = _splitmix(COORDINATES, 5) | np.uint64(1), _splitmix(COORDINATES, 6)
 
 
-def least_matches(percent: int, coordinates: int = COORDINATES) -> int:
+def least_matches(percent: int, coordinates: int = COORDINATES, deviations: float = 4.75) -> int:
     share = percent / 100
-    return max(1, floor(coordinates * share - 4.75 * sqrt(coordinates * share * (1 - share))))
+    return max(1, floor(coordinates * share - deviations * sqrt(coordinates * share * (1 - share))))
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -137,8 +140,8 @@ def filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, np.uint64(1) << np.concatenate([hashed >> np.uint64(58), (hashed >> np.uint64(52)) & np.uint64(63)])
 
 
-def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the documents in pairs (a, b).
+def of_members(docs: DataFrame, ids: DataFrame, size: int, encode, column: str) -> DataFrame:
+    """(id, column): what ``encode`` makes of the shingle sets of the documents named by the ids.
 
     Texts are not shuffled: tasks read them again and skip those that a filter of fixed size rules out.
     With more ids than it can tell apart, more sets are made than needed, which later joins leave out.
@@ -149,7 +152,6 @@ def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
             word, mask = filter_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     rows = ids.mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
     wanted = np.zeros(FILTER_WORDS, np.uint64)
     wanted[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
@@ -161,11 +163,28 @@ def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
             word, mask = filter_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             both = ((bits[word] & mask) != 0).reshape(2, -1).all(axis=0)
             asked = batch.filter(pa.array(both))
-            sets = [(s >> np.uint64(64 - 8 * SHINGLE_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes()
-                    for s in shingle_sets(asked.column(1), size)]
-            yield pa.RecordBatch.from_arrays([asked.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            coded = [encode(s) for s in shingle_sets(asked.column(1), size)]
+            yield pa.RecordBatch.from_arrays([asked.column(0), pa.array(coded, pa.binary())], ["id", column])
+
+    return written(docs.mapInArrow(gather, f"id long, {column} binary"), column)
+
+
+def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the documents in pairs (a, b)."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    return of_members(docs, ids, size, lambda s: (
+        (s >> np.uint64(64 - 8 * SHINGLE_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes()), "shingles")
+
 
-    return written(docs.mapInArrow(gather, "id long, shingles binary"), "sets")
+def sketch(shingles: np.ndarray) -> bytes:
+    """The lowest bytes of ``FINE`` further coordinates: a finer estimate for members that are still apart."""
+    out = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 256):
+            part = shingles[at:at + 256]
+            hashed = (part[None, :] * FINE_FACTORS[:, None] + FINE_SHIFTS[:, None]) >> np.uint64(32)
+            np.minimum(out, hashed.min(axis=1).astype(np.uint32), out=out)
+    return (out & 255).astype(np.uint8).tobytes()
 
 
 def shingles_of(data: bytes) -> np.ndarray:
@@ -264,10 +283,13 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     apart = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     apart = apart.where("low < high").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_ = known.join(apart, "token").join(classes.select("id", F.col("n_shingles"), "signature"), "id")
+    fine = of_members(docs, open_.select("id").distinct(), size, sketch, "fine")
+    open_ = open_.join(fine, "id")
+    fine_least = least_matches(percent, FINE, 4.0)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = open_.withColumn("own", own).withColumn("other", other).select(
-        "token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n_shingles", "signature")
+        "token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n_shingles", "signature", "fine")
     dealt = dealt.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +299,7 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
             token, p, q = (block.column(k)[0].as_py() for k in range(3))
             side, ids, label, n = (block.column(k).to_numpy() for k in range(3, 7))
             keys = tokens_of(block.column(7))
+            finer = np.frombuffer(b"".join(block.column(8).to_pylist()), np.uint8).reshape(-1, FINE)
             first = np.zeros(keys.shape, bool)
             np.put_along_axis(first, prefixes(keys, cells.value, length), True, axis=1)
             found = []
@@ -289,6 +312,7 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
                 # a pair in several common lists belongs to the one of its first common coordinate
                 home = (same & first[rest] & first[i]).argmax(axis=1) == token >> 32
                 rest = rest[home & (same.sum(axis=1) >= least)]
+                rest = rest[(finer[rest] == finer[i]).sum(axis=1) >= fine_least]
                 found += [(min(ids[i], x), max(ids[i], x)) for x in ids[rest]]
             if not found:
                 return None
