@@ -152,7 +152,7 @@ def of_members(docs: DataFrame, ids: DataFrame, size: int, encode, column: str)
             word, mask = filter_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-    rows = ids.mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
+    rows = ids.distinct().mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
     wanted = np.zeros(FILTER_WORDS, np.uint64)
     wanted[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -283,7 +283,7 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     apart = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     apart = apart.where("low < high").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_ = known.join(apart, "token").join(classes.select("id", F.col("n_shingles"), "signature"), "id")
-    fine = of_members(docs, open_.select("id").distinct(), size, sketch, "fine")
+    fine = of_members(docs, open_.select("id"), size, sketch, "fine")
     open_ = open_.join(fine, "id")
     fine_least = least_matches(percent, FINE, 4.0)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
