@@ -35,28 +35,32 @@ def _occurrence(gram: Column, i: Column) -> Column:
     return count
 
 
-def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
+def fingerprints(texts: DataFrame, keys: list[str], carried: list[str] = ()) -> DataFrame:
     """One row per (keys) with ``fingerprint``: 8 hexadecimal digits for each tuple.
 
-    ``texts`` has ``text`` and the keys, which tell rows apart; if it is partitioned by one of the
+    ``texts`` has ``text``, the keys, which tell rows apart, and columns to be carried along (each rides on
+    the first k-mer only, so that rows stay small); if it is partitioned by one of the
     keys, nothing is shuffled.  A text without words has no elements, and all such texts are alike.
     """
     bare = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
-    listed = texts.select(*keys, F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).alias("w"))
+    listed = texts.select(*keys, *carried, F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).alias("w"))
     count = F.greatest(F.size("w") - (SIZE - 1), F.least(F.size("w"), F.lit(1)))
     grams = F.transform(F.sequence(F.lit(1), count), lambda i: packed(
         F.xxhash64(*[F.get("w", i + k) for k in range(-1, SIZE - 1)]), i.cast("long")))
-    ordered = listed.select(*keys, F.when(F.col("w").isNotNull(), F.sort_array(grams)).alias("s"))
+    ordered = listed.select(*keys, *carried, F.when(F.col("w").isNotNull(), F.sort_array(grams)).alias("s"))
     ordered = ordered.withColumn("g", F.transform("s", lambda x: x.bitwiseAND(F.lit(~PLACE))))
     # equal k-mers are neighbours now, in text order: the number of those before is the occurrence
     elements = F.transform("g", lambda g, i: packed(
         F.xxhash64(g, _occurrence(g, i)), F.get("s", i).bitwiseAND(F.lit(PLACE))))
-    rows = ordered.select(*keys, F.explode_outer(elements).alias("x"))
+    rows = ordered.select(*keys, *carried, F.posexplode_outer(elements).alias("nth", "x"))
+    first = F.coalesce("nth", F.lit(0)) == 0
+    rows = rows.select(*keys, "x", *[F.when(first, F.col(c)).alias(c) for c in carried])
     element, place = F.col("x").bitwiseAND(F.lit(~PLACE)), F.col("x").bitwiseAND(F.lit(PLACE))
     hashed = [F.when(F.col("x").isNotNull(), packed(F.xxhash64(element, F.lit(j)), place)) for j in range(TUPLES)]
     whole = Window.partitionBy(*keys)
-    rows = rows.select(*keys, "x", *[F.min(h).over(whole).alias(f"a{j}") for j, h in enumerate(hashed)])
+    rows = rows.select(*keys, "x", *carried, *[F.min(h).over(whole).alias(f"a{j}") for j, h in enumerate(hashed)])
     two = rows.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in carried],
         *[F.min(f"a{j}").alias(f"a{j}") for j in range(TUPLES)],
         *[F.min(F.when(h > F.col(f"a{j}"), h)).alias(f"b{j}") for j, h in enumerate(hashed)])
 
@@ -67,7 +71,7 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
         digest = F.xxhash64(F.when(swapped, y).otherwise(x), F.when(swapped, x).otherwise(y), F.lit(j))
         return F.lower(F.lpad(F.hex(digest.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
 
-    return two.select(*keys, F.concat(*[pair(j) for j in range(TUPLES)]).alias("fingerprint"))
+    return two.select(*keys, *carried, F.concat(*[pair(j) for j in range(TUPLES)]).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,7 +119,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     # both texts of a document go on together; the digest travels as bytes
     both = pairs.withColumn("sha", F.unhex(F.sha2("edited", 256))).select(
         "doc_id", "row", "n_chars", "sha", F.posexplode(F.array("text", "edited")).alias("form", "text"))
-    marked = fingerprints(both, ["doc_id", "row", "form", "n_chars", "sha"])
+    marked = fingerprints(both, ["doc_id", "row", "form"], ["n_chars", "sha"])
     marked = marked.groupBy("doc_id", "row", "n_chars", "sha").agg(
         F.max(F.when(F.col("form") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("form") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
