@@ -55,6 +55,8 @@ def fingerprints(texts: DataFrame, keys: list[str], carried: list[str] = ()) ->
     rows = ordered.select(*keys, *carried, F.posexplode_outer(elements).alias("nth", "x"))
     first = F.coalesce("nth", F.lit(0)) == 0
     rows = rows.select(*keys, "x", *[F.when(first, F.col(c)).alias(c) for c in carried])
+    # sorted while rows are small: the window finds this order and does not sort its wide input
+    rows = rows.sortWithinPartitions(*keys)
     element, place = F.col("x").bitwiseAND(F.lit(~PLACE)), F.col("x").bitwiseAND(F.lit(PLACE))
     hashed = [F.when(F.col("x").isNotNull(), packed(F.xxhash64(element, F.lit(j)), place)) for j in range(TUPLES)]
     whole = Window.partitionBy(*keys)
