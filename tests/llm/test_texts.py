@@ -144,6 +144,37 @@ def test_shared_passages(frame):
         assert "".join((text or "")[a:b] for a, b in own) == (text or "")
 
 
+def test_shared_passages_are_brute_force(frame):
+    """Runs of 50 to 60 words at many places, of short words and of few, and passages of which the first copy has a part."""
+    rng = random.Random(11)
+    docs = [(k, text_of(rng, rng.randrange(1, 90), 10 ** 6)) for k in range(20)]
+    for k in range(150):
+        size, vocabulary = rng.choice([48, 49, 50, 51, 52, 55, 60]), rng.choice([2, 3, 400, 10 ** 6])
+        passage = text_of(rng, size, vocabulary) if k % 3 else " ".join(rng.choice("abc") for _ in range(size))
+        docs += [(100 + 2 * k + i, " \n".join([text_of(rng, rng.randrange(1, 40), 10 ** 6), passage, text_of(rng, rng.randrange(1, 40), 10 ** 6)])) for i in (0, 1)]
+    long = text_of(rng, 80, 10 ** 6).split()
+    docs += [(50 + i, " ".join(long[a:b] + [f"z{i}"] * i)) for i, (a, b) in enumerate([(20, 50), (0, 70), (10, 80)])]
+    docs += [(60 + i, " ".join(["p", "q", "r"] * n)[2 * i:] + f" é{i}") for i, n in enumerate([30, 40, 50])]
+    docs += [(70, f"{docs[0][1]} {docs[1][1]}"), (70, text_of(rng, 60)), (None, docs[3][1]), (None, docs[3][1])]
+    own = {n: [m.span() for m in SPACED.finditer(t)] for n, (_, t) in enumerate(docs)}
+    runs = {}
+    for n, (doc, t) in enumerate(docs):
+        for i in range(len(own[n]) - 49):
+            runs.setdefault(tuple(t[a:b] for a, b in own[n][i:i + 50]), []).append((n, i))
+    covered = {}
+    for places in runs.values():
+        if len({docs[n][0] for n, _ in places}) > 1:
+            for n, i in places:
+                covered.setdefault(n, set()).update(range(i, i + 50))
+    want = set()
+    for n, at in covered.items():
+        for a in sorted(x for x in at if x - 1 not in at):
+            b = next(x for x in range(a, len(own[n]) + 1) if x not in at)
+            want.add((docs[n][0], own[n][a][0], own[n][b - 1][1], b - a))
+    got = [(r.doc_id, r.start, r.end, r.n_words) for r in chunks.repeats(frame(docs)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
+
+
 def brute_components(docs, size, percent):
     sets = {}
     for doc, text in docs:

@@ -1,9 +1,11 @@
 """Passages that several documents share, by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk ends where the hash's high bits are zero, so cuts
-depend on the last 32 bytes only and an insertion moves at most its neighbours.  Chunks are compared
-by digest.  Chunks whose digest occurs in two documents or more are joined to runs, and a run of enough
-words is a repeated passage.  (One equal digest by chance does no harm: a run takes several in a row.)
+A passage is a run of at least ``LEAST_WORDS`` words; white space between words does not count.  Of every
+run of that many words the shingle of about half of them with the least hash is selected, so two equal
+runs select the same one, whatever stands around them; a chunk begins at each selected word.  Selected
+shingles that occur in two documents or more are seeds only: each run that selected a seed is then
+looked up as a whole, word by word, and runs found in two documents or more are joined to passages.
+So the result does not depend on where chunks begin or with which copy a text is compared.
 """
 
 from collections.abc import Iterator
@@ -14,100 +16,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitaespark.llm.arrays import SPACED, _splitmix, small_batches, steps, text_column, utf8, word_hashes, words, written
+from vitaespark.llm.arrays import SPACED, mix, shingle_hashes, small_batches, steps, text_column, utf8, word_hashes, words, written
 
-#: High bits that must be zero at a cut: one cut in 32 bytes on average, after the least size.
-CUT_BITS = 5
-LEAST_BYTES = 16
-MOST_BYTES = 512
-#: A repeated passage: so many words in a row.  Up to two chunks and the hash's reach are lost at the
-#: rims, so this finds passages of 50 words and more.
-LEAST_WORDS = 18
+#: A repeated passage: so many words in a row.
+LEAST_WORDS = 50
 
-GEAR = (_splitmix(256, 77) >> np.uint64(32)).astype(np.uint32)
-CHUNKS = "doc_id long, start int, end int, words int, digest long"
+CHUNKS = "doc_id long, row long, start int, end int, words int, at int, digest long"
+RUNS = "doc_id long, tag long, start int, end int, at int, digest long"
 #: Stands for a missing id while ids are compared.
 NO_ID = -(1 << 62)
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The 32-bit gear hash after every byte: the sum of the last 32 bytes' values, each shifted by its age."""
-    h = GEAR[data]
-    for shift in (1, 2, 4, 8, 16):
-        h[shift:] += h[:-shift] << np.uint32(shift)
-    return h
-
-
-def cuts(apart: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts of texts that lie 32 zero bytes apart, as places in the texts put end to end."""
-    shift = 32 * np.arange(1, len(own))
-    wanted = np.flatnonzero(gear_hashes(apart) >> np.uint32(32 - CUT_BITS) == 0) + 1
-    low, high = np.searchsorted(wanted, own[:-1] + shift, "right"), np.searchsorted(wanted, own[1:] + shift, "right")
-    ends, owners = [], []
-    wanted = wanted.tolist()
-    for k, (at, stop) in enumerate(zip(own[:-1].tolist(), own[1:].tolist())):
-        before, back = len(ends), 32 * (k + 1)
-        for cut in [*(w - back for w in wanted[low[k]:high[k]]), stop]:
-            while cut - at > MOST_BYTES:
-                at += MOST_BYTES
-                ends.append(at)
-            if cut - at >= LEAST_BYTES or cut == stop and cut > at:
-                ends.append(cut)
-                at = cut
-        owners += [k] * (len(ends) - before)
-    return np.array(ends, np.int64), np.array(owners, np.int64)
-
-
-def chunk(docs: DataFrame) -> DataFrame:
-    """All chunks of all documents: place in code points, words that begin there, 64-bit digest."""
+class Words:
+    """Words of some texts end to end, their shingles, and which shingle each run of ``least`` words selects."""
+
+    def __init__(self, data: np.ndarray, own: np.ndarray, least: int):
+        self.begin, self.end, self.first = words(data, own, SPACED)
+        size = (least + 1) // 2
+        self.doc = np.repeat(np.arange(len(own) - 1), np.diff(self.first))
+        n = max(0, len(self.begin) - least + 1)
+        runs = np.flatnonzero(self.doc[:n] == self.doc[least - 1:])
+        self.runs, self.selected = runs, np.zeros(0, np.int64)
+        if not len(runs):
+            return
+        self.shingles = shingle_hashes(word_hashes(data, self.begin, self.end), size)
+        # of equal hashes the first one, so that the choice follows from the run's words alone
+        choice = np.lib.stride_tricks.sliding_window_view(self.shingles, least - size + 1).argmin(1)
+        self.selected = runs + choice[runs]
+
+    def run_hashes(self, runs: np.ndarray, least: int) -> np.ndarray:
+        """A hash of all words of each run, by its first and its last shingle."""
+        with np.errstate(over="ignore"):
+            return mix(self.shingles[runs] * np.uint64(0x9DDFEA08EB382D69) + self.shingles[runs + least - (least + 1) // 2])
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """How many characters begin before each byte."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Id, a hash that stands for the row, text."""
+    id_, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_column()
+    return docs.select(id_.alias("doc_id"), F.xxhash64(id_, text).alias("row"), text.alias("text"))
+
+
+def chunk(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """All chunks of all documents: place in code points, words that begin there, and the selected shingle.
+
+    ``at`` is the number of the shingle's first word, where the chunk begins; the first chunk begins with
+    its text.  Texts of fewer words are one chunk without a shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
                 data, own = raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 if not len(data):
                     continue
-                # the hash must not reach back into the document before: texts are kept 32 zeros apart
-                apart = np.zeros(len(data) + 32 * (b - a), np.uint8)
-                doc_of = np.repeat(np.arange(b - a), np.diff(own))
-                apart[np.arange(len(data)) + 32 * (doc_of + 1)] = data
-                end, owner = cuts(apart, own)
-                begin = np.concatenate([[0], end[:-1]])
-                begin = np.maximum(begin, own[owner])
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                opens = np.zeros(len(data) + 1, np.int64)
-                opens[1 + words(data, own, SPACED)[0]] = 1
-                opens = np.cumsum(opens)
-                zero = chars[own[owner]]
+                found = Words(data, own, least_words)
+                picks = np.unique(found.selected)
+                # a text without runs has a chunk without a shingle
+                bare = np.setdiff1d(np.flatnonzero(np.diff(own)), found.doc[picks])
+                owner = np.concatenate([found.doc[picks], bare])
+                order = np.argsort(owner, kind="stable")
+                owner, pick = owner[order], np.concatenate([picks, np.full(len(bare), -1)])[order]
+                opens = np.concatenate([[True], owner[1:] != owner[:-1]])
+                begin = own[owner]
+                begin[~opens] = found.begin[pick[~opens]]
+                end = np.where(np.concatenate([opens[1:], [True]]), own[owner + 1], np.concatenate([begin[1:], [0]]))
+                chars, zero = code_points(data), own[owner]
+                digest = np.zeros(len(owner), np.uint64)
+                digest[pick >= 0] = found.shingles[pick[pick >= 0]] if len(picks) else 0
+                numbers = [chars[begin] - chars[zero], chars[end] - chars[zero],
+                           np.searchsorted(found.begin, end) - np.searchsorted(found.begin, begin), pick - found.first[owner]]
+                at = pa.array(owner)
+                start, stop, n, place = (x.astype(np.int32) for x in numbers)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a).take(pa.array(owner)),
-                    pa.array((chars[begin] - zero).astype(np.int32)), pa.array((chars[end] - zero).astype(np.int32)),
-                    pa.array((opens[end] - opens[begin]).astype(np.int32)),
-                    pa.array(word_hashes(data, begin, end).view(np.int64))], ["doc_id", "start", "end", "words", "digest"])
+                    *(batch.column(k).slice(a, b - a).take(at) for k in (0, 1)), pa.array(start), pa.array(stop), pa.array(n),
+                    pa.array(place, mask=pick < 0), pa.array(digest.view(np.int64), mask=pick < 0)],
+                    ["doc_id", "row", "start", "end", "words", "at", "digest"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_column().alias("text")).mapInArrow(run, CHUNKS)
+    return keyed(docs).mapInArrow(run, CHUNKS)
+
+
+def seeded_runs(docs: DataFrame, lists: DataFrame, least_words: int) -> DataFrame:
+    """All runs of so many words that selected a seed; lists are (row, tag, places of seeds)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(2))
+            places_of = batch.column(3)
+            for a, b in steps(offsets):
+                data, own = raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+                found = Words(data, own, least_words)
+                if not len(found.runs):
+                    continue
+                mine = places_of.slice(a, b - a)
+                places = mine.flatten().to_numpy(zero_copy_only=False)
+                seed = np.zeros(len(found.begin), bool)
+                seed[places + np.repeat(found.first[:-1], mine.value_lengths().to_numpy(zero_copy_only=False))] = True
+                runs = found.runs[seed[found.selected]]
+                owner, chars = found.doc[runs], code_points(data)
+                zero, at = chars[own[owner]], pa.array(owner)
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(k).slice(a, b - a).take(at) for k in (0, 1)),
+                    pa.array((chars[found.begin[runs]] - zero).astype(np.int32)),
+                    pa.array((chars[found.end[runs + least_words - 1]] - zero).astype(np.int32)),
+                    pa.array((runs - found.first[owner]).astype(np.int32)),
+                    pa.array(found.run_hashes(runs, least_words).view(np.int64))], ["doc_id", "tag", "start", "end", "at", "digest"])
+
+    small_batches(docs.sparkSession)
+    return keyed(docs).join(lists.hint("shuffle_hash"), "row").select("doc_id", "tag", "text", "places").mapInArrow(run, RUNS)
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """Digests of two documents or more, with the smallest id."""
+    ends = found.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return ends.where("first_id < last_id").select("digest", "first_id")
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id) of every repeated passage, in code points.
 
-    ``first_doc_id`` is the smallest id among the documents that share the passage's first chunk; a
-    deduplication keeps the passage there.  Null and empty texts have no chunks.  Rows with one id are
-    one document, repeats inside it do not count; rows without an id are one document, too.  An empty
-    table gives no rows.  Further columns are not read.
+    A passage is a longest run of words of which every one lies in ``least_words`` words in a row that
+    another document has, too.  ``first_doc_id`` is the smallest id among the documents that share the
+    passage's first ``least_words`` words; a deduplication keeps the passage there.  Null and empty texts
+    have no passages.  Rows with one id are one document, repeats inside it do not count; rows without an
+    id are one document, too.  Equal rows give their passages once.  An empty table gives no rows.
+    Further columns are not read.
     """
-    cut = written(chunk(docs), "chunks")
-    shared = cut.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    shared = shared.where("first_id < last_id").select("digest", "first_id")
-    found = cut.join(shared, "digest").select("doc_id", "start", "end", "words", "first_id")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    runs = found.withColumn("opens", F.when(F.lag("end").over(order) >= F.col("start"), 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.min(F.struct("start", "first_id")).alias("first"))
-    return passages.where(F.col("n_words") >= least_words).select(
+    cut = written(chunk(docs, least_words).where("digest is not null").select("doc_id", "row", "at", "digest"), "chunks")
+    lists = cut.join(shared(cut), "digest").groupBy("doc_id", "row").agg(F.collect_set("at").alias("places"))
+    # rows of one id are told apart by their hash; where an id has one row, the hash is left out of the shuffles to come
+    several = cut.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("doc_id", F.lit(True).alias("several"))
+    lists = lists.join(several, "doc_id", "left").select("row", F.when(F.col("several"), F.col("row")).otherwise(0).alias("tag"), "places")
+    runs = written(seeded_runs(docs, lists, least_words), "runs")
+    found = runs.join(shared(runs), "digest")
+    order = Window.partitionBy("doc_id", "tag").orderBy("at")
+    joined = found.withColumn("opens", F.when(F.lag("at").over(order) + least_words >= F.col("at"), 0).otherwise(1))
+    joined = joined.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = joined.groupBy("doc_id", "tag", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("at") - F.min("at") + least_words).alias("n_words"), F.min(F.struct("at", "first_id")).alias("first"))
+    return passages.select(
         F.expr(f"nullif(doc_id, cast({NO_ID} as bigint))").alias("doc_id"), "start", "end", "n_words",
         F.expr(f"nullif(first.first_id, cast({NO_ID} as bigint))").alias("first_doc_id"))
