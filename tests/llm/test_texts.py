@@ -125,6 +125,22 @@ def test_secrets(frame):
     assert secrets.find(frame([]), path, pattern).count() == 0
 
 
+@pytest.mark.parametrize("letters, size, share", [
+    ("abcdefghijklmnopqrstuvwxyz", 20, 0.85), ("abcdefghijklmnopqrstuvwxyz", 32, 0.93), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20, 0.95),
+    ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 16, 0.97), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 40, 0.99),
+    ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 0.97), ("0123456789ABCDEF", 32, 0.9), ("0123456789ABCDEF", 40, 0.9),
+    ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 20, 0.97)])
+def test_random_strings_of_any_kind(letters, size, share):
+    """Strings without digits, short ones and upper-case hexadecimal are found by their ratio, too."""
+    coding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(500)]
+    assert sum(secrets.random_spans(f"key {k} end", coding) == [("random", 4, 4 + size)] for k in keys) >= share * 500
+    for known in ("see a-b-c-d-e-f-g-h-i-j-k-l", "getUserProfileSettings2", "user_profile_settings_page_12", "2024-01-02/2024-03-04/17",
+                  "20240102T101500Z", "ab12" * 10, "550E8400-E29B-41D4-A716-446655440000", "=" * 40, "einpfauaueinchpf", "SCHCHSTSCHUNGAUPF"):
+        assert not secrets.random_spans(known, coding), known
+
+
 def test_shared_passages(frame):
     rng = random.Random(5)
     passage = text_of(rng, 70, 10 ** 6)

@@ -1,9 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that a language tokenizer encodes badly.
 
 Prose costs a byte-pair vocabulary few tokens per character; random strings cost many.  A run of key
-characters that mixes letters and digits and yields fewer than ``least_ratio`` characters per token
-is reported, unless it is a known digest (hexadecimal of a usual digest length), a UUID, a plain
-number, or an identifier (words or counters joined by separators).
+characters that yields fewer than ``least_ratio`` characters per token is reported, unless it is a known
+digest (lower-case hexadecimal of a usual digest length), a UUID, a number or time, or an identifier:
+words and counters joined by separators or told apart by case, each word of a good ratio itself.
 """
 
 import base64
@@ -25,11 +25,16 @@ ASSIGN_LEAST = 6
 #: Order in which kinds that begin at one place are listed.
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
-IDENTIFIER = re.compile(r"(?:[A-Za-z]{2,}[0-9]{0,3}|[0-9]{1,8})(?:[-_/=+]+(?:[A-Za-z]{2,}[0-9]{0,3}|[0-9]{1,8}))*[-_/=+]*")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+#: Upper-case strings of these lengths are keys as often as digests: their ratio decides.
+DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
+NUMBER = re.compile(r"[0-9+/_=-]*|[0-9]{8}T[0-9]{4,6}Z?|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2,6}Z?")
+#: One word as prose writes it.  Clean documents have such words of up to 19 letters under the ratio.
+PROSE, PROSE_MOST = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), 19
+SEPARATORS = re.compile(r"[-_/=+]+")
+COUNTER = re.compile(r"[0-9]{1,8}|[A-Za-z][0-9]{0,3}")
+UNIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 LEAST_RATIO = 2.0
 SPANS = "doc_id long, spans array<struct<kind: string, start: int, end: int>>"
@@ -48,10 +53,28 @@ def vocabulary(path: str, pattern: str):
     return _VOCABULARIES[path]
 
 
-def is_known(text: str) -> bool:
-    """Digests, UUIDs, numbers and word-like identifiers are not secrets of their own."""
+def ratio(text: str, encoding) -> float:
+    """Characters per token."""
+    return len(text) / len(encoding.encode_ordinary(text))
+
+
+def is_name(piece: str, encoding, least_ratio: float) -> bool:
+    """A counter, or words told apart by case and numbers of up to three digits; short bits of case are no words."""
+    if COUNTER.fullmatch(piece):
+        return True
+    units = UNIT.findall(piece)
+    least = 3 if sum(u.isalpha() for u in units) > 1 else 2
+    return all(len(u) >= least and ratio(u, encoding) >= least_ratio if u.isalpha() else len(u) <= 3 for u in units)
+
+
+def is_known(text: str, encoding, least_ratio: float) -> bool:
+    """Digests, UUIDs, numbers, words and identifiers are not secrets of their own."""
     bare = text.strip("=+/_-")
-    return bool(DIGEST.fullmatch(bare) or UUID.fullmatch(bare) or not MIXED.match(bare) or IDENTIFIER.fullmatch(bare))
+    if DIGEST.fullmatch(bare) or UUID.fullmatch(bare) or NUMBER.fullmatch(bare):
+        return True
+    if len(bare) <= PROSE_MOST and PROSE.fullmatch(bare):
+        return True
+    return all(is_name(piece, encoding, least_ratio) for piece in SEPARATORS.split(bare))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -66,7 +89,7 @@ def random_spans(text: str, encoding, least_ratio: float = LEAST_RATIO) -> list[
     """Spans of strings with few characters per token."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if not is_known(m[0]) and len(m[0]) / len(encoding.encode_ordinary(m[0])) < least_ratio:
+        if ratio(m[0], encoding) < least_ratio and not is_known(m[0], encoding, least_ratio):
             out.append(("random", *m.span()))
     return out
 
