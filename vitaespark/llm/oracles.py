@@ -54,3 +54,28 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id id, doc_id other FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
 m AS (SELECT id, min(other) component_id FROM r GROUP BY id)
 SELECT s.doc_id AS doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON m.id = s.doc_id"""
+
+
+def spelling_variants(least_chars: int, least_times: int, every: int, times: int) -> str:
+    """Occurrences with their crc32 worked out byte by byte, and pairs of words by what is left without one letter."""
+    # the checksum's table by its rule: each byte's value shifted eight times, with the polynomial where a one falls out
+    step = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+    fold = "lambda c, b: xor(t[CAST(xor(c & 255, b) AS INT) + 1], c >> 8)"
+    left = "w[1:CAST({0} AS INT)] || w[CAST({0} AS INT) + 2:]"
+    return f"""
+WITH RECURSIVE z AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), {step}, CAST(i AS BIGINT))) t),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' i, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), '{UPPER}', '{UPPER.lower()}') w FROM documents),
+a AS (SELECT i, w, count(*) n FROM o WHERE len(w) >= {least_chars} GROUP BY i, w),
+b AS (SELECT i, w, n, flatten(list_transform(string_split(i || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) y FROM a),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(y, lambda v: CAST(v AS BIGINT)), {fold}, 4294967295)) h FROM b, z),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) n FROM (SELECT CASE WHEN h % {every} = 0 THEN {left.format("(h % len(w))")} ELSE w END w, n FROM h)
+  WHERE len(w) >= {least_chars} GROUP BY w HAVING sum(n) >= {least_times}),
+k AS (SELECT w, i, {left.format("i")} x FROM (SELECT w, unnest(range(0, len(w))) i FROM v)),
+e AS (SELECT p.w a, q.w b FROM k p JOIN k q ON p.i = q.i AND p.x = q.x AND p.w <> q.w
+  UNION SELECT p.w, q.w FROM k p JOIN v q ON p.x = q.w UNION SELECT q.w, p.w FROM k p JOIN v q ON p.x = q.w),
+g AS (SELECT a, count(*) n_near, max(n) most FROM e JOIN v ON v.w = e.b GROUP BY a),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) n_near, CASE WHEN most >= {times} * v.n THEN most END form_n,
+  (SELECT min(e.b) FROM e JOIN v u ON u.w = e.b WHERE e.a = v.w AND u.n = g.most AND g.most >= {times} * v.n) form FROM v LEFT JOIN g ON g.a = v.w),
+r AS (SELECT w, w AS at FROM f UNION SELECT r.w, f.form FROM r JOIN f ON f.w = r.at WHERE f.form IS NOT NULL)
+SELECT f.w AS word, f.form AS form, r.at AS root, f.n AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN r ON r.w = f.w JOIN f l ON l.w = r.at AND l.form IS NULL"""

@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm import chunks, contexttree, decontaminate, nearjoin, neighbours, oracles, orderhash, packing, secrets, urltree, warc
+from vitaespark.llm import chunks, contexttree, decontaminate, nearjoin, neighbours, oracles, orderhash, packing, secrets, spelling, urltree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.decontaminated(decontaminate.WINDOW),
     "op6_warc": oracles.archived(),
     "op8_near_duplicates": oracles.near_duplicates(4, 80),
+    "op12_spelling_variants": oracles.spelling_variants(6, 5, 199, 5),
 }
 
 
@@ -118,3 +119,8 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.repeats(table(spark, folder, "documents"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"), least_chars=6, least_times=5, every=199, times=5)
