@@ -79,3 +79,19 @@ f AS (SELECT v.w, v.n, coalesce(n_near, 0) n_near, CASE WHEN most >= {times} * v
 r AS (SELECT w, w AS at FROM f UNION SELECT r.w, f.form FROM r JOIN f ON f.w = r.at WHERE f.form IS NOT NULL)
 SELECT f.w AS word, f.form AS form, r.at AS root, f.n AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
 FROM f JOIN r ON r.w = f.w JOIN f l ON l.w = r.at AND l.form IS NULL"""
+
+
+def ranked(k: int) -> str:
+    """Every document scored for every item."""
+    terms = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, {terms.format(lowered("text"))} w FROM documents),
+b AS (SELECT row_number() OVER () q, item_id, list_distinct({terms.format(lowered("text"))}) w FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) n_docs, CAST(sum(len(w)) AS BIGINT) n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) tf FROM (SELECT r, unnest(w) t FROM d) GROUP BY r, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) weight FROM p, s GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 10 + (90 * len(w) * n_docs) // n_terms m FROM d, s WHERE len(w) > 0),
+g AS (SELECT q, item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) score
+  FROM (SELECT q, item_id, unnest(w) t FROM b) JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM g
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= {k}"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm import chunks, contexttree, decontaminate, nearjoin, neighbours, oracles, orderhash, packing, secrets, spelling, urltree, warc
+from vitaespark.llm import chunks, contexttree, decontaminate, multiindex, nearjoin, neighbours, oracles, orderhash, packing, ranked, secrets, spelling, urltree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op6_warc": oracles.archived(),
     "op8_near_duplicates": oracles.near_duplicates(4, 80),
     "op12_spelling_variants": oracles.spelling_variants(6, 5, 199, 5),
+    "op13_ranked_search": oracles.ranked(10),
 }
 
 
@@ -124,3 +125,14 @@ def op9_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"), least_chars=6, least_times=5, every=199, times=5)
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.rank(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), k=10)
+
+
+@query
+def op11_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return multiindex.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
