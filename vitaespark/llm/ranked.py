@@ -63,8 +63,9 @@ def posted(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         ids, lengths, at, terms, size, n = [], [], [], [], 0, 0
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for a, b in steps(offsets):
-                for a, b in ((x, min(x + SHARD_DOCS, b)) for x in range(a, b, SHARD_DOCS)):
+            for low, high in steps(offsets):
+                for a in range(low, high, SHARD_DOCS):
+                    b = min(a + SHARD_DOCS, high)
                     if n and (n + b - a > SHARD_DOCS or size > SHARD_BYTES):
                         yield _posted(ids, lengths, at, terms)
                         ids, lengths, at, terms, size, n = [], [], [], [], 0, 0
