@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
+from vitaespark.functions.matching import holds
 from vitaespark.functions.strings import bind, fill_template, first_present, or_empty, trimmed, unempty
 
 LIMITS = [limit for _, limit in fixed.PHASES]
@@ -98,12 +99,12 @@ def background_questions(education: Column, projects: Column, work: Column, lang
     )
 
 
-def competency_questions(hard_skills: Column, names_lower: Column, work: Column, lang: str) -> Column:
+def competency_questions(hard_skills: Column, name_hits: Column, work: Column, lang: str) -> Column:
     """I4: what the competency phase asks: posting skills, then results per employer."""
     text = fixed.INTERVIEW_TEXT[lang]
 
     def skill(s):
-        known = F.exists(names_lower, lambda n: F.contains(n, F.lower(s)))
+        known = F.exists(name_hits, lambda hits: holds(hits, s))
         return F.when(known, fill_template(text["skill_known"], skill=s)).otherwise(
             fill_template(text["skill_unknown"], skill=s))
 

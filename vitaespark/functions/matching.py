@@ -1,8 +1,8 @@
 """Comparison of one posting with one résumé, as column expressions.
 
 The expressions read a row that holds both records (see ``operators.matching.pair_records``).
-Everything about a pair is decided inside its row, so no list of skills is ever joined
-against texts, and a text is shuffled once however many postings it is compared with.
+Everything about a pair is decided inside its row.  What the résumé's texts hold was found before,
+once per résumé: a pair looks its words up in those ``hits`` and reads no text.
 """
 
 from pyspark.sql import Column
@@ -25,18 +25,22 @@ def _gap(category: str, keyword=None, **values: Column) -> Column:
     )
 
 
-def hard_skill_gaps(hard: Column, listed: Column, text: Column) -> Column:
+def holds(hits: Column, word: Column) -> Column:
+    """Whether a text with these hits holds a word, whatever its case; every text holds the empty word."""
+    return F.when(F.lower(word) == "", F.when(hits.isNotNull(), True)).otherwise(F.array_contains(hits, F.lower(word)))
+
+
+def hard_skill_gaps(hard: Column, listed: Column, hits: Column) -> Column:
     """Posting skills absent from the skill list, by whether the text holds them."""
     def gap(skill):
-        return F.when(F.contains(text, F.lower(skill)), _gap("skill_detail", skill)).otherwise(
-            _gap("skill_gap", skill))
+        return F.when(holds(hits, skill), _gap("skill_detail", skill)).otherwise(_gap("skill_gap", skill))
 
     return F.transform(F.filter(hard, lambda s: ~F.array_contains(listed, F.lower(s))), gap)
 
 
-def soft_skill_gaps(soft: Column, text: Column) -> Column:
+def soft_skill_gaps(soft: Column, hits: Column) -> Column:
     """Soft skills the text does not hold; the skill list does not count."""
-    missing = F.filter(soft, lambda s: ~F.contains(text, F.lower(s)))
+    missing = F.filter(soft, lambda s: ~holds(hits, s))
     return F.transform(missing, lambda s: _gap("soft_skill_gap", s))
 
 
@@ -56,10 +60,10 @@ def record_gaps(jobs: Column, projects: Column, measured: Column, years: Column,
 
 def all_gaps() -> Column:
     """Every gap of a pair in report order: hard skills, soft skills, then the record as a whole."""
-    text = F.col("history_text")
+    hits = F.col("history_hits")
     return F.concat(
-        hard_skill_gaps(F.col("hard_skills"), F.col("skill_list_lower"), text),
-        soft_skill_gaps(F.col("soft_skills"), text),
+        hard_skill_gaps(F.col("hard_skills"), F.col("skill_list_lower"), hits),
+        soft_skill_gaps(F.col("soft_skills"), hits),
         record_gaps(F.col("job_count"), F.col("project_count"), F.col("measured"), F.col("years_required"),
                     F.col("basic_info.target_job"), F.col("position")),
     )
@@ -74,24 +78,24 @@ def question_text(category: Column, keyword: Column, detail: Column, lang: str =
     return rules
 
 
-def _in_some_name(skill: Column, names: Column) -> Column:
-    return F.exists(names, lambda n: F.contains(n, F.lower(skill)))
+def _in_some_name(skill: Column, name_hits: Column) -> Column:
+    return F.exists(name_hits, lambda hits: holds(hits, skill))
 
 
-def skills_matched(hard: Column, names_lower: Column) -> Column:
+def skills_matched(hard: Column, name_hits: Column) -> Column:
     """Posting skills that are part of some skill name."""
-    return F.filter(hard, lambda s: _in_some_name(s, names_lower))
+    return F.filter(hard, lambda s: _in_some_name(s, name_hits))
 
 
-def skills_missing(hard: Column, names_lower: Column) -> Column:
+def skills_missing(hard: Column, name_hits: Column) -> Column:
     """R1."""
-    return F.filter(hard, lambda s: ~_in_some_name(s, names_lower))
+    return F.filter(hard, lambda s: ~_in_some_name(s, name_hits))
 
 
-def text_match_report(hard: Column, text: Column, lang: str = "zh") -> Column:
+def text_match_report(hard: Column, hits: Column, lang: str = "zh") -> Column:
     """R2: posting skills found anywhere in the record, or a stand-in when there are none."""
-    found = F.filter(hard, lambda s: F.contains(text, F.lower(s)))
-    absent = F.filter(hard, lambda s: ~F.contains(text, F.lower(s)))
+    found = F.filter(hard, lambda s: holds(hits, s))
+    absent = F.filter(hard, lambda s: ~holds(hits, s))
 
     def or_note(skills, note):
         return bind(skills, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(note))))
@@ -102,21 +106,26 @@ def text_match_report(hard: Column, text: Column, lang: str = "zh") -> Column:
     )
 
 
-def relevance_scores(texts: Column, keywords: Column) -> Column:
+def relevance_scores(text_hits: Column, keywords: Column) -> Column:
     """Number of keywords found per text; a keyword listed twice counts twice."""
-    def score(text, lowered):
-        return F.size(F.filter(lowered, lambda k: F.contains(text, k)))
-
-    return bind(F.transform(keywords, F.lower), lambda low: F.transform(texts, lambda text: score(text, low)))
+    return F.transform(text_hits, lambda hits: F.size(F.filter(keywords, lambda k: holds(hits, k))))
 
 
-def by_relevance(entries: Column, texts: Column, keywords: Column) -> Column:
+def by_relevance(entries: Column, text_hits: Column, keywords: Column) -> Column:
     """Entries by number of keywords in their text, most first, ties in given order."""
     order = F.array_sort(F.transform(
-        relevance_scores(texts, keywords), lambda score, i: F.struct((-score).alias("rank"), i.alias("pos"))))
+        relevance_scores(text_hits, keywords), lambda score, i: F.struct((-score).alias("rank"), i.alias("pos"))))
     return bind(entries, lambda given: F.transform(order, lambda x: F.get(given, x["pos"])))
 
 
+def relevance_labels(duty_hits: Column, hard: Column) -> Column:
+    """The label of each job by whether its duties hold a posting skill."""
+    def label(hits):
+        return F.when(F.exists(hard, lambda s: holds(hits, s)), fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM)
+
+    return F.transform(duty_hits, label)
+
+
 def preview_jobs(experience: Column, device: str = "desktop") -> Column:
     """The first jobs with their first bullets."""
     return F.transform(

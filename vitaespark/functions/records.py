@@ -166,19 +166,11 @@ def job_sections(work: Column) -> Column:
     )
 
 
-def experience_section(sections: Column, hard_skills: Column, duty_texts: Column) -> Column:
-    """Job sections with a relevance label; ``duty_texts`` are the lower-case duties."""
-
-    def label(skills, at):
-        hit = F.exists(skills, lambda s: F.contains(F.get(duty_texts, at), s))
-        return F.when(hit, fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM)
-
-    def labelled(skills):
-        return F.transform(sections, lambda x, at: F.struct(
-            *[x[name] for name in ("company", "position", "period", "bullets")],
-            label(skills, at).alias("jd_relevance"), x["source_index"]))
-
-    return bind(F.transform(hard_skills, F.lower), labelled)
+def experience_section(sections: Column, labels: Column) -> Column:
+    """Job sections with their relevance labels."""
+    return F.transform(sections, lambda x, at: F.struct(
+        *[x[name] for name in ("company", "position", "period", "bullets")],
+        F.get(labels, at).alias("jd_relevance"), x["source_index"]))
 
 
 def education_section(education: Column) -> Column:
@@ -255,7 +247,8 @@ def record_text() -> Column:
 def with_features(resumes: DataFrame) -> DataFrame:
     """Add what matching reads from a résumé, so that it is computed per résumé and not per pair.
 
-    All texts are in lower case; columns that a query does not use are pruned.
+    All texts are in lower case; columns that a query does not use are pruned.  Which words the texts
+    hold is found by ``operators.matching.with_hits``.
     """
     work, projects = F.col("work_experience"), F.col("projects")
     return resumes.withColumns({

@@ -1,11 +1,14 @@
 """Posting and résumé pairs: gaps, questions, answers, tailored résumés."""
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
 from vitaespark.functions import matching as M
 from vitaespark.functions import records as R
+from vitaespark.operators.multipattern import Patterns, distinct_patterns, hit_table
 from vitaespark.operators.ordered import heavy_keys, salted_join
 from vitaespark.session import shared_folder
 
@@ -14,10 +17,37 @@ POSTING_COLUMNS = [
 ]
 
 
+def with_hits(rows: DataFrame, held: Callable[[Column], Column]) -> DataFrame:
+    """Add which words each text of a résumé holds; ``held`` gives them for an array of texts."""
+    return rows.withColumns({
+        "name_hits": held(F.col("skill_list_lower")), "job_hits": held(F.col("job_texts")),
+        "duty_hits": held(F.col("duty_texts")), "project_hits": held(F.col("project_texts")),
+        "history_hits": F.get(held(F.array("history_text")), 0), "whole_hits": F.get(held(F.array("whole_text")), 0),
+    })
+
+
+def _own_hits(rows: DataFrame) -> DataFrame:
+    """Hits of the words of each row's own posting, for résumés that were changed for it."""
+    words = F.filter(F.array_distinct(F.transform(F.concat("hard_skills", "soft_skills"), F.lower)), lambda w: w != "")
+    return with_hits(R.with_features(rows), lambda texts: F.transform(
+        texts, lambda t: F.when(t.isNotNull(), F.filter(words, lambda w: F.contains(t, w)))))
+
+
+def posting_words(postings: DataFrame) -> Patterns:
+    """All skills that postings ask for, ready to be looked for in texts."""
+    return Patterns(distinct_patterns(postings, *[c for c in ("hard_skills", "soft_skills") if c in postings.columns]))
+
+
+def resume_hits(resumes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(resume_id, word, n): posting skills in each résumé's history, with their numbers of occurrences."""
+    return hit_table(R.with_features(resumes), ["resume_id"], "history_text", posting_words(postings)).withColumnRenamed("pattern", "word")
+
+
 def pair_records(pairs: DataFrame, postings: DataFrame, resumes: DataFrame) -> DataFrame:
-    """Both records beside each (jd_id, resume_id) pair, with the texts that matching reads.
+    """Both records beside each (jd_id, resume_id) pair, with what matching reads.
 
-    Popular postings and busy candidates are salted.  The small posting joins first; a
+    All postings' skills are looked for in a résumé's texts at once, before it is paired; a pair only
+    carries the hits.  Popular postings and busy candidates are salted.  The small posting joins first; a
     résumé is shuffled once and never copied per posting across the network.  The pairs are written
     once, so that finding the popular keys and joining do not work them out again.
     """
@@ -26,8 +56,8 @@ def pair_records(pairs: DataFrame, postings: DataFrame, resumes: DataFrame) -> D
     pairs = spark.read.schema(pairs.schema).parquet(folder)
     slim = postings.select(*[c for c in POSTING_COLUMNS if c in postings.columns])
     with_posting = salted_join(pairs, slim, "jd_id")
-    return salted_join(
-        with_posting, R.with_features(resumes), "resume_id", heavy=heavy_keys(pairs, "resume_id"), by=["jd_id"])
+    read = with_hits(R.with_features(resumes), posting_words(postings).held)
+    return salted_join(with_posting, read, "resume_id", heavy=heavy_keys(pairs, "resume_id"), by=["jd_id"])
 
 
 def gaps(paired: DataFrame) -> DataFrame:
@@ -74,7 +104,7 @@ def enrich(paired: DataFrame, answers: DataFrame, cuts: dict[str, int] | None =
     joined = paired.join(given, keys, "left").withColumn("_answers", F.coalesce("_answers", none))
     new = M.enriched_resume(*[F.col(c) for c in (
         "_answers", "basic_info", "skills", "work_experience", "projects")], cuts)
-    return R.with_features(joined.withColumns(new).drop("_answers"))
+    return _own_hits(joined.withColumns(new).drop("_answers"))
 
 
 def append_direct(paired: DataFrame, additions: DataFrame) -> DataFrame:
@@ -83,25 +113,25 @@ def append_direct(paired: DataFrame, additions: DataFrame) -> DataFrame:
     for name, extra in (("skills", "new_skills"), ("projects", "new_projects")):
         column = F.col(name)
         joined = joined.withColumn(name, F.when(F.col(extra).isNull(), column).otherwise(F.concat(column, extra)))
-    return R.with_features(joined.drop("new_skills", "new_projects"))
+    return _own_hits(joined.drop("new_skills", "new_projects"))
 
 
 def tailor(paired: DataFrame, lang: str = "zh") -> DataFrame:
     """The tailored résumé of each pair: ranked, labelled, summarised and introduced."""
-    hard, names = F.col("hard_skills"), F.col("skill_list_lower")
+    hard, names = F.col("hard_skills"), F.col("name_hits")
     keywords = F.concat(hard, F.col("soft_skills"))
-    sections = R.experience_section(F.col("job_sections"), hard, F.col("duty_texts"))
+    sections = R.experience_section(F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), hard))
     ranked = paired.select(
         "jd_id", "resume_id", "job_count", R.personal_section(F.col("basic_info")).alias("personal"),
-        M.by_relevance(sections, F.col("job_texts"), keywords).alias("experience"),
-        M.by_relevance(F.col("projects"), F.col("project_texts"), keywords).alias("projects"),
+        M.by_relevance(sections, F.col("job_hits"), keywords).alias("experience"),
+        M.by_relevance(F.col("projects"), F.col("project_hits"), keywords).alias("projects"),
         R.education_section(F.col("education")).alias("education"),
         F.struct(
             R.technical_skills(F.col("skills")).alias("technical"), F.col("languages.name").alias("languages"),
             F.col("certificates.name").alias("certificates"),
             M.skills_matched(hard, names).alias("jd_matched"), M.skills_missing(hard, names).alias("jd_missing"),
         ).alias("skills"),
-        M.text_match_report(hard, F.col("whole_text"), lang).alias("jd_gap"),
+        M.text_match_report(hard, F.col("whole_hits"), lang).alias("jd_gap"),
     )
     built = ranked.withColumn("summary", M.summary_line(
         F.col("personal.name"), F.col("job_count"), F.col("skills.jd_matched"), lang))

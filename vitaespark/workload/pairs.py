@@ -208,7 +208,7 @@ matched AS MATERIALIZED (SELECT jd_id, resume_id, coalesce(string_agg(skill, '|'
 @query("match_skills_matched", f"WITH {BASE}, {_MATCHED} SELECT jd_id, resume_id, jd_matched, jd_missing FROM matched")
 def match_skills_matched(spark, d):
     """R1"""
-    names = F.col("skill_list_lower")
+    names = F.col("name_hits")
     return paired(spark, d).select(
         "jd_id", "resume_id", F.array_join(M.skills_matched(F.col("hard_skills"), names), "|").alias("jd_matched"),
         F.array_join(M.skills_missing(F.col("hard_skills"), names), "|").alias("jd_missing"))
@@ -226,7 +226,7 @@ def match_skills_matched(spark, d):
 def match_text_report(spark, d):
     """R2"""
     report = paired(spark, d).select(
-        "jd_id", "resume_id", M.text_match_report(F.col("hard_skills"), F.col("whole_text")).alias("r"))
+        "jd_id", "resume_id", M.text_match_report(F.col("hard_skills"), F.col("whole_hits")).alias("r"))
     return report.select("jd_id", "resume_id", F.array_join("r.matched", "|").alias("matched"),
                          F.array_join("r.missing", "|").alias("missing"))
 
@@ -243,14 +243,23 @@ ranked AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY jd_id, resum
     AS hit FROM scored s JOIN postings p USING (jd_id))"""
 
 
+@query("match_skill_hits", f"""WITH {BASE},
+    words AS (SELECT DISTINCT lower(skill) AS word FROM (SELECT skill FROM jd_hard UNION ALL SELECT skill FROM jd_soft) WHERE skill <> '')
+    SELECT c.resume_id, word, cast((length(body) - length(replace(body, word, ''))) // length(word) AS bigint) AS n
+    FROM people c JOIN history h USING (resume_id), words WHERE contains(body, word)""")
+def match_skill_hits(spark, d):
+    """Which posting skills each résumé's history holds, and how often; one pass per résumé."""
+    return matching.resume_hits(derive.resumes(spark, d), derive.postings(spark, d))
+
+
 @query("match_relevance_rank", f"""WITH {BASE}, {_SCORED}
     SELECT jd_id, resume_id, string_agg(company, '|' ORDER BY rn) AS companies, max(score) AS best FROM ranked GROUP BY ALL""")
 def match_relevance_rank(spark, d):
     """R3"""
     words = F.concat("hard_skills", "soft_skills")
     ranked = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", M.by_relevance(F.col("work_experience"), F.col("job_texts"), words).alias("w"),
-        F.array_max(M.relevance_scores(F.col("job_texts"), words)).alias("best"))
+        "jd_id", "resume_id", M.by_relevance(F.col("work_experience"), F.col("job_hits"), words).alias("w"),
+        F.array_max(M.relevance_scores(F.col("job_hits"), words)).alias("best"))
     return ranked.select("jd_id", "resume_id", F.array_join("w.company", "|").alias("companies"),
                          F.col("best").cast("bigint").alias("best"))
 
@@ -260,7 +269,8 @@ def match_relevance_rank(spark, d):
 def match_relevance_label(spark, d):
     """R4"""
     built = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", R.experience_section(F.col("job_sections"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
+        "jd_id", "resume_id", R.experience_section(
+            F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_skills"))).alias("e"))
     return built.select("jd_id", "resume_id", F.array_join("e.jd_relevance", "").alias("labels"))
 
 
@@ -458,7 +468,8 @@ def record_period(spark, d):
 def record_experience(spark, d):
     """M7"""
     rows = paired(spark, d).filter(F.size("work_experience") > 0).select(
-        "jd_id", "resume_id", R.experience_section(F.col("job_sections"), F.col("hard_skills"), F.col("duty_texts")).alias("e"))
+        "jd_id", "resume_id", R.experience_section(
+            F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_skills"))).alias("e"))
     shown = F.transform("e", lambda j: F.concat_ws("/", j["company"], j["position"], j["period"], F.array_join(j["bullets"], ",")))
     return rows.select("jd_id", "resume_id", F.array_join(shown, "|").alias("experience"))
 
