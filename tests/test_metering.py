@@ -41,8 +41,8 @@ def test_latency(spark):
     row = metering.latency_stats(calls(spark, THREE), ["tenant"]).first()
     assert (row.avg, row.min, row.max, row.p95, row["count"]) == (1500.0, 800, 2500, 2500, 3)
     hundred = calls(spark, [(i, 1, "m", True, 1, 1, (i * 37) % 100, 0) for i in range(100)])
-    for width in (1.0, 7.0, 1000.0):
-        assert metering.latency_stats(hundred, ["tenant"], width).first().p95 == 95
+    for blocks in (1, 7, None):
+        assert metering.latency_stats(hundred, ["tenant"], blocks).first().p95 == 95
     twenty = calls(spark, [(i, 1, "m", True, 1, 1, i, 0) for i in range(20)])
     assert metering.latency_stats(twenty, ["tenant"]).first().p95 == 19
 
@@ -127,9 +127,9 @@ def test_limiters_against_plain_python(spark):
             now += rng.choice([0, 0, 1, 3, 10, 30, 70, 400])
             rows.append((now, tenant, "m", rng.random() < 0.7, 1, 1, 1, 0))
     df = calls(spark, rows)
-    for most in (1, 2, 5):
-        got = limits.sliding_limiter(df, ["tenant"], most).orderBy("ts", "call_id").collect()
-        fixed = limits.fixed_window_limiter(df, ["tenant"], most).orderBy("ts", "call_id").collect()
+    for most, blocks in ((1, None), (2, 13), (5, 40)):
+        got = limits.sliding_limiter(df, ["tenant"], most, blocks=blocks).orderBy("ts", "call_id").collect()
+        fixed = limits.fixed_window_limiter(df, ["tenant"], most, blocks=blocks).orderBy("ts", "call_id").collect()
         assert len(got) == len(fixed) == len(rows)
         for tenant in range(4):
             mine = [r for r in rows if r[1] == tenant]
@@ -147,11 +147,10 @@ def test_blocked_computations_equal_plain_ones(spark):
     rng = random.Random(9)
     data = [(i, rng.choice([None, 1, 1, 1, 2]), rng.randint(0, 500), rng.randint(1, 9)) for i in range(600)]
     df = spark.createDataFrame(data, "id int, k int, at bigint, v bigint")
-    for width in (1, 13, 10_000):
-        block = F.floor(F.col("at") / width)
-        sums = ordered.running_sum(df, ["k"], ["at", "id"], F.col("v"), block, "s").collect()
-        counts = ordered.trailing_count(df, ["k"], "at", 20, "n", block_windows=max(1, width // 20)).collect()
-        middle = ordered.value_at_rank(df, ["k"], "at", lambda n: F.floor(n / 2) + 1, width, "m").collect()
+    for blocks in (1, 7, 40):
+        sums = ordered.running(df, ["k"], ["at", "id"], F.col("v"), "s", blocks=blocks).collect()
+        counts = ordered.trailing_count(df, ["k"], "at", 20, "n", blocks=blocks).collect()
+        middle = ordered.value_at_rank(df, ["k"], "at", lambda n: F.floor(n / 2) + 1, "m", blocks).collect()
         assert len(sums) == len(counts) == 600 and len(middle) == 3
         for key in (None, 1, 2):
             mine = sorted(((a, i, v) for i, k, a, v in data if k == key))

@@ -17,7 +17,7 @@ TURNS_PER_BLOCK = 4096
 def numbered(turns: DataFrame, out: str = "question_no") -> DataFrame:
     """0-based number of each row inside its conversation, by turn."""
     block = F.floor(F.col("turn") / TURNS_PER_BLOCK)
-    counted = ordered.running_sum(turns, ["conv_id"], ["turn"], F.lit(1), block, out, inclusive=False)
+    counted = ordered.running(turns, ["conv_id"], ["turn"], F.lit(1), out, inclusive=False, block=block)
     return counted.withColumn(out, F.col(out).cast("int"))
 
 

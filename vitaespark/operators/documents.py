@@ -65,26 +65,21 @@ def blank_page_warning(pages: DataFrame, keys: list[str], text: str = "text") ->
     ).withColumn("warned", F.col("blank_pages") > F.col("page_count") * 0.5)
 
 
-def gap_clusters(df: DataFrame, keys: list[str], position: str, block_width: float, factor: float = 3,
-                 floor: float = 30, gap_width: float | None = None) -> DataFrame:
+def gap_clusters(df: DataFrame, keys: list[str], position: str, factor: float = 3, floor: float = 30,
+                 blocks: int | None = None) -> DataFrame:
     """Number the clusters of positions that wide gaps separate.
 
-    A gap is wide when above ``factor`` times the upper median of the positive gaps and
-    above ``floor``.  ``block_width`` is the stretch of positions one task handles.
+    A gap is wide when above ``factor`` times the upper median of the positive gaps and above ``floor``.
     """
-    block = F.floor(F.col(position) / block_width)
-    gaps = ordered.previous_value(df, keys, position, block, "_prev").withColumn(
-        "_gap", F.col(position) - F.col("_prev")).drop("_prev")
+    cut = ordered.in_blocks(df, keys, [position], blocks)
+    gaps = ordered.previous_value(cut, keys, position, "_prev").withColumn("_gap", F.col(position) - F.col("_prev")).drop("_prev")
     median = ordered.value_at_rank(
-        gaps.filter(F.col("_gap") > 0), keys, "_gap", lambda n: F.floor(n / 2) + 1,
-        gap_width or block_width, "_median",
-    ).drop("n")
+        gaps.filter(F.col("_gap") > 0), keys, "_gap", lambda n: F.floor(n / 2) + 1, "_median", blocks).drop("n")
     limit = F.greatest(F.col("_median") * factor, F.lit(floor))
-    marked = ordered.join_null_safe(gaps, median, keys, "left").withColumn(
+    marked = ordered.with_key_values(gaps, median, keys).withColumn(
         "_break", F.coalesce(F.col("_gap") > limit, F.lit(False)).cast("bigint"))
-    return ordered.running_sum(
-        marked, keys, [position, F.col("_break").desc()], F.col("_break"), block, "cluster_id"
-    ).drop("_gap", "_median", "_break")
+    return ordered.running(
+        marked, keys, [position, F.col("_break").desc()], F.col("_break"), "cluster_id").drop("_gap", "_median", "_break", "_block")
 
 
 def words_to_lines(words: DataFrame, keys: list[str], tolerance: float = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from vitaespark.functions import matching as M
 from vitaespark.functions import records as R
 from vitaespark.operators.multipattern import Patterns, distinct_patterns, hit_table
 from vitaespark.operators.ordered import heavy_keys, salted_join
-from vitaespark.session import shared_folder
+from vitaespark.session import written
 
 POSTING_COLUMNS = [
     "jd_id", "position", "company", "years_required", "education_required", "hard_skills", "soft_skills",
@@ -51,9 +51,7 @@ def pair_records(pairs: DataFrame, postings: DataFrame, resumes: DataFrame) -> D
     résumé is shuffled once and never copied per posting across the network.  The pairs are written
     once, so that finding the popular keys and joining do not work them out again.
     """
-    spark, folder = pairs.sparkSession, shared_folder(pairs.sparkSession, "pairs")
-    pairs.write.parquet(folder)
-    pairs = spark.read.schema(pairs.schema).parquet(folder)
+    pairs = written(pairs, "pairs")
     slim = postings.select(*[c for c in POSTING_COLUMNS if c in postings.columns])
     with_posting = salted_join(pairs, slim, "jd_id")
     read = with_hits(R.with_features(resumes), posting_words(postings).held)

@@ -13,8 +13,6 @@ from vitaespark import fixed
 from vitaespark.functions import metering as P
 from vitaespark.operators import ordered
 
-DAY_MICROS = 86_400_000_000
-
 
 def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -60,7 +58,7 @@ def usage_with_totals(calls: DataFrame) -> DataFrame:
     return rolled.withColumn("model", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("model"))).drop("_all")
 
 
-def latency_stats(calls: DataFrame, keys: list[str], width: float = 10.0) -> DataFrame:
+def latency_stats(calls: DataFrame, keys: list[str], blocks: int | None = None) -> DataFrame:
     """Average, extremes, count and the 95 % latency (nearest rank from 20 calls up, else the maximum)."""
     calls = recorded(calls)
     basic = calls.groupBy(*keys).agg(
@@ -69,7 +67,7 @@ def latency_stats(calls: DataFrame, keys: list[str], width: float = 10.0) -> Dat
     )
     # floor(n * 95 / 100) on whole numbers; the last value when it would run past the end
     rank = lambda n: F.least(F.floor(n * 95 / 100) + 1, n)
-    high = ordered.value_at_rank(calls, keys, "latency_ms", rank, width, "_p95").drop("n")
+    high = ordered.value_at_rank(calls, keys, "latency_ms", rank, "_p95", blocks).drop("n")
     return ordered.join_null_safe(basic, high, keys).withColumn(
         "p95", F.when(F.col("count") >= fixed.P95_MIN_RECORDS, F.col("_p95")).otherwise(F.col("max"))
     ).drop("_p95")
@@ -87,45 +85,40 @@ def total_alert(calls: DataFrame, threshold: float = fixed.ALERT_USD) -> DataFra
     return total.withColumn("alert", F.col("cost") > _usd(threshold))
 
 
-def _day_block() -> Column:
-    return F.floor(micros() / DAY_MICROS)
-
-
 def _usd(amount: float) -> Column:
     return F.lit(str(amount)).cast(P.MONEY)
 
 
 def budget_status(calls: DataFrame, keys: list[str], alert: float = fixed.ALERT_USD,
-                  limit: float = fixed.HARD_LIMIT_USD, block: Column | None = None) -> DataFrame:
+                  limit: float = fixed.HARD_LIMIT_USD, blocks: int | None = None) -> DataFrame:
     """Cost so far after each recorded call, whether it is below the limit and whether it raises an alert."""
-    spent = ordered.running_sum(
-        recorded(calls), keys, ["ts", "call_id"], F.col("cost"), block if block is not None else _day_block(), "spent")
+    spent = ordered.running(recorded(calls), keys, ["ts", "call_id"], F.col("cost"), "spent", blocks=blocks)
     return spent.withColumns({
         "ok": F.col("spent") < _usd(limit), "alert": F.col("spent") >= _usd(min(alert, limit)),
     })
 
 
 def budget_admission(calls: DataFrame, keys: list[str], limit: float = fixed.HARD_LIMIT_USD,
-                     block: Column | None = None) -> DataFrame:
+                     blocks: int | None = None) -> DataFrame:
     """A call passes while what passed before it has cost less than the limit; costs are not negative.
 
     Only recorded calls cost anything.  Costs never fall, so from the first refused call of a key on all are
-    refused, and the cost stays what it was there.
+    refused, and the cost stays what it was there; a key's blocks learn it from the first one that refuses.
     """
     cost = F.when(is_recorded(), F.col("cost")).otherwise(F.lit(0).cast(P.MONEY))
-    before = ordered.running_sum(
-        calls, keys, ["ts", "call_id"], cost, block if block is not None else _day_block(),
-        "spent_before", inclusive=False).withColumn("admitted", F.col("spent_before") < _usd(limit))
+    cut = ordered.in_blocks(calls, keys, ["ts", "call_id"], blocks)
+    before = ordered.running(cut, keys, ["ts", "call_id"], cost, "spent_before", inclusive=False).withColumn(
+        "admitted", F.col("spent_before") < _usd(limit))
     final = before.filter(~F.col("admitted")).groupBy(*keys).agg(F.min("spent_before").alias("_final"))
     spent = F.when(F.col("admitted"), F.col("spent_before")).otherwise(F.col("_final"))
-    return ordered.join_null_safe(before, final, keys, "left").withColumn("spent_before", spent).drop("_final")
+    return ordered.with_key_values(before, final, keys).withColumn("spent_before", spent).drop("_final", "_block")
 
 
 def offered_load(calls: DataFrame, keys: list[str], max_calls: int = fixed.MAX_RPM,
-                 window_seconds: int = fixed.RATE_WINDOW_SECONDS) -> DataFrame:
+                 window_seconds: int = fixed.RATE_WINDOW_SECONDS, blocks: int | None = None) -> DataFrame:
     """Calls in the trailing window and the room left below the limit."""
     counted = ordered.trailing_count(
-        calls.withColumn("_micros", micros()), keys, "_micros", window_seconds * 1_000_000, "current")
+        calls.withColumn("_micros", micros()), keys, "_micros", window_seconds * 1_000_000, "current", blocks=blocks)
     return counted.drop("_micros").withColumn(
         "remaining", F.greatest(F.lit(0), F.lit(max_calls) - F.col("current")))
 

@@ -1,10 +1,9 @@
 """Ordered computations over keys that may be very large.
 
-A plain window puts all rows of a key into one task.  The functions here cut every key
-into blocks along its order column: a window runs inside each (key, block), and one small
-row per block carries what the later blocks need.  The block expression must rise with
-the order, e.g. the hour or day of a timestamp or a rounded value, so one key spreads
-over as many tasks as it has blocks.  Aggregates by block combine before the shuffle.
+A plain window puts all rows of a key into one task.  The functions here cut the rows into
+blocks of like size along keys and order: a window runs inside each (key, block), and one
+small row per block carries what the later blocks need.  Bounds come from the data, so no
+width has to be foreseen.  Aggregates by block combine before the shuffle.
 """
 
 from functools import reduce
@@ -12,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitaespark.session import written
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null, keeping the left keys."""
@@ -22,52 +23,67 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, test, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, block: Column, out: str,
-    inclusive: bool = True,
+def in_blocks(df: DataFrame, keys: list[str], order: list, blocks: int | None = None) -> DataFrame:
+    """The rows in blocks of like size along keys and order; ``_block`` rises with them.
+
+    Blocks are range partitions, whose bounds Spark takes from a sample: a key with a third of the rows
+    has a third of the blocks, and rows equal in the first order columns are cut by the later ones.  There
+    are as many as shuffle partitions unless told.  They are written once, so that all that follows sees
+    the same blocks.
+    """
+    number = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(number, *[F.col(k) for k in keys], *order).withColumn("_block", F.spark_partition_id())
+    return written(cut, "blocks")
+
+
+def _blocked(df: DataFrame, keys: list[str], order: list, block: Column | None, blocks: int | None) -> tuple[DataFrame, list[str]]:
+    """The frame with its blocks, and the columns to drop when done."""
+    if "_block" in df.columns:
+        return df, []
+    return (in_blocks(df, keys, order, blocks) if block is None else df.withColumn("_block", block)), ["_block"]
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list, value: Column, out: str, inclusive: bool = True, total=F.sum,
+    block: Column | None = None, blocks: int | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows of a key up to (or before) each row."""
-    df = df.withColumns({"_block": block, "_value": value})
+    """``total`` (sum or max) of ``value`` over the rows of a key up to (or before) each row.
+
+    Nulls are passed over; where nothing came before, a sum is 0 and a maximum null.  ``_block`` is used
+    and kept where the frame has it; ``block`` may give a cheaper one that rises with the order.
+    """
+    df, dropped = _blocked(df, keys, order, block, blocks)
+    df = df.withColumn("_value", value)
     part = [*keys, "_block"]
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*part).agg(F.sum("_value").alias("_sum"))
-        .withColumn("_offset", F.sum("_sum").over(earlier)).drop("_sum")
-    )
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    zero = F.lit(0)
-    total = F.coalesce(F.col("_offset"), zero) + F.coalesce(F.sum("_value").over(inside), zero)
-    return join_null_safe(df, offsets, part).withColumn(out, total).drop("_block", "_value", "_offset")
+    carried = df.groupBy(*part).agg(total("_value").alias("_of")).withColumn("_carried", total("_of").over(earlier)).drop("_of")
+    inside = total("_value").over(
+        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    if total is F.sum:
+        both = F.coalesce(F.col("_carried"), F.lit(0)) + F.coalesce(inside, F.lit(0))
+    else:
+        both = F.greatest(F.col("_carried"), inside)
+    return join_null_safe(df, carried, part).withColumn(out, both).drop("_value", "_carried", *dropped)
 
 
-def previous_value(df: DataFrame, keys: list[str], value: str, block: Column, out: str) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], value: str, out: str, blocks: int | None = None) -> DataFrame:
     """The next smaller-or-equal value of the same key in sorted order, null for the first row."""
-    df = df.withColumn("_block", block)
-    part = [*keys, "_block"]
-    by_block = Window.partitionBy(*keys).orderBy("_block")
-    carried = (
-        df.groupBy(*part).agg(F.max(value).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(by_block)).drop("_last")
-    )
-    inside = Window.partitionBy(*part).orderBy(value)
-    return (
-        join_null_safe(df, carried, part)
-        .withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carried")))
-        .drop("_block", "_carried")
-    )
+    return running(df, keys, [value], F.col(value), out, inclusive=False, total=F.max, blocks=blocks)
+
+
+def with_key_values(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Add one row per key to the rows of a frame with ``_block``; a large key's rows meet it block by block."""
+    known = join_null_safe(df.select(*keys, "_block").distinct(), per_key, keys, how)
+    return join_null_safe(df, known, [*keys, "_block"], how)
 
 
-def value_at_rank(df: DataFrame, keys: list[str], value: str, rank, width: float, out: str) -> DataFrame:
+def value_at_rank(df: DataFrame, keys: list[str], value: str, rank, out: str, blocks: int | None = None) -> DataFrame:
     """Exact order statistic per key: one row per key with ``out`` and the row count ``n``.
 
-    ``rank(n)`` gives the 1-based position among the sorted values.  Equal values are
-    counted together first; then only the block of ``width`` that holds the rank is sorted.
+    ``rank(n)`` gives the 1-based position among the sorted values.  Equal values are counted together
+    first; then only the block that holds the rank is sorted.
     """
-    counts = (
-        df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_block", F.floor(F.col(value) / width))
-    )
+    counts = in_blocks(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), keys, [value], blocks)
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     target = (
@@ -90,28 +106,22 @@ def value_at_rank(df: DataFrame, keys: list[str], value: str, rank, width: float
 
 def trailing_count(
     df: DataFrame, keys: list[str], micros: str, window_micros: int, out: str, counted: Column | None = None,
-    block_windows: int = 60,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Rows of the key in ``(t - window, t]`` for each row at ``t``, ties included.
 
-    Blocks last ``block_windows`` windows; rows in the last window of a block are copied
-    into the next one as context, so a frame never needs another block.
+    It is the difference of two running counts, at ``t`` and at ``t - window``: rows are counted by time
+    first, and each time asks with a mark for what had come by the window's begin.
     """
-    span = window_micros * block_windows
-    own = F.floor(F.col(micros) / span)
-    late = F.col(micros) >= (own + 1) * span - window_micros
     one = F.lit(1) if counted is None else counted.cast("int")
-    copies = (
-        df.withColumns({"_own": own, "_one": one})
-        .withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-    )
-    frame = (
-        Window.partitionBy(*keys, "_block").orderBy(micros).rangeBetween(-(window_micros - 1), Window.currentRow)
-    )
-    return (
-        copies.withColumn(out, F.sum("_one").over(frame)).filter(F.col("_block") == F.col("_own"))
-        .drop("_own", "_one", "_block")
-    )
+    times = df.groupBy(*keys, micros).agg(F.sum(one).alias("_n"))
+    marks = times.select(*keys, micros, F.inline(F.array(
+        F.struct(F.col(micros).alias("_at"), F.lit(0).alias("_mark"), F.col("_n")),
+        F.struct((F.col(micros) - window_micros).alias("_at"), F.lit(1).alias("_mark"), F.lit(0).cast("long").alias("_n")))))
+    upto = running(marks, keys, ["_at", "_mark"], F.col("_n"), "_upto", blocks=blocks)
+    found = upto.groupBy(*keys, micros).agg(
+        F.sum(F.when(F.col("_mark") == 0, F.col("_upto")).otherwise(-F.col("_upto"))).alias(out))
+    return join_null_safe(df, found, [*keys, micros])
 
 
 #: Heavy keys that are broadcast, at most: a few hundred kilobytes.

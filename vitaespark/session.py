@@ -37,3 +37,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to a fresh shared folder and read back: lineage ends there."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -152,8 +152,7 @@ def layout_gap_clusters(spark, d):
     """T10"""
     events = derive.load(spark, d, "events").select(
         "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    day = 86_400_000_000
-    clusters = documents.gap_clusters(events, ["user_id"], "at", block_width=7 * day, floor=30_000_000, gap_width=day / 24)
+    clusters = documents.gap_clusters(events, ["user_id"], "at", floor=30_000_000)
     return clusters.groupBy("user_id", "cluster_id").agg(
         F.count(F.lit(1)).alias("members"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
