@@ -83,10 +83,10 @@ def test_enrich(spark):
 def test_relevance_order_is_stable(spark):
     jobs = [job("A", "docker"), job("B", "docker redis"), job("C", "redis docker")]
     row = pair(spark, jobs=jobs).select(M.by_relevance(
-        F.col("work_experience"), F.col("job_hits"), F.col("hard_skills")).alias("w")).first()
+        F.col("work_experience"), F.col("job_hits"), F.col("hard_words.code")).alias("w")).first()
     assert [w.company for w in row.w] == ["B", "C", "A"]
     plain = pair(spark, jobs=jobs, hard=[]).select(M.by_relevance(
-        F.col("work_experience"), F.col("job_hits"), F.col("hard_skills")).alias("w")).first()
+        F.col("work_experience"), F.col("job_hits"), F.col("hard_words.code")).alias("w")).first()
     assert [w.company for w in plain.w] == ["A", "B", "C"]
 
 

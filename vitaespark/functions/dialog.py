@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitaespark import fixed
-from vitaespark.functions.matching import holds
+from vitaespark.functions.matching import in_some_name
 from vitaespark.functions.strings import bind, fill_template, first_present, or_empty, trimmed, unempty
 
 LIMITS = [limit for _, limit in fixed.PHASES]
@@ -99,14 +99,13 @@ def background_questions(education: Column, projects: Column, work: Column, lang
     )
 
 
-def competency_questions(hard_skills: Column, name_hits: Column, work: Column, lang: str) -> Column:
+def competency_questions(hard: Column, name_hits: Column, work: Column, lang: str) -> Column:
     """I4: what the competency phase asks: posting skills, then results per employer."""
     text = fixed.INTERVIEW_TEXT[lang]
 
-    def skill(s):
-        known = F.exists(name_hits, lambda hits: holds(hits, s))
-        return F.when(known, fill_template(text["skill_known"], skill=s)).otherwise(
-            fill_template(text["skill_unknown"], skill=s))
+    def skill(word):
+        return F.when(in_some_name(word, name_hits), fill_template(text["skill_known"], skill=word["name"])).otherwise(
+            fill_template(text["skill_unknown"], skill=word["name"]))
 
     def result(w):
         duties = or_empty(w["duties"])
@@ -115,7 +114,7 @@ def competency_questions(hard_skills: Column, name_hits: Column, work: Column, l
             fill_template(text["result_plain"], company=w["company"]))
 
     return F.concat(
-        F.transform(F.array_distinct(hard_skills), skill),
+        F.transform(F.array_distinct(hard), skill),
         F.transform(_once(work, lambda w: or_empty(w["company"])), result),
     )
 

@@ -2,7 +2,8 @@
 
 The expressions read a row that holds both records (see ``operators.matching.pair_records``).
 Everything about a pair is decided inside its row.  What the résumé's texts hold was found before,
-once per résumé: a pair looks its words up in those ``hits`` and reads no text.
+once per résumé: a pair looks the codes of its words up in those ``hits`` and reads no text.
+Words are ``array<struct<name, code>>`` (see ``operators.multipattern``).
 """
 
 from pyspark.sql import Column
@@ -25,23 +26,18 @@ def _gap(category: str, keyword=None, **values: Column) -> Column:
     )
 
 
-def holds(hits: Column, word: Column) -> Column:
-    """Whether a text with these hits holds a word, whatever its case; every text holds the empty word."""
-    return F.when(F.lower(word) == "", F.when(hits.isNotNull(), True)).otherwise(F.array_contains(hits, F.lower(word)))
-
-
 def hard_skill_gaps(hard: Column, listed: Column, hits: Column) -> Column:
     """Posting skills absent from the skill list, by whether the text holds them."""
-    def gap(skill):
-        return F.when(holds(hits, skill), _gap("skill_detail", skill)).otherwise(_gap("skill_gap", skill))
+    def gap(word):
+        return F.when(F.contains(hits, word["code"]), _gap("skill_detail", word["name"])).otherwise(_gap("skill_gap", word["name"]))
 
-    return F.transform(F.filter(hard, lambda s: ~F.array_contains(listed, F.lower(s))), gap)
+    return F.transform(F.filter(hard, lambda w: ~F.array_contains(listed, F.lower(w["name"]))), gap)
 
 
 def soft_skill_gaps(soft: Column, hits: Column) -> Column:
     """Soft skills the text does not hold; the skill list does not count."""
-    missing = F.filter(soft, lambda s: ~holds(hits, s))
-    return F.transform(missing, lambda s: _gap("soft_skill_gap", s))
+    missing = F.filter(soft, lambda w: ~F.contains(hits, w["code"]))
+    return F.transform(missing, lambda w: _gap("soft_skill_gap", w["name"]))
 
 
 def record_gaps(jobs: Column, projects: Column, measured: Column, years: Column, target: Column,
@@ -62,8 +58,8 @@ def all_gaps() -> Column:
     """Every gap of a pair in report order: hard skills, soft skills, then the record as a whole."""
     hits = F.col("history_hits")
     return F.concat(
-        hard_skill_gaps(F.col("hard_skills"), F.col("skill_list_lower"), hits),
-        soft_skill_gaps(F.col("soft_skills"), hits),
+        hard_skill_gaps(F.col("hard_words"), F.col("skill_list_lower"), hits),
+        soft_skill_gaps(F.col("soft_words"), hits),
         record_gaps(F.col("job_count"), F.col("project_count"), F.col("measured"), F.col("years_required"),
                     F.col("basic_info.target_job"), F.col("position")),
     )
@@ -78,24 +74,24 @@ def question_text(category: Column, keyword: Column, detail: Column, lang: str =
     return rules
 
 
-def _in_some_name(skill: Column, name_hits: Column) -> Column:
-    return F.exists(name_hits, lambda hits: holds(hits, skill))
+def in_some_name(word: Column, name_hits: Column) -> Column:
+    return F.exists(name_hits, lambda hits: F.contains(hits, word["code"]))
 
 
 def skills_matched(hard: Column, name_hits: Column) -> Column:
     """Posting skills that are part of some skill name."""
-    return F.filter(hard, lambda s: _in_some_name(s, name_hits))
+    return F.filter(hard, lambda w: in_some_name(w, name_hits))["name"]
 
 
 def skills_missing(hard: Column, name_hits: Column) -> Column:
     """R1."""
-    return F.filter(hard, lambda s: ~_in_some_name(s, name_hits))
+    return F.filter(hard, lambda w: ~in_some_name(w, name_hits))["name"]
 
 
 def text_match_report(hard: Column, hits: Column, lang: str = "zh") -> Column:
     """R2: posting skills found anywhere in the record, or a stand-in when there are none."""
-    found = F.filter(hard, lambda s: holds(hits, s))
-    absent = F.filter(hard, lambda s: ~holds(hits, s))
+    found = F.filter(hard, lambda w: F.contains(hits, w["code"]))["name"]
+    absent = F.filter(hard, lambda w: ~F.contains(hits, w["code"]))["name"]
 
     def or_note(skills, note):
         return bind(skills, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(note))))
@@ -106,24 +102,22 @@ def text_match_report(hard: Column, hits: Column, lang: str = "zh") -> Column:
     )
 
 
-def relevance_scores(text_hits: Column, keywords: Column) -> Column:
+def relevance_scores(text_hits: Column, codes: Column) -> Column:
     """Number of keywords found per text; a keyword listed twice counts twice."""
-    return F.transform(text_hits, lambda hits: F.size(F.filter(keywords, lambda k: holds(hits, k))))
+    return F.transform(text_hits, lambda hits: F.size(F.filter(codes, lambda c: F.contains(hits, c))))
 
 
-def by_relevance(entries: Column, text_hits: Column, keywords: Column) -> Column:
+def by_relevance(entries: Column, text_hits: Column, codes: Column) -> Column:
     """Entries by number of keywords in their text, most first, ties in given order."""
     order = F.array_sort(F.transform(
-        relevance_scores(text_hits, keywords), lambda score, i: F.struct((-score).alias("rank"), i.alias("pos"))))
+        relevance_scores(text_hits, codes), lambda score, i: F.struct((-score).alias("rank"), i.alias("pos"))))
     return bind(entries, lambda given: F.transform(order, lambda x: F.get(given, x["pos"])))
 
 
-def relevance_labels(duty_hits: Column, hard: Column) -> Column:
+def relevance_labels(duty_hits: Column, codes: Column) -> Column:
     """The label of each job by whether its duties hold a posting skill."""
-    def label(hits):
-        return F.when(F.exists(hard, lambda s: holds(hits, s)), fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM)
-
-    return F.transform(duty_hits, label)
+    return F.transform(duty_hits, lambda hits: F.when(
+        F.exists(codes, lambda c: F.contains(hits, c)), fixed.RELEVANCE_HIGH).otherwise(fixed.RELEVANCE_MEDIUM))
 
 
 def preview_jobs(experience: Column, device: str = "desktop") -> Column:

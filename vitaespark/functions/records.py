@@ -168,9 +168,8 @@ def job_sections(work: Column) -> Column:
 
 def experience_section(sections: Column, labels: Column) -> Column:
     """Job sections with their relevance labels."""
-    return F.transform(sections, lambda x, at: F.struct(
-        *[x[name] for name in ("company", "position", "period", "bullets")],
-        F.get(labels, at).alias("jd_relevance"), x["source_index"]))
+    return F.zip_with(sections, labels, lambda x, label: F.struct(
+        *[x[name] for name in ("company", "position", "period", "bullets")], label.alias("jd_relevance"), x["source_index"]))
 
 
 def education_section(education: Column) -> Column:

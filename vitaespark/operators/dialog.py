@@ -57,7 +57,7 @@ def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh") -> Dat
         D.background_questions(F.col("education"), F.col("projects"), F.col("work_experience"), lang)
         .alias("_background"),
         D.competency_questions(
-            F.col("hard_skills"), F.col("name_hits"), F.col("work_experience"), lang).alias("_competency"),
+            F.col("hard_words"), F.col("name_hits"), F.col("work_experience"), lang).alias("_competency"),
         F.coalesce(F.nullif(F.col("basic_info.target_job"), F.lit("")), F.col("position")).alias("_target"),
     )
     question = D.question_for(*[F.col(c) for c in (

@@ -28,9 +28,13 @@ def with_hits(rows: DataFrame, held: Callable[[Column], Column]) -> DataFrame:
 
 def _own_hits(rows: DataFrame) -> DataFrame:
     """Hits of the words of each row's own posting, for résumés that were changed for it."""
-    words = F.filter(F.array_distinct(F.transform(F.concat("hard_skills", "soft_skills"), F.lower)), lambda w: w != "")
-    return with_hits(R.with_features(rows), lambda texts: F.transform(
-        texts, lambda t: F.when(t.isNotNull(), F.filter(words, lambda w: F.contains(t, w)))))
+    words = F.filter(F.array_distinct(F.concat("hard_words", "soft_words")), lambda w: w["code"] != "")
+
+    def held(texts):
+        return F.transform(texts, lambda t: F.when(t.isNotNull(), F.array_join(
+            F.filter("_words", lambda w: F.contains(t, F.lower(w["name"])))["code"], "")))
+
+    return with_hits(R.with_features(rows).withColumn("_words", words), held).drop("_words")
 
 
 def posting_words(postings: DataFrame) -> Patterns:
@@ -52,9 +56,12 @@ def pair_records(pairs: DataFrame, postings: DataFrame, resumes: DataFrame) -> D
     once, so that finding the popular keys and joining do not work them out again.
     """
     pairs = written(pairs, "pairs")
+    words = posting_words(postings)
     slim = postings.select(*[c for c in POSTING_COLUMNS if c in postings.columns])
-    with_posting = salted_join(pairs, slim, "jd_id")
-    read = with_hits(R.with_features(resumes), posting_words(postings).held)
+    coded = slim.withColumns({
+        new: words.coded(F.col(c)) for c, new in (("hard_skills", "hard_words"), ("soft_skills", "soft_words")) if c in slim.columns})
+    with_posting = salted_join(pairs, coded, "jd_id")
+    read = with_hits(R.with_features(resumes), words.held)
     return salted_join(with_posting, read, "resume_id", heavy=heavy_keys(pairs, "resume_id"), by=["jd_id"])
 
 
@@ -116,9 +123,9 @@ def append_direct(paired: DataFrame, additions: DataFrame) -> DataFrame:
 
 def tailor(paired: DataFrame, lang: str = "zh") -> DataFrame:
     """The tailored résumé of each pair: ranked, labelled, summarised and introduced."""
-    hard, names = F.col("hard_skills"), F.col("name_hits")
-    keywords = F.concat(hard, F.col("soft_skills"))
-    sections = R.experience_section(F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), hard))
+    hard, names = F.col("hard_words"), F.col("name_hits")
+    keywords = F.concat("hard_words.code", "soft_words.code")
+    sections = R.experience_section(F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_words.code")))
     ranked = paired.select(
         "jd_id", "resume_id", "job_count", R.personal_section(F.col("basic_info")).alias("personal"),
         M.by_relevance(sections, F.col("job_hits"), keywords).alias("experience"),

@@ -28,9 +28,9 @@ class Automaton:
             self.machine.add_word(pattern, k)
         self.machine.make_automaton()
 
-    def held(self, text: str) -> list[str]:
-        """Patterns that the text holds, in order."""
-        return [self.patterns[k] for k in sorted({k for _, k in self.machine.iter(text)})]
+    def held(self, text: str) -> list[int]:
+        """Places of the patterns that the text holds, in order."""
+        return sorted({k for _, k in self.machine.iter(text)})
 
     def counted(self, text: str) -> list[tuple[str, int]]:
         """Patterns with the number of their occurrences, those left out that overlap one of the same pattern."""
@@ -73,17 +73,45 @@ class Patterns:
 
         return F.arrow_udf(run, kind)
 
+    def _first_codes(self) -> list[int]:
+        return [sum(len(b.value) for b in self.blocks[:k]) for k in range(len(self.blocks))]
+
     def held(self, texts: Column) -> Column:
-        """For an array of texts the patterns that each one holds, ``array<array<string>>``; null where there is none."""
-        kind = "array<array<string>>"
+        """For an array of texts the codes of the patterns that each one holds, one string a text; null where there is none."""
+        kind = "array<string>"
+
+        def reader(sent, first):
+            def read(machine, row):
+                return None if row is None else [
+                    None if t is None else "".join(f",{first + k}," for k in machine.held(t)) for t in row]
+            return self._reader(sent, kind, read)
+
+        found = [reader(*x)(texts) for x in zip(self.blocks, self._first_codes())]
+        none = F.transform(texts, lambda t: F.when(t.isNotNull(), F.lit("")))
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), found or [none])
+
+    def coded(self, words: Column) -> Column:
+        """Words with the codes to look for in hits, ``array<struct<name, code>>``, whatever their case.
+
+        The empty word has the empty code, which all hits hold, and null has none.
+        """
+        kind = "array<string>"
+
+        def reader(sent, first):
+            ready: list[dict[str, str]] = []
+
+            def run(rows: pa.Array) -> pa.Array:
+                if not ready:
+                    ready.append({p: f",{first + k}," for k, p in enumerate(sent.value)} | {"": ""})
+                return pa.array([None if r is None else [ready[0].get(w) for w in r] for r in rows.to_pylist()], to_arrow[kind])
 
-        def read(machine, row):
-            return None if row is None else [None if t is None else machine.held(t) for t in row]
+            return F.arrow_udf(run, kind)
 
-        found = [self._reader(sent, kind, read)(texts) for sent in self.blocks]
-        if not found:
-            return F.transform(texts, lambda t: F.when(t.isNotNull(), F.array().cast("array<string>")))
-        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), found)
+        low = F.transform(words, F.lower)
+        found = [reader(*x)(low) for x in zip(self.blocks, self._first_codes())]
+        none = F.transform(low, lambda w: F.when(w == "", ""))
+        codes = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), found or [none])
+        return F.zip_with(words, codes, lambda w, c: F.struct(w.alias("name"), c.alias("code")))
 
     def counted(self, text: Column) -> Column:
         """The patterns of one text with their numbers of occurrences, ``array<struct<pattern, n>>``."""
@@ -97,7 +125,7 @@ class Patterns:
 
 
 to_arrow = {
-    "array<array<string>>": pa.list_(pa.list_(pa.string())),
+    "array<string>": pa.list_(pa.string()),
     "array<struct<pattern: string, n: bigint>>": pa.list_(pa.struct([("pattern", pa.string()), ("n", pa.int64())])),
 }
 

@@ -210,8 +210,8 @@ def match_skills_matched(spark, d):
     """R1"""
     names = F.col("name_hits")
     return paired(spark, d).select(
-        "jd_id", "resume_id", F.array_join(M.skills_matched(F.col("hard_skills"), names), "|").alias("jd_matched"),
-        F.array_join(M.skills_missing(F.col("hard_skills"), names), "|").alias("jd_missing"))
+        "jd_id", "resume_id", F.array_join(M.skills_matched(F.col("hard_words"), names), "|").alias("jd_matched"),
+        F.array_join(M.skills_missing(F.col("hard_words"), names), "|").alias("jd_missing"))
 
 
 @query("match_text_report", f"""WITH {BASE},
@@ -226,7 +226,7 @@ def match_skills_matched(spark, d):
 def match_text_report(spark, d):
     """R2"""
     report = paired(spark, d).select(
-        "jd_id", "resume_id", M.text_match_report(F.col("hard_skills"), F.col("whole_hits")).alias("r"))
+        "jd_id", "resume_id", M.text_match_report(F.col("hard_words"), F.col("whole_hits")).alias("r"))
     return report.select("jd_id", "resume_id", F.array_join("r.matched", "|").alias("matched"),
                          F.array_join("r.missing", "|").alias("missing"))
 
@@ -256,7 +256,7 @@ def match_skill_hits(spark, d):
     SELECT jd_id, resume_id, string_agg(company, '|' ORDER BY rn) AS companies, max(score) AS best FROM ranked GROUP BY ALL""")
 def match_relevance_rank(spark, d):
     """R3"""
-    words = F.concat("hard_skills", "soft_skills")
+    words = F.concat("hard_words.code", "soft_words.code")
     ranked = paired(spark, d).filter(F.size("work_experience") > 0).select(
         "jd_id", "resume_id", M.by_relevance(F.col("work_experience"), F.col("job_hits"), words).alias("w"),
         F.array_max(M.relevance_scores(F.col("job_hits"), words)).alias("best"))
@@ -270,7 +270,7 @@ def match_relevance_label(spark, d):
     """R4"""
     built = paired(spark, d).filter(F.size("work_experience") > 0).select(
         "jd_id", "resume_id", R.experience_section(
-            F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_skills"))).alias("e"))
+            F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_words.code"))).alias("e"))
     return built.select("jd_id", "resume_id", F.array_join("e.jd_relevance", "").alias("labels"))
 
 
@@ -469,7 +469,7 @@ def record_experience(spark, d):
     """M7"""
     rows = paired(spark, d).filter(F.size("work_experience") > 0).select(
         "jd_id", "resume_id", R.experience_section(
-            F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_skills"))).alias("e"))
+            F.col("job_sections"), M.relevance_labels(F.col("duty_hits"), F.col("hard_words.code"))).alias("e"))
     shown = F.transform("e", lambda j: F.concat_ws("/", j["company"], j["position"], j["period"], F.array_join(j["bullets"], ",")))
     return rows.select("jd_id", "resume_id", F.array_join(shown, "|").alias("experience"))
 
