@@ -32,9 +32,6 @@ def test_json_round_trip(spark, tmp_path):
     assert files.read_record_files(spark, str(tmp_path / "one.json"), "id int").first().id == 5
 
 
-DAY = 86_400
-
-
 def make_calls(spark):
     rng, now, rows = random.Random(2), 0, []
     for i in range(240):
@@ -44,42 +41,34 @@ def make_calls(spark):
         rows, "call_id bigint, tenant bigint, ts timestamp, success boolean, prompt_tokens bigint, completion_tokens bigint")
 
 
-def deal(df, folder, parts):
-    for part in parts:
-        df.filter(part).coalesce(1).write.mode("append").parquet(str(folder))
+def pieces(df, *parts):
+    return [df.filter(p) for p in parts]
 
 
 def decisions(df):
     return sorted((r.call_id, r.admitted) for r in df.collect())
 
 
-def far():
-    return F.timestamp_seconds(F.lit(250_000_000_000))
+LIMITERS = ((state.limit_sliding, limits.sliding_limiter), (state.limit_fixed_window, limits.fixed_window_limiter))
 
 
-def test_shuffled_streams_equal_batches(spark, tmp_path):
-    """Five files in no order of time, one per batch: nothing is lost, nothing left undecided."""
+def test_streams_out_of_order_equal_batches(spark):
+    """Calls up to ten minutes too late, a delay of eleven: nothing is lost, nothing left undecided, none late."""
     calls = make_calls(spark)
-    mixed = [F.pmod(F.xxhash64("call_id"), F.lit(5)) == k for k in range(5)]
-    for limiter, batch in ((state.limit_sliding, limits.sliding_limiter), (state.limit_fixed_window, limits.fixed_window_limiter)):
-        folder = tmp_path / limiter.__name__
-        deal(calls, folder, mixed)
-        got = run.run_closed(spark, str(folder), lambda s: limiter(s, 2, delay_seconds=DAY), "tenant", {"ts": far()}, "t", 1)
+    late_by = F.col("call_id") * 30 + F.pmod(F.xxhash64("call_id"), F.lit(600))
+    parts = pieces(calls, late_by < 2000, late_by.between(2000, 3999), late_by.between(4000, 5999), late_by >= 6000)
+    span = calls.agg(F.max("ts").cast("long") - F.min("ts").cast("long")).first()[0]
+    for stream, batch in LIMITERS:
+        got = run.run_arrivals(parts, lambda rows, clock: stream(rows, 2, delay_seconds=span, step_seconds=30, clock=clock), "t")
         assert got.filter("late OR admitted IS NULL").count() == 0
         assert decisions(got) == decisions(batch(calls, ["tenant"], 2))
-    deal(calls, tmp_path / "load", mixed)
-    stream = run.stream_table(spark, str(tmp_path / "load"), max_files=1)
-    load = run.run_summing(stream, metering.load_per_window, ["window_start", "window_end"], "t")
-    batch = metering.load_per_window(calls)
-    assert sorted(map(tuple, load.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_late_rows_come_out_marked(spark, tmp_path):
-    """Files in falling order of time with a short delay: late rows are told, and kept + late = input."""
+def test_late_rows_come_out_marked(spark):
+    """Pieces in falling order of time with a short delay: late rows are told, and kept + late = input."""
     calls = make_calls(spark)
-    deal(calls, tmp_path / "calls", [F.col("call_id").between(80 * k, 80 * k + 79) for k in (2, 1, 0)])
-    got = run.run_closed(
-        spark, str(tmp_path / "calls"), lambda s: state.limit_sliding(s, 2, delay_seconds=60), "tenant", {"ts": far()}, "t", 1)
+    parts = pieces(calls, *[F.col("call_id").between(80 * k, 80 * k + 79) for k in (2, 1, 0)])
+    got = run.run_arrivals(parts, lambda rows, clock: state.limit_sliding(rows, 2, delay_seconds=60, step_seconds=10, clock=clock), "t")
     assert got.count() == calls.count() == got.select("call_id").distinct().count()
     late = got.filter("late")
     assert 0 < late.count() < calls.count() and late.filter("admitted IS NOT NULL").count() == 0
@@ -88,13 +77,48 @@ def test_late_rows_come_out_marked(spark, tmp_path):
     assert decisions(kept) == decisions(limits.sliding_limiter(calls.join(late, "call_id", "left_anti"), ["tenant"], 2))
 
 
-def test_phase_stream(spark, tmp_path):
+def test_state_is_bounded_by_the_delay(spark, tmp_path):
+    """A long log of one busy key: what its state holds is what came in the delay and one step."""
+    calls = spark.range(3000).selectExpr("id AS call_id", "1L AS tenant", "timestamp_seconds(1700000000 + id * 10) AS ts",
+                                         "true AS success", "1L AS prompt_tokens", "1L AS completion_tokens")
+    parts = pieces(calls, *[F.col("call_id").between(500 * k, 500 * k + 499) for k in range(6)])
+    folder = f"file://{tmp_path}/bounded"
+    build = lambda rows, clock: state.limit_sliding(rows, 2, delay_seconds=600, step_seconds=100, clock=clock)
+
+    def held():
+        rows = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "held").load()
+        return rows.selectExpr("coalesce(sum(size(user_map_value.rows)), 0)").first()[0]
+
+    got = run.run_arrivals(parts, build, "t", folder, close=False)
+    assert 0 < held() <= (600 + 100) / 10 + 1 and got.count() + held() == 3000
+    got = run.run_arrivals([calls.limit(0)], build, "t", folder)
+    assert held() == 0 and got.count() == 3000 and got.filter("late").count() == 0
+    place = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "place").load()
+    assert place.count() == 0  # the key is silent for longer than its window
+    assert decisions(got) == decisions(limits.sliding_limiter(calls, ["tenant"], 2))
+
+
+def test_load_with_corrections_equals_the_batch(spark):
+    calls = make_calls(spark)
+    mixed = pieces(calls, *[F.pmod(F.xxhash64("call_id"), F.lit(4)) == k for k in range(4)])
+    for slide, delay in ((None, 60), (10, 100_000)):
+        got = run.run_arrivals(mixed, lambda rows, clock: state.load_stream(
+            rows, slide_seconds=slide, delay_seconds=delay, step_seconds=600, clock=clock), "t")
+        main = got.filter("not correction")
+        assert main.count() == main.select("window_start").distinct().count()
+        assert (got.filter("correction").count() > 0) == (delay == 60)
+        batch = metering.load_per_window(calls, slide="10 seconds" if slide else None)
+        added = got.groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in state.LOAD])
+        assert sorted(map(tuple, added.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_phase_stream(spark):
     rng = random.Random(4)
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", rng.random() < 0.3) for c in range(12) for t in range(20)]
-    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, skip boolean")
-    deal(turns, tmp_path / "turns", [F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == k for k in range(5)])
-    got = run.run_closed(
-        spark, str(tmp_path / "turns"), lambda s: state.track_phases(s, F.col("skip")), "conv_id", {"turn": F.lit(10 ** 9)}, "t", 1)
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, skip boolean").withColumn("ts", F.timestamp_seconds("turn"))
+    late_by = F.col("turn") + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5))
+    got = run.run_arrivals(pieces(turns, late_by < 8, late_by.between(8, 15), late_by > 15), lambda rows, clock: state.track_phases(
+        rows, F.col("skip"), delay_seconds=20, step_seconds=3, clock=clock), "t")
     want = dialog.phases(turns, F.col("skip"))
     pick = lambda df: sorted((r.conv_id, r.turn, r.question_no, r.phase) for r in df.collect())
     assert got.filter("late").count() == 0 and pick(got) == pick(want)

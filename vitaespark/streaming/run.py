@@ -1,31 +1,21 @@
-"""Running streams over what is there now, and windowed load on a stream."""
+"""Running streams over what is there now, and over what arrives piece by piece."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.operators.metering import load_per_window
 from vitaespark.session import shared_folder
 
+#: A time after all others.
+END = 250_000_000_000
 
-def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files: int = 100) -> DataFrame:
+
+def stream_table(spark: SparkSession, folder: str, pattern: str = "*.parquet", max_files: int | None = None) -> DataFrame:
     """The parquet files of a folder as a stream with the schema they have."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files).parquet(folder)
-    )
-
-
-def load_stream(calls: DataFrame, width: str = "1 minute", slide: str | None = None,
-                delay: str = "10 minutes") -> DataFrame:
-    """U14 as one endless aggregate: windows leave the state ``delay`` after the latest call, with what they have.
-
-    Where no call may be lost, however late, use ``run_summing``.
-    """
-    stamped = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return load_per_window(stamped, width, slide)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(folder)
 
 
 def run_appending(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
@@ -43,36 +33,20 @@ def run_appending(stream: DataFrame, purpose: str, folder: str | None = None) ->
     return spark.read.parquet(f"{folder}/out")
 
 
-def run_closed(spark: SparkSession, source: str, build: Callable[[DataFrame], DataFrame], key: str, closing: dict[str, Column],
-               purpose: str, max_files: int = 100) -> DataFrame:
-    """Run a held-back stream over a folder, then close every key with a heartbeat and run on.
-
-    ``closing`` gives the columns of a heartbeat; all others are null.  The folder belongs to the caller.
-    """
-    folder = shared_folder(spark, purpose)
-    run_appending(build(stream_table(spark, source, max_files=max_files)), purpose, folder)
-    table = spark.read.parquet(source)
-    beats = table.select(key).distinct().select(*[
-        (F.col(key) if f.name == key else closing.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in table.schema])
-    beats.write.mode("append").parquet(source)
-    return run_appending(build(stream_table(spark, source, max_files=max_files)), purpose, folder)
-
-
-def run_summing(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], keys: list[str], purpose: str) -> DataFrame:
-    """Run an additive aggregate batch by batch: each batch's sums are written, and added up when read.
+def run_arrivals(pieces: Iterable[DataFrame], build: Callable[[DataFrame, DataFrame], DataFrame], purpose: str,
+                 folder: str | None = None, close: bool = True) -> DataFrame:
+    """Run a stream over pieces that arrive one after another, and at the end move its clock past all of them.
 
-    There is no state and no watermark, so rows count whenever they come.  A batch that is run again
-    overwrites its own sums.
+    ``build`` makes the stream from that of the rows and that of the clock.  The clock has a folder of its
+    own with one row, so nothing is added to the input.
     """
-    spark = stream.sparkSession
-    folder = shared_folder(spark, purpose)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        aggregate(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    running = (
-        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    parts = spark.read.parquet(f"{folder}/out").drop("batch")
-    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in keys])
+    for piece in pieces:
+        spark = piece.sparkSession
+        folder = folder or shared_folder(spark, purpose)
+        piece.write.mode("append").parquet(f"{folder}/in")
+        spark.createDataFrame([], "ts timestamp").write.mode("ignore").parquet(f"{folder}/clock")
+        found = run_appending(build(stream_table(spark, f"{folder}/in"), stream_table(spark, f"{folder}/clock")), purpose, folder)
+    if close:
+        spark.range(1).select(F.timestamp_seconds(F.lit(END)).alias("ts")).write.mode("append").parquet(f"{folder}/clock")
+        found = run_appending(build(stream_table(spark, f"{folder}/in"), stream_table(spark, f"{folder}/clock")), purpose, folder)
+    return found

@@ -1,14 +1,18 @@
-"""Keyed state for streams of calls and turns.
+"""Keyed state for streams of calls and turns, timed by the watermark.
 
-Rows may come in any order.  Each key holds rows back until it has seen one that lies ``delay`` further on,
-and then decides them in order; what is decided is never changed.  A row that is older than what its
-key has decided is passed on marked ``late``, so every row comes out once.  A row without an id is a
-heartbeat: it moves the time of its key on and does not come out.
+Rows may come out of order within ``delay``.  Each key holds rows back in steps of time; when the watermark
+has passed a step's end its rows are decided in order, one step at a time, and leave the state.  What is
+decided is never changed: a row that comes for a step that is over is passed on marked ``late``, so every
+row comes out once.  A key that falls silent settles by its timers, and what it no longer needs is cleared.
+
+The time column is left behind below the stateful operator: Spark then keeps the watermark but does not
+drop rows by it, so that late ones reach the processor.
 """
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,19 +23,22 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+SECOND = 1_000_000
 
 
 class InOrder(StatefulProcessor):
     """Hold back, sort, decide: subclasses say what a decision is.
 
-    What a key holds in memory is what came within ``delay``, and one micro-batch.
+    A key's state is what came in the last ``delay`` and one step, and the subclass's own fields.
     """
 
     #: Fields of a subclass's own state, and their first values.
     FIELDS, FIRST = "", ()
+    #: How long after a key's last step its own state still matters; for ever if None.
+    KEPT: int | None = None
 
-    def __init__(self, delay: int):
-        self.delay = delay
+    def __init__(self, step: int):
+        self.step = step
 
     def decide(self, own: tuple, at: int, flag: bool) -> tuple[tuple, dict]:
         """New own state, and the decided columns."""
@@ -41,35 +48,51 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", f"seen bigint, done bigint, {self.FIELDS}")
-        self.held = handle.getListState("held", "at bigint, name bigint, flag boolean")
+        self.handle = handle
+        self.place = handle.getValueState("place", f"done bigint, {self.FIELDS}")
+        self.held = handle.getMapState("held", "step bigint", "rows array<struct<at: bigint, name: bigint, flag: boolean>>")
 
     def load(self) -> tuple:
-        return tuple(self.place.get()) if self.place.exists() else (None, None, *self.FIRST)
-
-    def settle(self, key, rows: list, own: tuple) -> Iterator[Row]:
-        for at, name, flag in sorted(rows):
-            own, decided = self.decide(own, at, flag)
-            yield self.row(key, at, name, False, decided)
-        self.own = own
+        return tuple(self.place.get()) if self.place.exists() else (None, *self.FIRST)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen, done, *own = self.load()
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        done, *_ = self.load()
+        if done is None:  # a new key, or one whose state is no longer needed: what the watermark has passed is late
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            done = passed - passed % self.step
+        fresh: dict[int, list] = {}
         for r in rows:
-            seen = r.at if seen is None else max(seen, r.at)
             if r.name is None:
                 continue
-            if done is not None and r.at < done:
+            if r.at < done:
                 yield self.row(key, r.at, r.name, True, {})
             else:
-                held.append((r.at, r.name, bool(r.flag)))
-        until = seen - self.delay
-        done = until if done is None else max(done, until)
-        yield from self.settle(key, [h for h in held if h[0] < done], tuple(own))
-        rest = [h for h in held if h[0] >= done]
-        self.held.put(rest) if rest else self.held.clear()
-        self.place.update((seen, done, *self.own))
+                fresh.setdefault(r.at // self.step, []).append((r.at, r.name, bool(r.flag)))
+        for step, new in fresh.items():
+            if self.held.containsKey((step,)):
+                new = [tuple(x) for x in self.held.getValue((step,))[0]] + new
+            else:
+                self.handle.registerTimer((step + 1) * self.step // 1000)
+            self.held.updateValue((step,), (new,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        done, *own = self.load()
+        due = sorted(k[0] for k in self.held.keys() if (k[0] + 1) * self.step <= until)
+        for step in due:
+            for at, name, flag in sorted(tuple(x) for x in self.held.getValue((step,))[0]):
+                own, decided = self.decide(tuple(own), at, flag)
+                yield self.row(key, at, name, False, decided)
+            self.held.removeKey((step,))
+        if due:
+            done = (due[-1] + 1) * self.step
+            self.place.update((done, *own))
+        if self.KEPT is None or done is None or any(True for _ in self.held.keys()):
+            return
+        if done + self.KEPT <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.place.clear()  # silent for so long that nothing before matters
+        elif due:
+            self.handle.registerTimer((done + self.KEPT) // 1000 + 1)
 
     def close(self) -> None:
         pass
@@ -80,9 +103,10 @@ class SlidingLimiter(InOrder):
 
     FIELDS, FIRST = "times array<bigint>", ([],)
 
-    def __init__(self, max_calls: int, window_micros: int, delay: int):
-        super().__init__(delay)
+    def __init__(self, max_calls: int, window_micros: int, step: int):
+        super().__init__(step)
         self.max_calls, self.window = max_calls, window_micros
+        self.KEPT = window_micros
 
     def decide(self, own, at, flag):
         times = [t for t in own[0] if at - t < self.window]
@@ -107,7 +131,7 @@ class FixedWindowLimiter(SlidingLimiter):
 
 
 class PhaseTracker(InOrder):
-    """I2 on a stream: phase, round and question number per conversation; the order is that of turns."""
+    """I2 on a stream: phase, round and question number per conversation."""
 
     LIMITS = [limit for _, limit in fixed.PHASES]
     FIELDS, FIRST = "phase int, rounds int, asked int", (0, 0, 0)
@@ -128,9 +152,21 @@ class PhaseTracker(InOrder):
 _ADMITTED = "tenant bigint, call_id bigint, admitted boolean, late boolean"
 
 
+def timed(rows: DataFrame, clock: DataFrame | None, delay_seconds: int) -> DataFrame:
+    """Rows with a watermark on ``ts``.
+
+    ``clock`` is a stream of times alone: a row there moves the watermark on for all keys, as at the end of a
+    log.  It belongs to no key.
+    """
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    if clock is not None:
+        rows = rows.unionByName(clock, allowMissingColumns=True)
+    return rows.withWatermark("ts", f"{delay_seconds} seconds")
+
+
 def _in_order(rows: DataFrame, key: str, processor: InOrder, schema: str) -> DataFrame:
     return rows.groupBy(key).transformWithState(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none")
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
 def _calls(calls: DataFrame) -> DataFrame:
@@ -138,24 +174,95 @@ def _calls(calls: DataFrame) -> DataFrame:
 
 
 def limit_sliding(calls: DataFrame, max_calls: int = fixed.MAX_RPM, window_seconds: int = fixed.RATE_WINDOW_SECONDS,
-                  delay_seconds: int = 600) -> DataFrame:
-    processor = SlidingLimiter(max_calls, window_seconds * 1_000_000, delay_seconds * 1_000_000)
-    return _in_order(_calls(calls), "tenant", processor, _ADMITTED)
+                  delay_seconds: int = 600, step_seconds: int = 60, clock: DataFrame | None = None) -> DataFrame:
+    processor = SlidingLimiter(max_calls, window_seconds * SECOND, step_seconds * SECOND)
+    return _in_order(_calls(timed(calls, clock, delay_seconds)), "tenant", processor, _ADMITTED)
 
 
 def limit_fixed_window(calls: DataFrame, max_calls: int = fixed.MAX_RPM, window_seconds: int = fixed.RATE_WINDOW_SECONDS,
-                       delay_seconds: int = 600) -> DataFrame:
-    processor = FixedWindowLimiter(max_calls, window_seconds * 1_000_000, delay_seconds * 1_000_000)
-    return _in_order(_calls(calls), "tenant", processor, _ADMITTED)
+                       delay_seconds: int = 600, step_seconds: int = 60, clock: DataFrame | None = None) -> DataFrame:
+    processor = FixedWindowLimiter(max_calls, window_seconds * SECOND, step_seconds * SECOND)
+    return _in_order(_calls(timed(calls, clock, delay_seconds)), "tenant", processor, _ADMITTED)
+
+
+def track_phases(turns: DataFrame, skip: Column, delay_seconds: int = 600, step_seconds: int = 60,
+                 clock: DataFrame | None = None) -> DataFrame:
+    """I2; turns have a time ``ts``, which rises with ``turn`` inside a conversation."""
+    spoken = timed(turns.withColumn("_skip", F.coalesce(skip, F.lit(False))), clock, delay_seconds).filter(
+        (F.col("role") == "user") | F.col("role").isNull())
+    rows = spoken.select("conv_id", micros().alias("at"), F.when(F.col("role").isNotNull(), F.col("turn")).alias("name"), F.col("_skip").alias("flag"))
+    schema = "conv_id bigint, turn bigint, question_no int, phase int, late boolean"
+    return _in_order(rows, "conv_id", PhaseTracker(step_seconds * SECOND), schema)
+
+
+# --- windowed load ----------------------------------------------------------------------------
 
+LOAD = ["calls", "prompt_tokens", "failures"]
+#: The step of rows of the clock.
+NO_STEP = -(1 << 62)
 
-def track_phases(turns: DataFrame, skip, delay_turns: int = 20) -> DataFrame:
-    """I2; a conversation decides a turn once it has seen one ``delay_turns`` further on, or a heartbeat.
 
-    A heartbeat has a null role; its turn is the time that it moves on to.
+class WindowLoad(StatefulProcessor):
+    """Sums of the windows that begin in one step; out once when all of them are over.
+
+    What comes for a step that is out comes out as a correction to add to it.
     """
-    beat = F.col("role").isNull()
-    rows = turns.filter((F.col("role") == "user") | beat).select(
-        "conv_id", F.col("turn").alias("at"), F.when(~beat, F.col("turn")).alias("name"), F.coalesce(skip, F.lit(False)).alias("flag"))
-    schema = "conv_id bigint, turn bigint, question_no int, phase int, late boolean"
-    return _in_order(rows, "conv_id", PhaseTracker(delay_turns), schema)
+
+    def __init__(self, step: int, width: int):
+        self.step, self.width = step, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "windows array<struct<at: bigint, " + ", ".join(f"{c}: bigint" for c in LOAD) + ">>")
+
+    def rows(self, sums: pd.DataFrame, correction: bool) -> pd.DataFrame:
+        return sums.reset_index().astype("int64").assign(correction=correction)[["at", *LOAD, "correction"]]
+
+    def known(self) -> pd.DataFrame:
+        kept = [tuple(x) for x in self.sums.get()[0]] if self.sums.exists() else []
+        return pd.DataFrame(kept, columns=["at", *LOAD]).set_index("at")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == NO_STEP:
+            return
+        new = pd.concat([r.groupby("at")[LOAD].sum() for r in rows])
+        over = (key[0] + 1) * self.step + self.width
+        if over <= timerValues.getCurrentWatermarkInMs() * 1000 and not self.sums.exists():
+            yield self.rows(new.groupby("at").sum(), True)
+            return
+        if not self.sums.exists():
+            self.handle.registerTimer(over // 1000)
+        both = pd.concat([self.known(), new]).groupby("at").sum().astype("int64")
+        self.sums.update(([tuple(map(int, r)) for r in both.itertuples()],))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        sums = self.known()
+        self.sums.clear()
+        if len(sums):
+            yield self.rows(sums, False)
+
+    def close(self) -> None:
+        pass
+
+
+def load_stream(calls: DataFrame, width_seconds: int = 60, slide_seconds: int | None = None, delay_seconds: int = 600,
+                step_seconds: int = 3600, clock: DataFrame | None = None) -> DataFrame:
+    """U14 on a stream: calls, tokens and failures per window, with ``correction`` rows for what came too late.
+
+    A window's main row and its corrections add up to the batch form, whatever the order of the calls.
+    """
+    slide = slide_seconds or width_seconds
+    at = F.floor(micros() / (slide * SECOND)) * (slide * SECOND)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(width_seconds // slide - 1)), lambda k: at - k * slide * SECOND)
+    rows = timed(calls, clock, delay_seconds).select(
+        F.explode_outer(F.when(F.col("call_id").isNotNull(), starts)).alias("at"), F.lit(1).cast("long").alias("calls"),
+        F.coalesce("prompt_tokens", F.lit(0)).cast("long").alias("prompt_tokens"),
+        F.when(F.col("success"), 0).when(~F.col("success"), 1).otherwise(0).cast("long").alias("failures"))
+    step = F.coalesce(F.floor(F.col("at") / (step_seconds * SECOND)), F.lit(NO_STEP))
+    found = rows.withColumn("step", step).groupBy("step").transformWithStateInPandas(
+        statefulProcessor=WindowLoad(step_seconds * SECOND, width_seconds * SECOND),
+        outputStructType="at bigint, " + ", ".join(f"{c} bigint" for c in LOAD) + ", correction boolean",
+        outputMode="append", timeMode="eventTime")
+    return found.select(
+        F.timestamp_micros("at").alias("window_start"), F.timestamp_micros(F.col("at") + width_seconds * SECOND).alias("window_end"),
+        *LOAD, "correction")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitaespark.functions import dialog as D
 from vitaespark.functions import records as R
-from vitaespark.operators import documents, matching, metering
+from vitaespark.operators import documents, matching
 from vitaespark.session import shared_folder
 from vitaespark.sources import files
 from vitaespark.streaming import run, state
@@ -97,71 +97,85 @@ def sink_export(spark, d):
 
 # --- streams: each must equal its batch form ----------------------------------------------------
 
-#: Files that a stream's table is dealt over, in no order of time.
-FILES = 5
-def far():
-    return F.timestamp_seconds(F.lit(250_000_000_000))
+#: Pieces in which a stream's table arrives.
+PIECES = 4
+#: Seconds by which rows come out of order at most.
+DISORDER = 3 * DAY // 2
 
 
-def _shuffled(spark, d, table, key):
-    """A given table in several files of the shared folder, rows dealt by a hash: old and new ones come together."""
-    folder = shared_folder(spark, table)
-    df = derive.load(spark, d, table)
-    df.withColumn("_file", F.pmod(F.xxhash64(*key), F.lit(FILES))).repartition(FILES, "_file").drop("_file").write.parquet(folder)
-    return folder
+def _arrivals(df, seconds):
+    """A table in pieces by time, each row up to ``DISORDER`` too late: neighbouring pieces overlap by that much."""
+    spread = df.withColumn("_at", F.col("_second") + F.pmod(F.xxhash64(*df.columns), F.lit(seconds)))
+    low, high = spread.agg(F.min("_at"), F.max("_at")).first()
+    if low is None:
+        return [df.drop("_second")]
+    piece = F.floor((F.col("_at") - low) * PIECES / (high - low + 1))
+    return [spread.where(piece == k).drop("_at", "_second") for k in range(PIECES)]
 
 
-def _call_stream(spark, d):
-    return derive.as_frame(run.stream_table(spark, _shuffled(spark, d, "events", ["event_id"]), max_files=1), derive.CALL)
+def _call_arrivals(spark, d):
+    events = derive.load(spark, d, "events")
+    return _arrivals(events.withColumn("_second", F.unix_seconds(F.col("ts").cast("timestamp"))), DISORDER)
 
 
-def _load(slide=None):
-    return lambda calls: metering.load_per_window(calls, slide=slide)
+def _with_state_store(spark):
+    for key, value in state.STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
+def _called(rows):
+    return derive.as_frame(rows, derive.CALL)
+
+
+def _load(spark, d, purpose, delay, **options):
+    """Main rows and corrections, added up."""
+    _with_state_store(spark)
+    parts = run.run_arrivals(
+        _call_arrivals(spark, d), lambda rows, clock: state.load_stream(_called(rows), delay_seconds=delay, clock=clock, **options), purpose)
+    return _windows(parts.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in state.LOAD]))
 
 
 @query("stream_load_tumbling", ORACLES["load_tumbling"])
 def stream_load_tumbling(spark, d):
-    """U14 as a stream of shuffled files"""
-    return _windows(run.run_summing(_call_stream(spark, d), _load(), ["window_start", "window_end"], "load"))
+    """U14 as a stream of calls out of order; the delay covers an hour of it, the rest is corrections"""
+    return _load(spark, d, "load", 3600)
 
 
 @query("stream_load_sliding", ORACLES["load_sliding"])
 def stream_load_sliding(spark, d):
-    """U14 as a stream of shuffled files"""
-    return _windows(run.run_summing(_call_stream(spark, d), _load("10 seconds"), ["window_start", "window_end"], "load"))
-
-
-def _with_state_store(spark):
-    for key, value in state.STATE_STORE.items():
-        spark.conf.set(key, value)
+    """U14 as a stream of calls out of order within the delay"""
+    return _load(spark, d, "load", 2 * DAY, slide_seconds=10)
 
 
 def _limited(spark, d, limiter, purpose):
-    """The log spans a month, and its files are shuffled over all of it: rows are held back that long."""
+    """Calls come out of order by less than the delay; any that came later would be seen as ``late``."""
     _with_state_store(spark)
-    build = lambda rows: limiter(derive.as_frame(rows, derive.CALL), 2, DAY, delay_seconds=400 * DAY)
-    out = run.run_closed(spark, _shuffled(spark, d, "events", ["event_id"]), build, "user_id", {"ts": far()}, purpose, max_files=1)
-    return out.filter("not late").select("call_id", "tenant", "admitted")
+    return run.run_arrivals(_call_arrivals(spark, d), lambda rows, clock: limiter(
+        _called(rows), 2, DAY, delay_seconds=2 * DAY, step_seconds=DAY, clock=clock), purpose)
+
+
+def _with_late(name):
+    return f"SELECT *, false AS late FROM ({ORACLES[name]})"
 
 
-@query("stream_limit_sliding", ORACLES["limit_sliding"])
+@query("stream_limit_sliding", _with_late("limit_sliding"))
 def stream_limit_sliding(spark, d):
-    """U11 as a stream of shuffled files"""
+    """U11 as a stream of calls out of order"""
     return _limited(spark, d, state.limit_sliding, "sliding")
 
 
-@query("stream_limit_fixed_window", ORACLES["limit_fixed_window"])
+@query("stream_limit_fixed_window", _with_late("limit_fixed_window"))
 def stream_limit_fixed_window(spark, d):
-    """U12 as a stream of shuffled files"""
+    """U12 as a stream of calls out of order"""
     return _limited(spark, d, state.limit_fixed_window, "fixed")
 
 
-@query("stream_phases", ORACLES["dialog_phases"].replace("SELECT * FROM phased", "SELECT conv_id, turn, question_no, phase FROM phased"))
+@query("stream_phases", ORACLES["dialog_phases"].replace(
+    "SELECT * FROM phased", "SELECT conv_id, turn, question_no, phase, false AS late FROM phased"))
 def stream_phases(spark, d):
-    """I2 as a stream of shuffled files"""
+    """I2 as a stream of turns out of order: a turn a second"""
     _with_state_store(spark)
-    build = lambda rows: state.track_phases(
-        derive.as_frame(rows, derive.TURN), D.is_skip(F.col("said"), F.col("lang")), delay_turns=1 << 30)
-    folder = _shuffled(spark, d, "conversations", ["conv_id", "turn"])
-    phases = run.run_closed(spark, folder, build, "conv_id", {"turn": F.lit(1 << 40)}, "phases", max_files=1)
-    return phases.filter("not late").select("conv_id", "turn", "question_no", "phase")
+    turns = derive.load(spark, d, "conversations")
+    return run.run_arrivals(_arrivals(turns.withColumn("_second", F.col("turn")), 3), lambda rows, clock: state.track_phases(
+        derive.as_frame(rows, derive.TURN).withColumn("ts", F.timestamp_seconds("turn")), D.is_skip(F.col("said"), F.col("lang")),
+        delay_seconds=4, step_seconds=2, clock=clock), "phases")
