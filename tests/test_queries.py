@@ -43,3 +43,22 @@ def test_every_query_has_an_oracle():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_records_that_are_missing_lose_no_row(spark, tmp_path):
+    """Texts and conversations outnumber candidates: each still has its row."""
+    import os
+
+    from vitaespark import workload
+
+    for name in os.listdir(FOLDER):
+        if name not in ("customer.parquet", "orders.parquet"):
+            os.symlink(f"{FOLDER}/{name}", tmp_path / name)
+    spark.read.parquet(f"{FOLDER}/customer.parquet").where("c_custkey % 3 = 0").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_custkey % 2 = 0").write.parquet(str(tmp_path / "orders.parquet"))
+    report = workload.QUERIES["ground_report"](spark, str(tmp_path))
+    assert report.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert report.where("format_issues IS NULL").count() == 0
+    plan = workload.QUERIES["dialog_question_plan"](spark, str(tmp_path))
+    assert plan.count() == spark.read.parquet(f"{FOLDER}/conversations.parquet").where("role = 'user'").count()
+    assert plan.where("question IS NULL").count() == 0

@@ -50,8 +50,12 @@ def phase_rounds(phased: DataFrame) -> DataFrame:
     return phased.groupBy("conv_id", "phase").agg(F.count(F.lit(1)).alias("rounds"))
 
 
-def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh") -> DataFrame:
-    """I4: the question of every user turn; ``paired`` holds both records per conv_id."""
+def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh", heavy: DataFrame | None = None) -> DataFrame:
+    """I4: the question of every user turn; ``paired`` holds both records per conv_id.
+
+    A conversation without records gets the lines for when topics have run out.  ``heavy`` may name the
+    long conversations (``ordered.heavy_keys``), so that phases need not be worked out to find them.
+    """
     topics = paired.select(
         "conv_id",
         D.background_questions(F.col("education"), F.col("projects"), F.col("work_experience"), lang)
@@ -62,7 +66,7 @@ def question_plan(phased: DataFrame, paired: DataFrame, lang: str = "zh") -> Dat
     )
     question = D.question_for(*[F.col(c) for c in (
         "phase", "question_no", "round_no", "_background", "_competency", "_target")], lang)
-    return ordered.salted_join(phased, topics, "conv_id").withColumn("question", question).drop(
+    return ordered.salted_join(phased, topics, "conv_id", "left", heavy=heavy).withColumn("question", question).drop(
         "_background", "_competency", "_target")
 
 

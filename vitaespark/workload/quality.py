@@ -102,13 +102,13 @@ def ground_severity(spark, d):
     c AS (SELECT doc_id, count(*) AS n, bool_or(severity = 'block') AS blocked FROM claim_issues GROUP BY ALL)
     SELECT s.doc_id, cast(coalesce(f.n, 0) AS integer) AS format_issues, cast(coalesce(c.n, 0) AS integer) AS source_issues,
         CASE WHEN c.blocked THEN 'block' WHEN c.n > 0 THEN 'warning' ELSE 'pass' END AS severity, g.grounded_ratio
-    FROM s JOIN people p ON p.resume_id = s.doc_id LEFT JOIN f ON f.resume_id = s.doc_id LEFT JOIN c ON c.doc_id = s.doc_id
+    FROM s LEFT JOIN f ON f.resume_id = s.doc_id LEFT JOIN c ON c.doc_id = s.doc_id
     JOIN grounding g ON g.doc_id = s.doc_id""")
 def ground_report(spark, d):
-    """V9: the record of candidate n checked together with text n."""
+    """V9: the record of candidate n checked together with text n; a text without a record has no format issues."""
     records = derive.resumes(spark, d).select(
         F.col("resume_id").alias("doc_id"), V.record_issues(F.col("basic_info"), F.col("work_experience")).alias("format"))
     texts = generated(spark, d).select("doc_id", V.source_report(F.col("text"), F.col("source")).alias("source"))
-    return texts.join(records, "doc_id").select(
-        "doc_id", F.size("format").alias("format_issues"), F.size("source.issues").alias("source_issues"),
+    return texts.join(records, "doc_id", "left").select(
+        "doc_id", F.when(F.col("format").isNull(), 0).otherwise(F.size("format")).alias("format_issues"), F.size("source.issues").alias("source_issues"),
         "source.severity", "source.grounding.grounded_ratio")

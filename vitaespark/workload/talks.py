@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vitaespark import fixed
 from vitaespark.functions import dialog as D
-from vitaespark.operators import dialog, matching
+from vitaespark.operators import dialog, matching, ordered
 from vitaespark.workload import derive
 from vitaespark.workload.pairs import BASE
 from vitaespark.workload.registry import query
@@ -93,18 +93,20 @@ _CLOSING = " ".join(f"WHEN question_no <= {n} THEN replace({q(line)}, '{{target}
     SELECT x.conv_id, x.turn, x.phase, CASE x.phase WHEN 0 THEN {q(_TEXT['opening'])}
         WHEN 1 THEN coalesce(plan.question, {q(_TEXT['background_done'])}) WHEN 2 THEN coalesce(plan.question, {q(_TEXT['competency_done'])})
         ELSE CASE {_CLOSING} ELSE {q(_TEXT['closing'][3])} END END AS question
-    FROM (SELECT phased.*, coalesce(nullif(c.target_job, ''), nullif(p.position, ''), '该岗位') AS target FROM phased
-        JOIN seat USING (conv_id) JOIN postings p USING (jd_id) JOIN people c ON c.resume_id = conv_id) x
+    FROM (SELECT phased.*, coalesce(nullif(c.target_job, ''), nullif(p.position, ''), {q(_TEXT['no_target'])}) AS target FROM phased
+        LEFT JOIN seat USING (conv_id) LEFT JOIN postings p USING (jd_id)
+        LEFT JOIN people c ON c.resume_id = conv_id AND jd_id IS NOT NULL) x
     LEFT JOIN plan ON plan.conv_id = x.conv_id AND plan.phase = x.phase AND plan.round_no = x.round_no""")
 def dialog_question_plan(spark, d):
-    """I4: conversation n interviews candidate n for the first posting applied to."""
+    """I4: conversation n interviews candidate n for the first posting applied to; without one it gets the general questions."""
     turns = derive.turns(spark, d)
     seats = (
         derive.applications(spark, d).groupBy("resume_id").agg(F.min("jd_id").alias("jd_id"))
         .join(turns.select(F.col("conv_id").alias("resume_id")).distinct(), "resume_id", "left_semi")
     )
     records = matching.pair_records(seats, derive.postings(spark, d), derive.resumes(spark, d))
-    plan = dialog.question_plan(phased(spark, d), records.withColumn("conv_id", F.col("resume_id")), "en")
+    plan = dialog.question_plan(
+        phased(spark, d), records.withColumn("conv_id", F.col("resume_id")), "en", ordered.heavy_keys(turns, "conv_id"))
     return plan.select("conv_id", "turn", "phase", "question")
 
 
