@@ -191,6 +191,31 @@ def test_shared_passages_are_brute_force(frame):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
 
 
+def test_gear_cuts_move_only_near_an_insertion():
+    """The rolling value is the plain recursion's, chunks are short, and a word put in changes a few cuts around it."""
+    rng = random.Random(7)
+    norm = np.frombuffer(text_of(rng, 80).encode(), np.uint8)
+    h, want = 0, []
+    for byte in norm.tolist():
+        h = (2 * h + int(chunks.GEAR[byte])) % (1 << 16)
+        want.append(h)
+    assert chunks.gear(norm).tolist() == want
+    span = chunks.span_of(chunks.LEAST_WORDS)
+    for vocabulary in (3, 10 ** 6):
+        text = text_of(rng, 3000, vocabulary).split()
+        at = rng.randrange(500, 2500)
+
+        def cuts(own):
+            raw, offsets = arrays.utf8(pa.array([" ".join(own)]))
+            return chunks.Words(raw, offsets, chunks.LEAST_WORDS).cuts
+
+        before, after = cuts(text), cuts(text[:at] + ["new"] + text[at:])
+        assert max(np.diff(before)) <= span
+        assert set(before[before < at - span]) == set(after[after < at - span])
+        reach = at + span + chunks.REACH
+        assert set(before[before >= reach]) == set(after[after >= reach + 1] - 1)
+
+
 def brute_components(docs, size, percent):
     sets = {}
     for doc, text in docs:

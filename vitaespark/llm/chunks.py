@@ -1,11 +1,16 @@
 """Passages that several documents share, by content-defined chunks.
 
-A passage is a run of at least ``LEAST_WORDS`` words; white space between words does not count.  Of every
-run of that many words the shingle of about half of them with the least hash is selected, so two equal
-runs select the same one, whatever stands around them; a chunk begins at each selected word.  Selected
-shingles that occur in two documents or more are seeds only: each run that selected a seed is then
-looked up as a whole, word by word, and runs found in two documents or more are joined to passages.
-So the result does not depend on where chunks begin or with which copy a text is compared.
+A passage is a run of at least ``LEAST_WORDS`` words; white space between words does not count.  A gear
+hash rolls over the bytes of a text's words with one space between them; its value at the end of a word
+depends on the last 16 bytes alone.  A cut follows each word whose value is the least of some stretch of
+``SPAN`` words (of equal ones the first), so cuts follow from the text around them: an insertion moves
+the neighbouring ones only, and no chunk is longer than ``SPAN`` words.
+
+Chunks are deduplicated by digest; those of two documents or more are seeds.  Two documents with the same
+50 words cut them alike between the least value of their first and of their last ``SPAN`` words, so such a
+run is made of seeds there.  Only runs of which this holds are looked up as a whole, word by word, and runs
+found in two documents or more are joined to passages.  So the result depends neither on where chunks
+begin nor on which copy a text is compared with.
 """
 
 from collections.abc import Iterator
@@ -16,38 +21,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitaespark.llm.arrays import SPACED, mix, shingle_hashes, small_batches, steps, text_column, utf8, word_hashes, words, written
+from vitaespark.llm.arrays import SPACED, mix, small_batches, steps, text_column, utf8, word_hashes, words, written
 
 #: A repeated passage: so many words in a row.
 LEAST_WORDS = 50
 
+#: Bytes that the gear hash remembers: each step shifts its 16 bits by one.
+REACH = 16
+GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+STEP = np.uint64(0x9DDFEA08EB382D69)
+STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
+
 CHUNKS = "doc_id long, row long, start int, end int, words int, at int, digest long"
 RUNS = "doc_id long, tag long, start int, end int, at int, digest long"
 #: Stands for a missing id while ids are compared.
 NO_ID = -(1 << 62)
 
 
+def span_of(least: int) -> int:
+    """Words of the stretch that has a cut: two of them fit into the words whose gear values a run of ``least`` words fixes."""
+    fixed = least - REACH // 2  # words of one letter and a space each take longest to fill the hash
+    return max(1, fixed // 2)
+
+
+def gear(norm: np.ndarray) -> np.ndarray:
+    """The rolling hash ``h = 2 h + GEAR[byte]`` of 16 bits at every byte, by doubling the bytes it has seen."""
+    value = GEAR[norm]
+    seen = 1
+    while seen < REACH:
+        more = value.copy()
+        more[seen:] += value[:-seen] << np.uint16(seen)
+        value, seen = more, 2 * seen
+    return value
+
+
 class Words:
-    """Words of some texts end to end, their shingles, and which shingle each run of ``least`` words selects."""
+    """Words of some texts end to end, with the cuts after some of them."""
 
     def __init__(self, data: np.ndarray, own: np.ndarray, least: int):
+        self.least, self.span = least, span_of(least)
         self.begin, self.end, self.first = words(data, own, SPACED)
-        size = (least + 1) // 2
+        n = len(self.begin)
         self.doc = np.repeat(np.arange(len(own) - 1), np.diff(self.first))
-        n = max(0, len(self.begin) - least + 1)
-        runs = np.flatnonzero(self.doc[:n] == self.doc[least - 1:])
-        self.runs, self.selected = runs, np.zeros(0, np.int64)
-        if not len(runs):
+        self.cuts = self.picked = np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            powers = np.full(n + 1, STEP)
+            powers[0] = 1
+            self.powers = np.multiply.accumulate(powers)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(data, self.begin, self.end) * self.powers[:n])])
+            powers[1:] = STEP_BACK
+            self.back = np.multiply.accumulate(powers)
+        # each word's last byte where words stand one space apart
+        self.stop = np.cumsum(self.end - self.begin + 1)
+        if n < self.span:
             return
-        self.shingles = shingle_hashes(word_hashes(data, self.begin, self.end), size)
-        # of equal hashes the first one, so that the choice follows from the run's words alone
-        choice = np.lib.stride_tricks.sliding_window_view(self.shingles, least - size + 1).argmin(1)
-        self.selected = runs + choice[runs]
-
-    def run_hashes(self, runs: np.ndarray, least: int) -> np.ndarray:
-        """A hash of all words of each run, by its first and its last shingle."""
+        inside = np.ones(self.stop[-1], bool)
+        inside[self.stop - 1] = False
+        norm = np.full(self.stop[-1], 0x20, np.uint8)
+        norm[inside] = data[SPACED[data]]
+        value = gear(norm)[self.stop - 2]
+        opens = np.concatenate([[0], self.stop])[self.first[self.doc]]
+        value[self.stop - 1 - opens < REACH] = np.iinfo(np.uint16).max
+        self.picked = np.arange(n - self.span + 1) + np.lib.stride_tricks.sliding_window_view(value, self.span).argmin(1)
+        self.cuts = np.unique(self.picked[self.doc[:n - self.span + 1] == self.doc[self.span - 1:]])
+
+    def digest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A hash of the words from a to before b, and of how many they are."""
         with np.errstate(over="ignore"):
-            return mix(self.shingles[runs] * np.uint64(0x9DDFEA08EB382D69) + self.shingles[runs + least - (least + 1) // 2])
+            return mix((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word of each chunk, and the word after its last; cuts and ends of documents end one."""
+        ends = np.union1d(self.cuts + 1, self.first[1:][np.diff(self.first) > 0])
+        return np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends, ends
+
+    def candidates(self, seed: np.ndarray) -> np.ndarray:
+        """Runs of ``least`` words that are made of seeds wherever their own words alone fix the cuts.
+
+        ``seed`` tells for each chunk whether another document has it.
+        """
+        n, least = len(self.begin), self.least
+        runs = np.flatnonzero(self.doc[:max(0, n - least + 1)] == self.doc[least - 1:])
+        begin = np.concatenate([[0], self.stop])[runs]
+        fixed = np.searchsorted(self.stop - 1, begin + REACH)  # the first word at whose end the hash holds nothing older
+        low, high = self.picked[fixed], self.picked[runs + least - self.span]
+        _, ends = self.chunks()
+        foreign = np.concatenate([[0], np.cumsum(~seed)])
+        return runs[foreign[np.searchsorted(ends, high + 1) + 1] == foreign[np.searchsorted(ends, low + 1) + 1]]
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
@@ -62,10 +122,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def chunk(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All chunks of all documents: place in code points, words that begin there, and the selected shingle.
+    """All chunks of all documents: place in code points, number of words, first word, digest.
 
-    ``at`` is the number of the shingle's first word, where the chunk begins; the first chunk begins with
-    its text.  Texts of fewer words are one chunk without a shingle.
+    White space after a chunk's last word belongs to it, and that before the first word to the first chunk.
+    A text of white space alone is one chunk without a digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,37 +133,32 @@ def chunk(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             raw, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
                 data, own = raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                if not len(data):
-                    continue
                 found = Words(data, own, least_words)
-                picks = np.unique(found.selected)
-                # a text without runs has a chunk without a shingle
-                bare = np.setdiff1d(np.flatnonzero(np.diff(own)), found.doc[picks])
-                owner = np.concatenate([found.doc[picks], bare])
-                order = np.argsort(owner, kind="stable")
-                owner, pick = owner[order], np.concatenate([picks, np.full(len(bare), -1)])[order]
-                opens = np.concatenate([[True], owner[1:] != owner[:-1]])
-                begin = own[owner]
-                begin[~opens] = found.begin[pick[~opens]]
-                end = np.where(np.concatenate([opens[1:], [True]]), own[owner + 1], np.concatenate([begin[1:], [0]]))
-                chars, zero = code_points(data), own[owner]
-                digest = np.zeros(len(owner), np.uint64)
-                digest[pick >= 0] = found.shingles[pick[pick >= 0]] if len(picks) else 0
-                numbers = [chars[begin] - chars[zero], chars[end] - chars[zero],
-                           np.searchsorted(found.begin, end) - np.searchsorted(found.begin, begin), pick - found.first[owner]]
+                (low, high), chars = found.chunks(), code_points(data)
+                bare = np.flatnonzero((np.diff(own) > 0) & (np.diff(found.first) == 0))
+                if len(bare):
+                    whole, no = pa.array((chars[own[bare + 1]] - chars[own[bare]]).astype(np.int32)), pa.nulls(len(bare), pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        *(batch.column(k).slice(a, b - a).take(pa.array(bare)) for k in (0, 1)),
+                        pa.array(np.zeros(len(bare), np.int32)), whole, pa.array(np.zeros(len(bare), np.int32)), no, no.cast(pa.int64())],
+                        ["doc_id", "row", "start", "end", "words", "at", "digest"])
+                if not len(low):
+                    continue
+                owner = found.doc[low]
+                begin = np.where(low == found.first[owner], own[owner], found.begin[low])
+                end = np.where(high == found.first[owner + 1], own[owner + 1], found.begin[np.minimum(high, len(found.begin) - 1)])
+                numbers = [chars[begin] - chars[own[owner]], chars[end] - chars[own[owner]], high - low, low - found.first[owner]]
                 at = pa.array(owner)
-                start, stop, n, place = (x.astype(np.int32) for x in numbers)
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(k).slice(a, b - a).take(at) for k in (0, 1)), pa.array(start), pa.array(stop), pa.array(n),
-                    pa.array(place, mask=pick < 0), pa.array(digest.view(np.int64), mask=pick < 0)],
-                    ["doc_id", "row", "start", "end", "words", "at", "digest"])
+                    *(batch.column(k).slice(a, b - a).take(at) for k in (0, 1)), *(pa.array(x.astype(np.int32)) for x in numbers),
+                    pa.array(found.digest(low, high).view(np.int64))], ["doc_id", "row", "start", "end", "words", "at", "digest"])
 
     small_batches(docs.sparkSession)
     return keyed(docs).mapInArrow(run, CHUNKS)
 
 
 def seeded_runs(docs: DataFrame, lists: DataFrame, least_words: int) -> DataFrame:
-    """All runs of so many words that selected a seed; lists are (row, tag, places of seeds)."""
+    """All candidate runs of the documents of ``lists`` (row, tag, first words of the chunks that are seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,24 +167,22 @@ def seeded_runs(docs: DataFrame, lists: DataFrame, least_words: int) -> DataFram
             for a, b in steps(offsets):
                 data, own = raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
                 found = Words(data, own, least_words)
-                if not len(found.runs):
-                    continue
                 mine = places_of.slice(a, b - a)
                 places = mine.flatten().to_numpy(zero_copy_only=False)
-                seed = np.zeros(len(found.begin), bool)
+                seed = np.zeros(len(found.begin) + 1, bool)
                 seed[places + np.repeat(found.first[:-1], mine.value_lengths().to_numpy(zero_copy_only=False))] = True
-                runs = found.runs[seed[found.selected]]
+                runs = found.candidates(seed[found.chunks()[0]])
+                if not len(runs):
+                    continue
                 owner, chars = found.doc[runs], code_points(data)
                 zero, at = chars[own[owner]], pa.array(owner)
+                numbers = [chars[found.begin[runs]] - zero, chars[found.end[runs + least_words - 1]] - zero, runs - found.first[owner]]
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(k).slice(a, b - a).take(at) for k in (0, 1)),
-                    pa.array((chars[found.begin[runs]] - zero).astype(np.int32)),
-                    pa.array((chars[found.end[runs + least_words - 1]] - zero).astype(np.int32)),
-                    pa.array((runs - found.first[owner]).astype(np.int32)),
-                    pa.array(found.run_hashes(runs, least_words).view(np.int64))], ["doc_id", "tag", "start", "end", "at", "digest"])
+                    *(batch.column(k).slice(a, b - a).take(at) for k in (0, 1)), *(pa.array(x.astype(np.int32)) for x in numbers),
+                    pa.array(found.digest(runs, runs + least_words).view(np.int64))], ["doc_id", "tag", "start", "end", "at", "digest"])
 
     small_batches(docs.sparkSession)
-    return keyed(docs).join(lists.hint("shuffle_hash"), "row").select("doc_id", "tag", "text", "places").mapInArrow(run, RUNS)
+    return keyed(docs).join(lists.hint("shuffle_hash"), "row").select("doc_id", "tag", "text", "seeds").mapInArrow(run, RUNS)
 
 
 def shared(found: DataFrame) -> DataFrame:
@@ -149,10 +202,11 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Further columns are not read.
     """
     cut = written(chunk(docs, least_words).where("digest is not null").select("doc_id", "row", "at", "digest"), "chunks")
-    lists = cut.join(shared(cut), "digest").groupBy("doc_id", "row").agg(F.collect_set("at").alias("places"))
     # rows of one id are told apart by their hash; where an id has one row, the hash is left out of the shuffles to come
-    several = cut.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("doc_id", F.lit(True).alias("several"))
-    lists = lists.join(several, "doc_id", "left").select("row", F.when(F.col("several"), F.col("row")).otherwise(0).alias("tag"), "places")
+    rows = cut.where("at = 0").select("doc_id", "row").distinct()
+    several = rows.join(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id").select("row", F.col("row").alias("tag"))
+    seeds = cut.select("row", "at", "digest").join(shared(cut), "digest").groupBy("row").agg(F.collect_set("at").alias("seeds"))
+    lists = seeds.join(several, "row", "left").select("row", F.coalesce("tag", F.lit(0).cast("long")).alias("tag"), "seeds")
     runs = written(seeded_runs(docs, lists, least_words), "runs")
     found = runs.join(shared(runs), "digest")
     order = Window.partitionBy("doc_id", "tag").orderBy("at")
