@@ -182,8 +182,9 @@ def match_enrich(spark, d):
 @query("match_append_direct", f"""WITH {BASE}
     SELECT a.jd_id, a.resume_id, concat_ws('|', list_skill_1, list_skill_2, list_skill_3,
         CASE WHEN p.position <> '' THEN p.position END) AS skills,
-        cast(coalesce(h.n_projects, 0) + CASE WHEN p.position <> '' THEN 1 ELSE 0 END AS integer) AS n_projects
-    FROM apps a JOIN people c USING (resume_id) JOIN postings p USING (jd_id) LEFT JOIN history h USING (resume_id)""")
+        concat_ws('|', (SELECT string_agg('Project ' || order_key, '|' ORDER BY pos) FROM jobs j WHERE j.resume_id = a.resume_id AND is_project),
+            CASE WHEN p.position <> '' THEN p.company END) AS projects
+    FROM apps a JOIN people c USING (resume_id) JOIN postings p USING (jd_id)""")
 def match_append_direct(spark, d):
     """G13"""
     pairs = paired(spark, d)
@@ -192,7 +193,7 @@ def match_append_direct(spark, d):
         "array(named_struct('name', company, 'description', '', 'results', '', 'source_index',"
         " cast(array() AS array<int>))) AS new_projects")
     return matching.append_direct(pairs, extra).select(
-        "jd_id", "resume_id", F.array_join("skills.name", "|").alias("skills"), F.size("projects").alias("n_projects"))
+        "jd_id", "resume_id", F.array_join("skills.name", "|").alias("skills"), F.array_join("projects.name", "|").alias("projects"))
 
 
 # --- ranking and tailoring -----------------------------------------------------------------
@@ -214,11 +215,13 @@ def match_skills_matched(spark, d):
         F.array_join(M.skills_missing(F.col("hard_words"), names), "|").alias("jd_missing"))
 
 
-@query("match_text_report", f"""WITH {BASE},
-    whole AS (SELECT resume_id, lower(concat_ws({NL}, name, phone, email, city, target_job, expect_salary,
+_WHOLE = f"""SELECT resume_id, lower(concat_ws({NL}, name, phone, email, city, target_job, expect_salary,
         concat_ws({NL}, school, major, degree, '2010.9', '2014.6'), coalesce(h.body, {NL}),
         concat_ws({NL}, list_skill_1, list_skill_2, list_skill_3), certificate, language)) AS body
-        FROM people LEFT JOIN history h USING (resume_id)),
+        FROM people LEFT JOIN history h USING (resume_id)"""
+
+
+@query("match_text_report", f"""WITH {BASE}, whole AS ({_WHOLE}),
     hits AS (SELECT a.jd_id, a.resume_id, s.k, s.skill, contains(w.body, lower(s.skill)) AS hit
         FROM apps a JOIN jd_hard s USING (jd_id) JOIN whole w USING (resume_id))
     SELECT jd_id, resume_id, coalesce(string_agg(skill, '|' ORDER BY k) FILTER (hit), '无匹配技能') AS matched,
@@ -279,7 +282,8 @@ _PERIOD = "concat_ws(' - ', nullif(start_date, ''), nullif(end_date, ''))"
 
 @query("match_preview", f"""WITH {BASE}, {_SCORED}
     SELECT jd_id, resume_id, string_agg(company || '/' || {_PERIOD} || '/' || duties, '|' ORDER BY rn) FILTER (rn <= 6) AS desktop,
-        string_agg(company, '|' ORDER BY rn) FILTER (rn <= 3) AS mobile FROM ranked GROUP BY ALL""")
+        string_agg(company, '|' ORDER BY rn) FILTER (rn <= 3) AS mobile, any_value(school || '/' || degree) AS schools
+    FROM ranked JOIN people USING (resume_id) GROUP BY ALL""")
 def match_preview(spark, d):
     """R5"""
     rows = matching.tailor(paired(spark, d)).filter(F.size("experience") > 0)
@@ -287,7 +291,8 @@ def match_preview(spark, d):
         j["company"], F.lit("/"), j["period"], F.lit("/"), F.array_join(j["bullets"], ",")))
     return rows.select(
         "jd_id", "resume_id", F.array_join(shown, "|").alias("desktop"),
-        F.array_join(F.transform(M.preview_jobs(F.col("experience"), "mobile"), lambda j: j["company"]), "|").alias("mobile"))
+        F.array_join(F.transform(M.preview_jobs(F.col("experience"), "mobile"), lambda j: j["company"]), "|").alias("mobile"),
+        F.array_join(F.transform(M.preview_schools(F.col("education")), lambda e: F.concat_ws("/", e["school"], e["degree"])), "|").alias("schools"))
 
 
 @query("match_summary", f"""WITH {BASE}, {_MATCHED}
@@ -345,18 +350,39 @@ def match_request_payload(spark, d):
     return paired(spark, d).select("jd_id", "resume_id", M.request_payload().alias("payload"))
 
 
-@query("tailor_export", f"""WITH {BASE}, {_MATCHED}
+_EXPORT = f"""WITH {BASE}, {_MATCHED}, {_SCORED},
+    own AS (SELECT jd_id, resume_id, coalesce(list(skill ORDER BY k) FILTER (hit), []) AS yes,
+        coalesce(list(skill ORDER BY k) FILTER (NOT hit), []) AS no FROM hits GROUP BY ALL),
+    found AS (SELECT a.jd_id, a.resume_id, s.k, s.skill, contains(w.body, lower(s.skill)) AS hit
+        FROM apps a JOIN jd_hard s USING (jd_id) JOIN ({_WHOLE}) w USING (resume_id)),
+    analysis AS (SELECT jd_id, resume_id, to_json({{'matched': coalesce(list(skill ORDER BY k) FILTER (hit), ['无匹配技能']),
+        'missing': coalesce(list(skill ORDER BY k) FILTER (NOT hit), ['无缺失'])}}) AS j FROM found GROUP BY ALL),
+    lived AS (SELECT jd_id, resume_id, to_json(list({{'company': coalesce(company, ''), 'position': coalesce(position, ''), 'period': {_PERIOD},
+        'bullets': CASE WHEN coalesce(duties, '') = '' THEN [] ELSE [duties] END, 'jd_relevance': CASE WHEN hit THEN '高' ELSE '中' END,
+        'source_index': []::integer[]}} ORDER BY rn)) AS j FROM ranked GROUP BY ALL),
+    said AS (SELECT a.jd_id, a.resume_id, {_intro_sql('zh')[0]} AS zh, {_intro_sql('en')[0]} AS en
+        FROM apps a JOIN people c USING (resume_id) LEFT JOIN ranked r ON r.jd_id = a.jd_id AND r.resume_id = a.resume_id AND r.rn = 1),
+    intro AS (SELECT jd_id, resume_id, {_intro_sql('zh')[1]}, {_intro_sql('en')[1]} FROM said),
+    speech AS (SELECT jd_id, resume_id, to_json({{'zh': {{'text': zh, 'estimated_seconds': zh_seconds, 'char_count': length(zh)}},
+        'en': {{'text': en, 'estimated_seconds': en_seconds, 'char_count': length(en)}}}}) AS j FROM intro)
     SELECT m.jd_id, m.resume_id, cast(k.pos AS integer) AS pos, k.title, CASE k.pos WHEN 0 THEN cast(to_json({{'name': coalesce(c.name, ''),
         'phone': coalesce(c.phone, ''), 'email': coalesce(c.email, ''), 'city': coalesce(c.city, ''),
         'target_job': coalesce(c.target_job, ''), 'salary': coalesce(c.expect_salary, '')}}) AS string)
-        WHEN 2 THEN cast(to_json([{{'school': school, 'major': major, 'degree': degree, 'period': '2010.9 - 2014.6'}}]) AS string) END
-        AS content
-    FROM matched m JOIN people c USING (resume_id)
-    CROSS JOIN (VALUES (0, '基本信息'), (1, '个人概述'), (2, '教育经历'), (3, '工作经历'), (4, '技能证书')) k(pos, title)""")
+        WHEN 1 THEN coalesce(nullif(c.name, ''), '求职者') || '，' || coalesce(h.n_jobs, 0) || '+年经验，' || shown || '等技能匹配JD要求。'
+        WHEN 2 THEN cast(to_json([{{'school': school, 'major': major, 'degree': degree, 'period': '2010.9 - 2014.6'}}]) AS string)
+        WHEN 3 THEN cast(lived.j AS string)
+        ELSE cast(to_json({{'technical': list_filter([list_skill_1, list_skill_2, list_skill_3], lambda x: x <> '' AND x NOT IN {_STOP}),
+        'languages': [c.language], 'certificates': [c.certificate], 'jd_matched': own.yes, 'jd_missing': own.no}}) AS string) END AS content,
+        cast(speech.j AS string) AS self_intro, cast(analysis.j AS string) AS jd_analysis
+    FROM matched m JOIN people c USING (resume_id) LEFT JOIN history h USING (resume_id) JOIN own USING (jd_id, resume_id)
+    JOIN analysis USING (jd_id, resume_id) JOIN lived USING (jd_id, resume_id) JOIN speech USING (jd_id, resume_id)
+    CROSS JOIN (VALUES (0, '基本信息'), (1, '个人概述'), (2, '教育经历'), (3, '工作经历'), (4, '技能证书')) k(pos, title)"""
+
+
+@query("tailor_export", _EXPORT)
 def tailor_export(spark, d):
-    """Contents of the personal and education sections are compared."""
-    rows = matching.export_rows(matching.tailor(paired(spark, d)))
-    return rows.select("jd_id", "resume_id", "pos", "title", F.when(F.col("pos").isin(0, 2), F.col("content")).alias("content"))
+    """Every section with its content, both introductions and the analysis."""
+    return matching.export_rows(matching.tailor(paired(spark, d)))
 
 
 # --- records -----------------------------------------------------------------------------------
