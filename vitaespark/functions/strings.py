@@ -49,13 +49,6 @@ def regex_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    test = F.lit(False)
-    for word in words:
-        test = test | F.contains(text, F.lit(word))
-    return test
-
-
 def fold_case(text: Column) -> Column:
     """Lower case, with the two look-alike letters that case-blind matching folds to s and i."""
     return F.lower(F.translate(text, "\u017f\u0131\u0130", "sii"))

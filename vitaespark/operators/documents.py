@@ -18,11 +18,6 @@ def normalize(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, T.normalize_text(F.col(text)))
 
 
-def keep_meaningful(df: DataFrame, text: str = "text") -> DataFrame:
-    """T2 as a filter."""
-    return df.filter(T.is_meaningful(F.col(text)))
-
-
 def explode_lines(df: DataFrame, keys: list[str], text: str = "text", strip: bool = False) -> DataFrame:
     """One row per line with its 0-based number."""
     source = trimmed(F.col(text)) if strip else F.col(text)
