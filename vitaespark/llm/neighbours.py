@@ -1,8 +1,8 @@
 """Quality of documents by votes of their nearest labelled neighbours in a latent-semantic space.
 
 Terms are hashed character trigrams, shapes of words, and words that repeat their predecessor.
-A bounded sample of labelled documents gives idf weights and a truncated singular value decomposition;
-the sample's vectors (its size is a parameter) go to every task, which takes exact cosine products of
+A bounded sample of labelled documents gives idf weights and a truncated singular value decomposition,
+by power steps over the sample's parts in the tasks; the sample's vectors (its size is a parameter) go to every task, which takes exact cosine products of
 its documents with all of them, block by block.
 """
 
@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaespark.llm.arrays import LOWER, SPACED, mix, small_batches, steps, text_column, utf8, word_hashes, words
+from vitaespark.llm.arrays import LOWER, SPACED, small_batches, steps, text_column, utf8, word_hashes, words, written
 
 #: Labelled documents of each class that are fitted and sent to the tasks, at most.
 SAMPLE_PER_CLASS = 3000
 TRIGRAMS, SHAPES, REPEATS = 3072, 960, 64
 TERMS = TRIGRAMS + SHAPES + REPEATS
 RANK = 64
+#: Tasks that add up products over the sample: so many matrices come to the driver in a step.
+SAMPLE_TASKS = 8
 NEIGHBOURS = 15
 BLOCK = 256
 
@@ -69,26 +71,15 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Space:
     """Weights and axes of the latent space, and the labelled vectors in it."""
 
-    def __init__(self, counts: np.ndarray, good: np.ndarray, priors: tuple[float, float], rank: int = RANK):
-        blocks = range(0, len(counts), BLOCK)  # the sample's matrix is weighed in blocks: only one full copy of it
-        having = sum((counts[k:k + BLOCK] > 0).sum(axis=0) for k in blocks)
-        self.idf = np.log((1 + len(counts)) / (1 + having)).astype(np.float32) + 1
-        weighted = np.empty(counts.shape, np.float32)
-        for k in blocks:
-            weighted[k:k + BLOCK] = self.weigh(counts[k:k + BLOCK])
-        rng = np.random.default_rng(0)
-        rank = min(rank, *weighted.shape)
-        basis = rng.standard_normal((weighted.shape[1], rank + 8)).astype(np.float32)
-        for _ in range(4):
-            basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-        _, _, axes = np.linalg.svd(weighted @ basis, full_matrices=False)
-        self.axes = (basis @ axes.T[:, :rank]).astype(np.float32)
-        self.vectors = self.project(weighted)
-        # the sample may hold a class more often than all labels do: votes are brought back
+    def __init__(self, idf: np.ndarray, axes: np.ndarray, prior: float):
+        self.idf, self.axes, self.prior = idf, axes, prior
+        self.vectors, self.votes = np.zeros((0, axes.shape[1]), np.float32), np.zeros((2, 0), np.float32)
+
+    def hold(self, vectors: np.ndarray, good: np.ndarray, priors: tuple[float, float]) -> None:
+        """Take the sample's vectors; it may hold a class more often than all labels do, so votes are brought back."""
         share = max(1e-9, float(good.mean()))
         weight = np.where(good == 1, priors[1] / share, priors[0] / max(1e-9, 1 - share))
-        self.votes = np.stack([weight * good, weight]).astype(np.float32)
-        self.prior = priors[1]
+        self.vectors, self.votes = vectors, np.stack([weight * good, weight]).astype(np.float32)
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         weighted = np.log1p(counts.astype(np.float32)) * self.idf
@@ -111,11 +102,27 @@ class Space:
         return np.clip(good / every, 0, 1).astype(np.float64)
 
 
+def _summed(sample: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of ``part(counts)`` over the sample's blocks: tasks add up theirs, the driver gets one matrix a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                total = (0 if total is None else total) + part(np.frombuffer(b"".join(batch.column(0).slice(a, BLOCK).to_pylist()), "<u2").reshape(-1, TERMS))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()])], ["total"])
+
+    parts = sample.select("counts").coalesce(SAMPLE_TASKS).mapInArrow(run, "total binary").toArrow()
+    return sum((np.frombuffer(p.as_py(), np.float64).reshape(shape) for p in parts.column("total")), np.zeros(shape))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Space | None:
     """A space fitted on at most ``per_class`` documents of each label, picked by a hash of their id.
 
-    Repeated labels of one document count once, as the lower one; missing ones not at all.  Without
-    any labelled document there is no space.
+    The sample's term counts stay with the tasks: the axes come from power steps, of which the driver
+    sees products of the size of the axes only.  Repeated labels of one document count once, as the
+    lower one; missing ones not at all.  Without any labelled document there is no space.
     """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -123,29 +130,64 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     sizes = {r[0]: r[1] for r in known.groupBy("good").count().collect()}
     if not sizes:
         return None
-    picked = {}
+    picked = []
     for good in sorted(sizes):
         rows = known.where(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
-        picked |= {r.doc_id: r.good for r in rows}
+        picked += [(r.doc_id, r.good) for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(2))
             for a in range(0, batch.num_rows, BLOCK):
                 b = min(a + BLOCK, batch.num_rows)
                 counts = term_counts(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in counts])],
-                    ["doc_id", "counts"])
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in counts])],
+                    ["doc_id", "good", "counts"])
 
-    ids = docs.sparkSession.createDataFrame([(k,) for k in picked], "doc_id long")  # at most 2 * per_class ids
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, good int")  # at most 2 * per_class ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, counts binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    if not rows:
+    sample = texts.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good int, counts binary")
+    # of several texts with one id the one whose counts sort first
+    sample = sample.groupBy("doc_id", "good").agg(F.min("counts").alias("counts"))
+    sample = written(sample, "labelled-sample")
+    size = sample.count()
+    if not size:
         return None
-    counts = np.frombuffer(b"".join(r.counts for r in rows), "<u2").reshape(len(rows), TERMS)
+    having = _summed(sample, lambda counts: (counts > 0).sum(axis=0), (TERMS,))
     total = sum(sizes.values())
-    return Space(counts, np.array([picked[r.doc_id] for r in rows]), (sizes.get(0, 0) / total, sizes.get(1, 0) / total))
+    priors = sizes.get(0, 0) / total, sizes.get(1, 0) / total
+    rank = min(RANK, size, TERMS)
+    basis = np.random.default_rng(0).standard_normal((TERMS, rank + 8)).astype(np.float32)
+    space = Space((np.log((1 + size) / (1 + having)) + 1).astype(np.float32), basis, priors[1])
+    weigh = space.weigh  # bound to the weights, which stay as they are
+
+    def product(counts: np.ndarray) -> np.ndarray:
+        weighted = weigh(counts)
+        return weighted.T @ (weighted @ basis)
+
+    def gram(counts: np.ndarray) -> np.ndarray:
+        along = weigh(counts) @ basis
+        return along.T @ along
+
+    for _ in range(4):
+        basis, _ = np.linalg.qr(_summed(sample, product, basis.shape))
+        basis = basis.astype(np.float32)
+    _, turn = np.linalg.eigh(_summed(sample, gram, (basis.shape[1],) * 2))
+    space = Space(space.idf, (basis @ turn[:, ::-1][:, :rank]).astype(np.float32), priors[1])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                counts = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, TERMS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([v.tobytes() for v in space.project(space.weigh(counts))])], ["doc_id", "good", "vector"])
+
+    held = sample.mapInArrow(project, "doc_id long, good int, vector binary").toArrow().sort_by("doc_id")
+    vectors = np.frombuffer(b"".join(held.column("vector").to_pylist()), np.float32).reshape(size, -1)
+    space.hold(vectors, held.column("good").to_numpy(), priors)
+    return space
 
 
 def score(docs: DataFrame, space: Space | None) -> DataFrame:
