@@ -115,8 +115,8 @@ def frequent_cells(classes: DataFrame) -> np.ndarray:
 
     counted = classes.select("signature").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(CELLS, np.int32)
-    rows = counted.toPandas()  # at most CELLS rows
-    out[rows["cell"]] = np.minimum(rows["n"], 1 << 30)
+    rows = counted.toArrow()  # at most CELLS rows, as columns
+    out[rows.column("cell").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 1 << 30)
     return out
 
 
@@ -152,9 +152,10 @@ def of_members(docs: DataFrame, ids: DataFrame, size: int, encode, column: str)
             word, mask = filter_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
 
-    rows = ids.distinct().mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # FILTER_WORDS rows at most
+    rows = ids.distinct().mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    rows = rows.toArrow()  # FILTER_WORDS rows at most, as columns
     wanted = np.zeros(FILTER_WORDS, np.uint64)
-    wanted[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    wanted[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
