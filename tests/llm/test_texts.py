@@ -160,18 +160,8 @@ def test_shared_passages(frame):
         assert "".join((text or "")[a:b] for a, b in own) == (text or "")
 
 
-def test_shared_passages_are_brute_force(frame):
-    """Runs of 50 to 60 words at many places, of short words and of few, and passages of which the first copy has a part."""
-    rng = random.Random(11)
-    docs = [(k, text_of(rng, rng.randrange(1, 90), 10 ** 6)) for k in range(20)]
-    for k in range(150):
-        size, vocabulary = rng.choice([48, 49, 50, 51, 52, 55, 60]), rng.choice([2, 3, 400, 10 ** 6])
-        passage = text_of(rng, size, vocabulary) if k % 3 else " ".join(rng.choice("abc") for _ in range(size))
-        docs += [(100 + 2 * k + i, " \n".join([text_of(rng, rng.randrange(1, 40), 10 ** 6), passage, text_of(rng, rng.randrange(1, 40), 10 ** 6)])) for i in (0, 1)]
-    long = text_of(rng, 80, 10 ** 6).split()
-    docs += [(50 + i, " ".join(long[a:b] + [f"z{i}"] * i)) for i, (a, b) in enumerate([(20, 50), (0, 70), (10, 80)])]
-    docs += [(60 + i, " ".join(["p", "q", "r"] * n)[2 * i:] + f" é{i}") for i, n in enumerate([30, 40, 50])]
-    docs += [(70, f"{docs[0][1]} {docs[1][1]}"), (70, text_of(rng, 60)), (None, docs[3][1]), (None, docs[3][1])]
+def brute_passages(docs):
+    """Every passage by its runs of 50 words, looked up one by one."""
     own = {n: [m.span() for m in SPACED.finditer(t)] for n, (_, t) in enumerate(docs)}
     runs = {}
     for n, (doc, t) in enumerate(docs):
@@ -187,10 +177,45 @@ def test_shared_passages_are_brute_force(frame):
         for a in sorted(x for x in at if x - 1 not in at):
             b = next(x for x in range(a, len(own[n]) + 1) if x not in at)
             want.add((docs[n][0], own[n][a][0], own[n][b - 1][1], b - a))
+    return want
+
+
+def test_shared_passages_are_brute_force(frame):
+    """Runs of 50 to 60 words at many places, of short words and of few, and passages of which the first copy has a part."""
+    rng = random.Random(11)
+    docs = [(k, text_of(rng, rng.randrange(1, 90), 10 ** 6)) for k in range(20)]
+    for k in range(150):
+        size, vocabulary = rng.choice([48, 49, 50, 51, 52, 55, 60]), rng.choice([2, 3, 400, 10 ** 6])
+        passage = text_of(rng, size, vocabulary) if k % 3 else " ".join(rng.choice("abc") for _ in range(size))
+        docs += [(100 + 2 * k + i, " \n".join([text_of(rng, rng.randrange(1, 40), 10 ** 6), passage, text_of(rng, rng.randrange(1, 40), 10 ** 6)])) for i in (0, 1)]
+    long = text_of(rng, 80, 10 ** 6).split()
+    docs += [(50 + i, " ".join(long[a:b] + [f"z{i}"] * i)) for i, (a, b) in enumerate([(20, 50), (0, 70), (10, 80)])]
+    docs += [(60 + i, " ".join(["p", "q", "r"] * n)[2 * i:] + f" é{i}") for i, n in enumerate([30, 40, 50])]
+    docs += [(70, f"{docs[0][1]} {docs[1][1]}"), (70, text_of(rng, 60)), (None, docs[3][1]), (None, docs[3][1])]
+    want = brute_passages(docs)
     got = [(r.doc_id, r.start, r.end, r.n_words) for r in chunks.repeats(frame(docs)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
 
 
+def test_edited_copies_are_brute_force(frame):
+    """Groups of copies with words changed, put in and left out here and there, and parts of them in other texts."""
+    rng = random.Random(19)
+    docs = []
+    for group in range(8):
+        words = text_of(rng, rng.choice([60, 120, 300]), rng.choice([5, 50, 10 ** 6])).split()
+        for k in range(9):
+            own = list(words)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                at = rng.randrange(len(own))
+                own[at:at + rng.randrange(2)] = [f"e{rng.randrange(4)}"] * rng.randrange(2)
+            if k > 6:
+                at = rng.randrange(len(own) - 50)
+                own = text_of(rng, 20, 10 ** 6).split() + own[at:at + rng.randrange(48, 80)] + text_of(rng, 20, 10 ** 6).split()
+            docs.append((100 * group + rng.choice([k, k, 0]), " ".join(own)))
+    got = [(r.doc_id, r.start, r.end, r.n_words) for r in chunks.repeats(frame(docs)).collect()]
+    assert set(got) == brute_passages(docs) and len(set(got)) > 60
+
+
 def test_gear_cuts_move_only_near_an_insertion():
     """The rolling value is the plain recursion's, chunks are short, and a word put in changes a few cuts around it."""
     rng = random.Random(7)
