@@ -4,9 +4,9 @@ Documents with equal shingle sets are one class.  A class is posted under (coord
 its signature.  Two classes that agree in at least ``t`` of ``n`` coordinates share a posting among the
 ``n - t + 1`` first ones of each in any common order, so only those are posted, rare pairs first.
 
-Lists are merged in two steps, so no list is expanded into all its pairs.  First every member meets two
-hubs of each of its lists, unless a few bytes of both signatures rule the pair out: agreeing coordinates
-are counted, and links confirmed on the full sets.
+Lists are merged in two steps, so no list is expanded into all its pairs.  First every member meets hubs of
+its lists, the two that most of its lists have, unless a few bytes of both signatures rule the pair out:
+agreeing coordinates are counted, and links confirmed on the full sets.
 Then lists whose members are already in one component are skipped; in the others, members of
 different components are counted against each other, in blocks, and by a finer sketch before the sets.  ``t`` lies 4.75 standard deviations
 below the expected count of a pair at the threshold, so fewer than one such pair in 100,000 is missed.
@@ -32,6 +32,8 @@ COORDINATES = 64
 CELLS = 1 << 20
 #: Members of a list that one task compares with as many others.
 BLOCK = 1000
+#: Hubs that a member is compared with before its lists are looked at as a whole.
+HUBS = 2
 #: Of the lowest bytes of eight coordinates, so many agree before a member and its hub are looked at.
 MINI_LEAST = 3
 #: Stands for a missing id while ids are compared.
@@ -257,7 +259,10 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     hubs = hubs.select("token", F.array("one", F.struct("two.id", "two.mini")).alias("hubs"))
     # members unlike their hub in a few coordinates go no further here: these steps only save work later
     like = F.filter("hubs", lambda h: (h.id != F.col("id")) & (_equal_bytes(h.mini, F.col("mini")) >= MINI_LEAST))
-    pairs = shared.join(hubs, "token").select("id", F.explode(like).alias("hub")).select("id", F.col("hub.id").alias("hub"))
+    met = shared.join(hubs, "token").select("id", F.explode(like).alias("hub")).groupBy("id", F.col("hub.id").alias("hub")).count()
+    # of the few dozen hubs of its lists each member looks at those that it meets most often
+    often = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "hub"))), 1, HUBS)
+    pairs = met.groupBy("id").agg(often.alias("often")).select("id", F.explode("often.hub").alias("hub"))
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
