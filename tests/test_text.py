@@ -78,15 +78,15 @@ def test_locate_lines_in_parts(spark, monkeypatch):
 
 def test_gap_clusters(spark):
     df = spark.createDataFrame([(k, float(p)) for k in (1, 2) for p in (0, 1, 2, 3, 100, 101, 102)], "k int, p double")
-    for width in (2.0, 50.0, 1000.0):
-        rows = documents.gap_clusters(df, ["k"], "p", width).orderBy("k", "p").collect()
+    for blocks in (1, 3, 14):
+        rows = documents.gap_clusters(df, ["k"], "p", blocks=blocks).orderBy("k", "p").collect()
         assert [r.cluster_id for r in rows] == [0, 0, 0, 0, 1, 1, 1] * 2
 
 
 def test_gap_clusters_against_plain_python(spark):
     rng = random.Random(5)
     data = [(k, float(rng.choice([rng.randint(0, 60), rng.randint(0, 4000)]))) for k in range(5) for _ in range(60)]
-    rows = documents.gap_clusters(spark.createDataFrame(data, "k int, p double"), ["k"], "p", 97.0).collect()
+    rows = documents.gap_clusters(spark.createDataFrame(data, "k int, p double"), ["k"], "p", blocks=9).collect()
     for key in range(5):
         points = sorted(p for k, p in data if k == key)
         gaps = sorted(b - a for a, b in zip(points, points[1:]) if b > a)
