@@ -1,5 +1,7 @@
 """Registered queries: sources, sinks and streams."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from vitaespark.functions import dialog as D
@@ -118,9 +120,17 @@ def _call_arrivals(spark, d):
     return _arrivals(events.withColumn("_second", F.unix_seconds(F.col("ts").cast("timestamp"))), DISORDER)
 
 
-def _with_state_store(spark):
+@contextmanager
+def _state_store(spark):
+    """The store that keyed state needs, for as long as a stream runs; the session gets its own setting back."""
+    before = {key: spark.conf.get(key, None) for key in state.STATE_STORE}
     for key, value in state.STATE_STORE.items():
         spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _called(rows):
@@ -129,9 +139,9 @@ def _called(rows):
 
 def _load(spark, d, purpose, delay, **options):
     """Main rows and corrections, added up."""
-    _with_state_store(spark)
-    parts = run.run_arrivals(
-        _call_arrivals(spark, d), lambda rows, clock: state.load_stream(_called(rows), delay_seconds=delay, clock=clock, **options), purpose)
+    with _state_store(spark):
+        parts = run.run_arrivals(_call_arrivals(spark, d), lambda rows, clock: state.load_stream(
+            _called(rows), delay_seconds=delay, clock=clock, **options), purpose)
     return _windows(parts.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in state.LOAD]))
 
 
@@ -149,9 +159,9 @@ def stream_load_sliding(spark, d):
 
 def _limited(spark, d, limiter, purpose):
     """Calls come out of order by less than the delay; any that came later would be seen as ``late``."""
-    _with_state_store(spark)
-    return run.run_arrivals(_call_arrivals(spark, d), lambda rows, clock: limiter(
-        _called(rows), 2, DAY, delay_seconds=2 * DAY, step_seconds=DAY, clock=clock), purpose)
+    with _state_store(spark):
+        return run.run_arrivals(_call_arrivals(spark, d), lambda rows, clock: limiter(
+            _called(rows), 2, DAY, delay_seconds=2 * DAY, step_seconds=DAY, clock=clock), purpose)
 
 
 def _with_late(name):
@@ -174,8 +184,8 @@ def stream_limit_fixed_window(spark, d):
     "SELECT * FROM phased", "SELECT conv_id, turn, question_no, phase, false AS late FROM phased"))
 def stream_phases(spark, d):
     """I2 as a stream of turns out of order: a turn a second"""
-    _with_state_store(spark)
     turns = derive.load(spark, d, "conversations")
-    return run.run_arrivals(_arrivals(turns.withColumn("_second", F.col("turn")), 3), lambda rows, clock: state.track_phases(
-        derive.as_frame(rows, derive.TURN).withColumn("ts", F.timestamp_seconds("turn")), D.is_skip(F.col("said"), F.col("lang")),
-        delay_seconds=4, step_seconds=2, clock=clock), "phases")
+    with _state_store(spark):
+        return run.run_arrivals(_arrivals(turns.withColumn("_second", F.col("turn")), 3), lambda rows, clock: state.track_phases(
+            derive.as_frame(rows, derive.TURN).withColumn("ts", F.timestamp_seconds("turn")), D.is_skip(F.col("said"), F.col("lang")),
+            delay_seconds=4, step_seconds=2, clock=clock), "phases")
