@@ -5,7 +5,7 @@ its signature.  Two classes that agree in at least ``t`` of ``n`` coordinates sh
 ``n - t + 1`` first ones of each in any common order, so only those are posted, rare pairs first.
 
 Lists are merged in two steps, so no list is expanded into all its pairs.  First every member meets hubs of
-its lists, the two that most of its lists have, unless a few bytes of both signatures rule the pair out:
+its lists, those that most of its lists have, unless a few bytes of both signatures rule the pair out:
 agreeing coordinates are counted, and links confirmed on the full sets.
 Then lists whose members are already in one component are skipped; in the others, members of
 different components are counted against each other, in blocks, and by a finer sketch before the sets.  ``t`` lies 4.75 standard deviations
@@ -32,8 +32,8 @@ COORDINATES = 64
 CELLS = 1 << 20
 #: Members of a list that one task compares with as many others.
 BLOCK = 1000
-#: Hubs that a member is compared with before its lists are looked at as a whole.
-HUBS = 2
+#: Hubs that a member is compared with before its lists are looked at as a whole: all there can be.
+HUBS = 2 * COORDINATES
 #: Of the lowest bytes of eight coordinates, so many agree before a member and its hub are looked at.
 MINI_LEAST = 3
 #: Stands for a missing id while ids are compared.
@@ -234,7 +234,7 @@ def _equal_bytes(a: Column, b: Column) -> Column:
     return same
 
 
-def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int, most_hubs: int) -> DataFrame:
     """Confirmed links (a, b) that join the classes (id, n, signature) into their components."""
     least = least_matches(percent)
     length = COORDINATES - least + 1
@@ -261,7 +261,7 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     like = F.filter("hubs", lambda h: (h.id != F.col("id")) & (_equal_bytes(h.mini, F.col("mini")) >= MINI_LEAST))
     met = shared.join(hubs, "token").select("id", F.explode(like).alias("hub")).groupBy("id", F.col("hub.id").alias("hub")).count()
     # of the few dozen hubs of its lists each member looks at those that it meets most often
-    often = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "hub"))), 1, HUBS)
+    often = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "hub"))), 1, most_hubs)
     pairs = met.groupBy("id").agg(often.alias("often")).select("id", F.explode("often.hub").alias("hub"))
     pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -348,13 +348,15 @@ def near_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     return links.union(confirmed(crossed, full_sets(docs, crossed, size), percent))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, most_hubs: int = HUBS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row: documents linked by ``percent`` of common shingles.
 
     Null and empty texts have no shingles and are linked with nothing; texts of fewer than ``size`` words
     are one shingle.  Rows with one id are one document: whatever any of them is linked with.  Rows
     without an id are one document whose component is null if it is alone.  Further columns are not
     read; an empty table gives no rows.
+
+    ``most_hubs`` moves work, not results: with few hubs more is left to the comparison inside lists.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_column().alias("text"))
@@ -368,7 +370,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     multiple = classes.where("copies > 1").select("set_key", F.col("id").alias("class_id"))
     own = salted_left(signed, multiple, ["set_key"], "doc_id").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     bound = own.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    links = near_links(docs, classes, size, percent).union(bound)
+    links = near_links(docs, classes, size, percent, most_hubs).union(bound)
     of_class = components(links).select(F.col("id").alias("class_id"), "component")
     out = salted_left(own, of_class, ["class_id"], "doc_id")
     component = F.expr(f"nullif(coalesce(component, class_id), cast({NO_ID} as bigint))")
