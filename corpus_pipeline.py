@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitaespark.llm import decontaminate, nearjoin, neighbours, packing, secrets
-from vitaespark.llm.arrays import written
+from vitaespark.llm.arrays import text_column, written
 from vitaespark.llm.queries import GOOD, held_out, table
 
 
@@ -22,15 +22,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group linked by 80 % common five-word shingles.
+    """One document of every group linked by 80 % common five-word shingles, that of the smallest id.
 
-    Of several rows with one id one stays.  Rows without an id belong to no group and all stay.
+    Rows are told apart by a hash of id and text, so rows without an id, and different texts with one id,
+    are compared like all others; of equal rows one stays.
     """
-    found = nearjoin.near_duplicates(docs.where("doc_id is not null"), size=5, percent=80)
-    kept = found.where("kept").select("doc_id").distinct()
-    by_id = Window.partitionBy("doc_id").orderBy("doc_id", F.xxhash64("text"))
-    left = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(by_id)).where("__nth = 1").drop("__nth")
-    return left.union(docs.where("doc_id is null"))
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", text_column()))
+    found = nearjoin.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, percent=80)
+    groups = keyed.select("__key", "doc_id").distinct().join(found.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "__key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__key")).alias("first")
+    kept = groups.groupBy("component_id").agg(first).select("first.__key")
+    by_key = Window.partitionBy("__key").orderBy("doc_id")
+    left = keyed.join(kept, "__key", "left_semi").withColumn("__nth", F.row_number().over(by_key)).where("__nth = 1")
+    return left.drop("__key", "__nth")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
