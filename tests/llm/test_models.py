@@ -309,3 +309,18 @@ def test_pipeline_is_its_parts(spark, frame, tmp_path):
 
     assert sorted({r.doc_id for r in rows if r.doc_id is not None}) == sorted(d for d, _ in hidden if d is not None)
     assert sum(r.doc_id is None and r.piece == 0 for r in rows) == 2
+
+
+def test_near_dedup_tells_rows_apart(spark, frame):
+    """Copies without an id go, different texts with one id stay, of equal rows one stays."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(6)]
+    docs = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[2] + " end"), (None, texts[3]), (None, texts[3] + " end"), (None, texts[4]),
+            (None, texts[0]), (5, texts[5]), (5, texts[5]), (6, None), (7, ""), (8, "")]
+    left = corpus_pipeline.near_dedup(spark, frame(docs), "")
+    assert left.columns == frame(docs).columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert [g for g in got if g[0] is not None] and sorted(g for g in got if g[0] not in (None, 6)) == [
+        (1, *sorted(texts[:2])[:1]), (1, *sorted(texts[:2])[1:]), (2, texts[2]), (5, texts[5]), (7, ""), (8, "")]
+    assert (6, None) in got and len([g for g in got if g[0] is None]) == 2 and (None, texts[4]) in got
+    assert corpus_pipeline.near_dedup(spark, frame([]), "").count() == 0
