@@ -207,8 +207,7 @@ def train(grams: DataFrame) -> DataFrame:
             deeper, seen = mix_down(zeros[last, node], ones[last, node], own1[last, node], total1[last, node], way, deeper, seen)
             deeper, _ = mix_down(zeros0[node], ones0[node], own0[node], total0[node], way, deeper, seen)
             out += np.log10(deeper)
-        # to 1/4096: small numbers travel better, and errors of single bytes cancel out
-        return pa.table({"key": code, "value": np.round(out * 4096) / 4096})
+        return pa.table({"key": code, "value": out})
 
     return written(paired.groupBy("pair").applyInArrow(logs, "key long, value double"), "model")
 
